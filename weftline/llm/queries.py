@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import byte_bpe, packing
+from weftline.llm import byte_bpe, exact_dedup, near_dedup, packing, sharding
 from weftline.llm._common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,54 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 2048."""
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into eight shards."""
+    return sharding.shard(sharding.document_records(read(spark, sf_dir, "documents")), 8)
+
+
+@query
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose two-word shingle sets are similar at 0.8 or more."""
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; the largest doc_id of each stays."""
+    return exact_dedup.classify(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_exact_dedup"] = """
+select d.doc_id, max(d.doc_id) over g as keep_id, count(*) over g as group_size,
+       d.doc_id = max(d.doc_id) over g as kept, sha256(coalesce(d.text, '')) as text_sha256
+from documents d
+window g as (partition by coalesce(d.text, ''))
+"""
+
+ORACLES["op2_near_dedup"] = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), shingles as (
+  select distinct doc_id, unnest(case when len(w) >= 2 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+                                      when len(w) = 1 then [w[1]] else [] end) as s
+  from words
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (
+  select x.doc_id as a, y.doc_id as b, count(*) as k
+  from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id
+  group by all
+), links as (
+  select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * k >= 80 * (p.n + q.n - k)
+), ways as (select a, b from links union all select b, a from links),
+reach(doc_id, c) as (
+  select doc_id, doc_id from documents
+  union
+  select w.b, r.c from reach r join ways w on r.doc_id = w.a where r.c < w.b
+), least as (select doc_id, min(c) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, l.component_id, d.doc_id = l.component_id as kept
+from documents d left join sizes s using (doc_id) join least l using (doc_id)
+"""

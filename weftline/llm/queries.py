@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import byte_bpe, exact_dedup, near_dedup, packing, sharding
+from weftline.llm import byte_bpe, exact_dedup, knn_join, near_dedup, packing, sharding, url_filter
 from weftline.llm._common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,40 @@ reach(doc_id, c) as (
 select d.doc_id, coalesce(s.n, 0) as n_shingles, l.component_id, d.doc_id = l.component_id as kept
 from documents d left join sizes s using (doc_id) join least l using (doc_id)
 """
+
+
+@query
+def op6_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all embeddings for every row whose vec_id is divisible by 50."""
+    table = read(spark, sf_dir, "embeddings")
+    return knn_join.top_k(table, table.where("vec_id % 50 = 0"), 5)
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url."""
+    return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+# The rules of the contract.
+URL_RULES = [
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+]
+
+ORACLES["op6_knn_join"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, d.vec_id, cast(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v d on q.vec_id % 50 = 0 and d.vec_id <> q.vec_id
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from scored
+qualify rank <= 5
+"""

@@ -34,7 +34,7 @@ CAPACITY = 2048
 UNIT = 16  # width of a length class in tokens
 BLOCK_BYTES = 16 << 20
 CACHED_CHUNKS = 400_000
-CHUNK = 50_000  # items a rank group holds at most, about
+CHUNK = 10_000  # items a rank group holds at most, about
 
 #: White space beyond ASCII, which the tokenizer also drops.
 WIDE = re.compile("[\x85\xa0  -     　]")

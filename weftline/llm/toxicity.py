@@ -140,8 +140,8 @@ class ToxicityModel:
 def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> ToxicityModel:
     """Fit on at most ``limit`` labelled documents of each label.
 
-    Labels only say toxic or not, so the toxic documents' severity is graded by the
-    share of words that hold a telling feature: its thirds are grades 1 to 3. Labels of
+    Labels only say toxic or not, so the toxic documents' severity is graded by how much
+    telling vocabulary they hold (the sum of its log counts): its thirds are grades 1 to 3. Labels of
     unknown documents and null labels are left out; where a document has several labels
     the severest counts; without toxic labels every text is clean.
     """
@@ -163,12 +163,12 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Toxicity
     rows = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id bigint, toxic int, at array<bigint>, value array<double>, words bigint").collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic, r.words))
     sparse = [dict(zip(r.at, r.value)) for r in rows]
-    dense = np.array([sum(math.expm1(v) for v in r.value) / max(1, r.words) for r in rows])
+    evidence = np.array([sum(r.value) for r in rows])
     toxic = np.array([r.toxic != 0 for r in rows])
     if not toxic.any():
         return ToxicityModel([], None)
-    cuts = np.quantile(dense[toxic], [1 / 3, 2 / 3])
-    grades = np.where(toxic, 1 + np.searchsorted(cuts, dense, side="right"), 0)
+    cuts = np.quantile(evidence[toxic], [1 / 3, 2 / 3])
+    grades = np.where(toxic, 1 + np.searchsorted(cuts, evidence, side="right"), 0)
     return ToxicityModel(features, CumulativeLink.fit(sparse, grades, len(features), ToxicityModel.LEVELS))
 
 

@@ -50,7 +50,7 @@ def joined_with_last(parts: Column, last: str, sep: str = ", ") -> Column:
 
 def glob_pattern(glob: str) -> str:
     """A Java pattern for a shell glob."""
-    return fnmatch.translate(glob).replace(r"\Z", "$").replace(r"\z", "$")
+    return "^" + fnmatch.translate(glob).replace(r"\Z", "$").replace(r"\z", "$")
 
 
 def glob_match(value: Column, glob: str, case_sensitive: bool = False) -> Column:

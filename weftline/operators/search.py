@@ -31,7 +31,7 @@ def bm25_scores(chunks: DataFrame, query: str, id_col: str, text_col: str) -> Da
     if not terms:
         return none
     held = chunks.select(F.col(id_col), tokens(F.col(text_col)).alias("t"))
-    counts = held.select(id_col, F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(terms)])
+    counts = held.select(id_col, F.size("t").alias("dl"), *[_times("t", w).alias(f"tf{i}") for i, w in enumerate(terms)])
     stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     scored = counts.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -43,6 +43,10 @@ def bm25_scores(chunks: DataFrame, query: str, id_col: str, text_col: str) -> Da
     return scored.select(id_col, score.alias("bm25_score"))
 
 
+def _times(tokens: str, term: str):
+    return F.size(F.filter(tokens, lambda x: x == term))
+
+
 def _query_terms(query: str) -> list[str]:
     import re
 

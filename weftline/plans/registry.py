@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.plans import metadata, passthrough, retrieval, statistics, telemetry
+
 FLAGSHIP = "hybrid_search"
+MODULES = (retrieval, statistics, metadata, telemetry, passthrough)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _module in MODULES:
+    QUERIES |= _module.BOOK.queries
+    ORACLES |= _module.BOOK.oracles

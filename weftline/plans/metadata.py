@@ -184,3 +184,85 @@ STATEMENTS = [
 @BOOK.add(f"select s as statement, k as kind from {values(STATEMENTS)} v(s, k)")
 def statement_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s, classify(s)) for s, _ in STATEMENTS], "statement string, kind string")
+
+
+# Indexes (table, index, position, expression, unique).
+SHOP_INDEXES = [("users", "users_name", 1, "name", "no"), ("orders", "orders_user_placed", 2, "placed_at", "yes"), ("orders", "orders_user_placed", 1, "user_id", "yes"), ("order_items", "items_product", 1, "product_id", None)]
+
+
+@BOOK.add(f"select t as table_name, i as index_name, array_to_string(list(e order by p), ',') as columns, coalesce(bool_or(u = 'yes'), false) as is_unique from {values(SHOP_INDEXES)} v(t, i, p, e, u) group by t, i")
+def index_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("shop", *r, "btree") for r in SHOP_INDEXES], "schema_name string, table_name string, index_name string, position int, expr string, is_unique string, method string")
+    return catalog.assembled_indexes(rows).select("table_name", "index_name", F.array_join("columns", ",").alias("columns"), F.col("unique").alias("is_unique"))
+
+
+@BOOK.add(f"select t as table_name, array_to_string(list(c order by p), ',') as columns, count(*) filter (n = 'no') as required from {values(SHOP_COLUMNS)} v(t, p, c, k, n) group by t")
+def column_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = catalog.assembled_columns(shop(spark)[1])
+    names = F.array_join(F.transform("columns", lambda c: c["name"]), ",")
+    required = F.size(F.filter("columns", lambda c: ~c["nullable"])).cast("bigint")
+    return found.select("table_name", names.alias("columns"), required.alias("required"))
+
+
+@BOOK.add("select r_name as schema_name, array_to_string(list(n_name order by n_name), ',') as tables from region join nation on n_regionkey = r_regionkey group by 1")
+def browse_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _names(spark, sf_dir).select(F.col("catalog").alias("schema_name"), F.col("schema_name").alias("name"), F.lit(None).cast("string").alias("description"))
+    return catalog.browse(tables).select("schema_name", F.array_join(F.transform("tables", lambda t: t["name"]), ",").alias("tables"))
+
+
+@BOOK.add("""
+select r_name, case when len(n) = 1 then n[1] else array_to_string(n[1:len(n) - 1], ', ') || ' and ' || n[-1] end as joined
+from (select r_name, list(n_name order by n_name) as n from region join nation on n_regionkey = r_regionkey group by 1)
+""")
+def names_with_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = _names(spark, sf_dir).groupBy(F.col("catalog").alias("r_name")).agg(F.array_sort(F.collect_list("schema_name")).alias("n"))
+    return grouped.select("r_name", text.joined_with_last(F.col("n"), " and ").alias("joined"))
+
+
+# Texts and what is parsed from them: ref target, items of an array literal, data set kind.
+PARSED = [
+    ("ref('orders')", "orders", 1, "table"),
+    ('ref("a.b_c")', "a.b_c", 1, "table"),
+    ("ref('x') ", None, 1, "table"),
+    ("{a,b,c}", None, 3, "table"),
+    ("{}", None, 0, "table"),
+    ("VIEW", None, 1, "view"),
+    ("materialized_view", None, 1, "materialized_view"),
+    ("something", None, 1, "table"),
+]
+
+
+@BOOK.add(f"select s, r, cast(n as integer) as n, k from {values(PARSED)} v(s, r, n, k)")
+def small_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s")
+    rows = spark.createDataFrame([(p[0],) for p in PARSED], "s string")
+    return rows.select("s", text.ref_target(s).alias("r"), F.size(text.array_literal(s)).alias("n"), catalog.dataset_kind(s).alias("k"))
+
+
+@BOOK.add("select 'Model ' || p_name || ' in database shop and schema ' || p_brand || ', with unique id model.' || p_partkey as model, 'Column ' || p_type || ' in model model.' || p_partkey as model_column, 'Metric ' || p_name || ' with id m' || p_partkey || case when p_size > 20 then ', depending on semantic model s' || p_size else '' end as metric from part")
+def dbt_chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.lit("model."), F.col("p_partkey").cast("string"))
+    semantic = F.when(F.col("p_size") > 20, F.concat(F.lit("s"), F.col("p_size").cast("string")))
+    return table(spark, sf_dir, "part").select(
+        chunking.model_text(F.col("p_name"), F.lit("shop"), F.col("p_brand"), key).alias("model"),
+        chunking.model_column_text(F.col("p_type"), key).alias("model_column"),
+        chunking.metric_text(F.col("p_name"), F.concat(F.lit("m"), F.col("p_partkey").cast("string")), semantic).alias("metric"),
+    )
+
+
+@BOOK.add("select 'Column [name = ' || c || ', type = INT64, number of values = ' || n || '] in parquet file orders.parquet' as embeddable_text from (select 'o_orderkey' as c, count(*) as n from orders union all select 'o_custkey', count(*) from orders)")
+def parquet_chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parquet_footer.columns(parquet_footer.row_groups(spark, f"{sf_dir}/orders.parquet")).where("physical_type = 'INT64' and column_name like '%key'")
+    return found.select(chunking.parquet_column_text(F.col("column_name"), F.col("physical_type"), F.col("num_values"), F.col("file_name")).alias("embeddable_text"))
+
+
+@BOOK.add("""
+with f as (select 'k' || (l_orderkey % 40) as constraint_name, l_linenumber as position, 'c' || l_linenumber as c, 'r' || l_linenumber as r from lineitem where l_orderkey < 40)
+select constraint_name, position, c as from_column, r as to_column from f
+""")
+def aligned_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two arrays of a key unfolded side by side with their position."""
+    f = table(spark, sf_dir, "lineitem").where("l_orderkey < 40").select(F.concat(F.lit("k"), (F.col("l_orderkey") % 40).cast("string")).alias("constraint_name"), F.struct(F.col("l_linenumber").alias("p"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("c"), F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("r")).alias("x"))
+    keys = f.groupBy("constraint_name").agg(F.array_sort(F.collect_list("x")).alias("x")).select("constraint_name", F.col("x.p").alias("p"), F.col("x.c").alias("c"), F.col("x.r").alias("r"))
+    flat = keys.select("constraint_name", F.explode(F.arrays_zip("p", "c", "r")).alias("z"))
+    return flat.select("constraint_name", F.col("z.p").alias("position"), F.col("z.c").alias("from_column"), F.col("z.r").alias("to_column"))

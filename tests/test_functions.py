@@ -97,3 +97,23 @@ def test_row_batches():
     assert out == ["H\naaaa\nbbbb", "H\ncccc"]
     long = table_row_batches(["z" * 7000], "H\n", 10)
     assert long[0].endswith("…[TRUNCATED]…") and re.match(r"H\nz{6000}…", long[0])
+
+
+# Words and stems from the published description of the algorithm.
+STEMS = "caresses:caress ponies:poni feed:feed agreed:agre plastered:plaster motoring:motor sing:sing troubled:troubl hopping:hop falling:fall filing:file happy:happi sky:sky relational:relat rational:ration digitizer:digit hopefulness:hope sensibiliti:sensibl triplicate:triplic electriciti:electr goodness:good allowance:allow adjustable:adjust replacement:replac adoption:adopt probate:probat rate:rate cease:ceas controll:control roll:roll"
+
+
+@pytest.mark.parametrize("pair", STEMS.split())
+def test_stems(pair):
+    from weftline.functions.stem import stem
+
+    word, expected = pair.split(":")
+    assert stem(word) == expected
+
+
+def test_stemmed_search(spark):
+    from weftline.functions.stem import index_text, query_text
+    from weftline.operators.search import keyword_search
+
+    chunks = spark.createDataFrame([(1, "The hopping customers"), (2, "of the"), (3, None)], "id int, t string").withColumn("t", index_text(F.col("t")))
+    assert [r.id for r in keyword_search(chunks, query_text("a customer hops"), "id", "t").collect()] == [1]

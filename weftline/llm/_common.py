@@ -59,6 +59,7 @@ def hash01(seed: int, *cols) -> F.Column:
 
 def blocks(batch, column: str, limit: int):
     """Slices of an Arrow batch of at most about ``limit`` bytes of a binary or string column; one row at least."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(column))), 0).to_pylist()
@@ -66,6 +67,7 @@ def blocks(batch, column: str, limit: int):
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:
             yield batch.slice(start, i - start)
+            pa.default_memory_pool().release_unused()  # a worker's memory doesn't add up over blocks
             start, total = i, 0
         total += n
     if start < len(sizes):

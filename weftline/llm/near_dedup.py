@@ -31,8 +31,9 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS = 40, 5  # at similarity 0.8 a pair shares no band with probability 1.3e-7
 BATCH = 20  # hashes compared at a time
 MISS = 1e-6
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 GROUP = 512  # members of a bucket that meet in one task at most, on either side
+BITS = 1 << 25  # bits of the id filter; its rows are 4 MB together at most
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -153,35 +154,56 @@ def surviving(left: np.ndarray, right: np.ndarray, needed: list[tuple[int, int]]
     return alive
 
 
+def needed(table: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose id is among ``ids`` (one column, named id).
+
+    A bitmap of hashed ids of fixed size is broadcast first, so that most other rows go
+    before the shuffle; where it fills up it only stops saving.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
+    at = F.bitmap_bit_position(place(F.col("id")))
+    bits = ids.groupBy(F.bitmap_bucket_number(place(F.col("id"))).alias("_part")).agg(F.bitmap_construct_agg(at).alias("_bits"))
+    position = F.bitmap_bit_position(place(F.col(id_col)))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    likely = table.join(F.broadcast(bits), F.bitmap_bucket_number(place(F.col(id_col))) == F.col("_part")).where(F.getbit(byte, (position % 8).cast("int")) == 1)
+    # an inner join with distinct ids: Spark would move a semi join below the filter
+    return likely.select(*table.columns).join(ids.select(F.col("id").alias(id_col)).distinct(), id_col)
+
+
 def similar(pairs: DataFrame, classes: DataFrame, percent: int, n_hashes: int, miss: float) -> DataFrame:
     """The (a, b) whose signatures survive the Bayesian comparison."""
-    sigs = classes.select("cid", "sig")
+    pairs = cut(pairs)
+    sigs = needed(classes.select("cid", "sig"), "cid", pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     both = pairs.join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
-    needed = least_matches(percent, n_hashes, miss)
+    thresholds = least_matches(percent, n_hashes, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, n_hashes) for c in ("sig_a", "sig_b"))
-                keep = pa.array(surviving(left, right, needed))
+                keep = pa.array(surviving(left, right, thresholds))
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) whose full sets share enough: 100 * intersection >= percent * union."""
-    pairs = cut(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def built(docs: DataFrame, ids: DataFrame, width: int, short: bool = False) -> DataFrame:
+    """(doc_id, held) for the given ids: sorted shingle hashes, whole or (short) their upper 16 bits."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text", BLOCK_BYTES):
                 sets = shingle_sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "held"])
+                held = [((s >> np.uint64(48)).astype("<u2") if short else s).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(held, pa.binary())], names=["doc_id", "held"])
 
-    needed = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(needed.mapInArrow(build, "doc_id bigint, held binary"))
+    return needed(docs, "doc_id", ids).dropDuplicates(["doc_id"]).mapInArrow(build, "doc_id bigint, held binary")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (a, b) whose full sets share enough: 100 * intersection >= percent * union."""
+    pairs = cut(pairs.distinct())
+    sets = cut(built(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,9 +251,12 @@ def labelled(classes: DataFrame, roots: DataFrame) -> DataFrame:
     return classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 
-def across(buckets: DataFrame, classes: DataFrame, percent: int, n_hashes: int, miss: float, group: int) -> DataFrame:
+def across(buckets: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, n_hashes: int, miss: float, group: int) -> DataFrame:
     """Surviving pairs of different components that share a bucket; buckets: (bucket, cid, root).
 
+    What survives the Bayesian comparison must also pass a bound on the intersection
+    that never falls short: the hashes whose upper 16 bits the other set has too.
+
     In a bucket of more than ``group`` members the largest component is dealt to blocks
     of its own, and so are the others; a task takes one block of each kind, or two of
     the others. So the work follows members times strays, not members squared.
@@ -245,7 +270,9 @@ def across(buckets: DataFrame, classes: DataFrame, percent: int, n_hashes: int,
         F.when(F.col("n") <= group, 0).otherwise(F.ceil(F.col("top.n") / group)).alias("main_blocks"),
         F.when(F.col("n") <= group, 1).otherwise(F.ceil((F.col("n") - F.col("top.n")) / group)).alias("stray_blocks"),
     )
-    rows = buckets.join(shape, "bucket")
+    rows = cut(buckets.join(shape, "bucket"))
+    ids = cut(rows.select(F.col("cid").alias("id")).distinct())
+    marks = needed(classes.select("cid", "sig"), "cid", ids).join(built(docs, ids, width, short=True).withColumnRenamed("doc_id", "cid"), "cid")
     is_main = (F.col("root") == F.col("main")) & (F.col("main_blocks") > 0)
     block = F.pmod(F.xxhash64("cid"), F.when(is_main, F.col("main_blocks")).otherwise(F.col("stray_blocks")))
     all_main, all_stray = (F.transform(F.sequence(F.lit(1), F.col(c)), lambda x: (x - 1).cast("bigint")) for c in ("main_blocks", "stray_blocks"))
@@ -255,8 +282,8 @@ def across(buckets: DataFrame, classes: DataFrame, percent: int, n_hashes: int,
     with_others = F.transform(all_stray, lambda s: F.struct((-1 - F.least(s, F.col("block"))).alias("m"), F.greatest(s, F.col("block")).alias("s")))
     dealt = rows.withColumn("is_main", is_main).withColumn("block", block)
     dealt = dealt.withColumn("groups", F.when(F.col("is_main"), to_main).otherwise(F.concat(with_main, with_others)))
-    dealt = dealt.join(classes.select("cid", "sig"), "cid").select("bucket", "cid", "root", "is_main", "sig", F.explode("groups").alias("g"))
-    needed = least_matches(percent, n_hashes, miss)
+    dealt = dealt.join(marks, "cid").select("bucket", "cid", "root", "is_main", "sig", "held", F.explode("groups").alias("g"))
+    thresholds = least_matches(percent, n_hashes, miss)
 
     def compare(key, frame):
         import pandas as pd
@@ -264,6 +291,9 @@ def across(buckets: DataFrame, classes: DataFrame, percent: int, n_hashes: int,
         m = int(key[1])
         sig = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(len(frame), n_hashes)
         cid, root, main = frame["cid"].to_numpy(), frame["root"].to_numpy(), frame["is_main"].to_numpy()
+        sizes = frame["held"].map(len).to_numpy() // 2
+        starts = np.cumsum(sizes) - sizes
+        flat, known = np.frombuffer(b"".join(frame["held"]), "<u2"), np.zeros(1 << 16, bool)
         found = []
         for i in range(len(frame)):
             if m >= 0:
@@ -271,12 +301,21 @@ def across(buckets: DataFrame, classes: DataFrame, percent: int, n_hashes: int,
             else:
                 others = np.arange(i + 1, len(frame))
             others = others[root[others] != root[i]]
+            others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
+            if not len(others):
+                continue
+            others = others[surviving(np.broadcast_to(sig[i], (len(others), n_hashes)), sig[others], thresholds)]
             if len(others):
-                keep = others[surviving(np.broadcast_to(sig[i], (len(others), n_hashes)), sig[others], needed)]
-                found.extend((min(cid[i], cid[j]), max(cid[i], cid[j])) for j in keep)
+                own = flat[starts[i] : starts[i] + sizes[i]]
+                known[own] = True
+                shared = np.array([np.count_nonzero(known[flat[starts[j] : starts[j] + sizes[j]]]) for j in others])
+                known[own] = False
+                others = others[100 * shared >= percent * (sizes[i] + sizes[others] - shared)]
+                found.extend((min(cid[i], cid[j]), max(cid[i], cid[j])) for j in others)
         return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
 
-    return dealt.select("bucket", F.col("g.m").alias("m"), F.col("g.s").alias("s"), "cid", "root", "is_main", "sig").groupBy("bucket", "m", "s").applyInPandas(compare, "a bigint, b bigint")
+    columns = ("cid", "root", "is_main", "sig", "held")
+    return dealt.select("bucket", F.col("g.m").alias("m"), F.col("g.s").alias("s"), *columns).groupBy("bucket", "m", "s").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, group: int = GROUP) -> DataFrame:
@@ -302,7 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(edges)
 
     members = labelled(buckets.select("bucket", "cid"), roots)
-    more = confirmed(across(members, classes, percent, n, miss, group), picked, width, percent)
+    more = confirmed(across(members, classes, picked, width, percent, n, miss, group), picked, width, percent)
     roots = components(edges.unionByName(more))
 
     ends = labelled(classes.select("key", "cid"), roots).select("key", F.col("root").alias("class_root"))

@@ -19,10 +19,10 @@ from weftline.llm._common import blocks
 from weftline.llm.bpe import MergeTable, replay_bytes
 
 # The characters with Unicode's White_Space property.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-BLOCK_BYTES = 16 << 20
-CACHED_CHUNKS = 400_000
+BLOCK_BYTES = 8 << 20
+CACHED_CHUNKS = 300_000
 
 ASCII_EDGES = re.compile(rb"\s\s|\A\s|\s\Z")
 ANY_EDGES = re.compile(f"[{SPACES}][{SPACES}]|\\A[{SPACES}]|[{SPACES}]\\Z")

@@ -32,12 +32,12 @@ from weftline.llm.byte_bpe import gather
 
 CAPACITY = 2048
 UNIT = 16  # width of a length class in tokens
-BLOCK_BYTES = 16 << 20
-CACHED_CHUNKS = 400_000
+BLOCK_BYTES = 8 << 20
+CACHED_CHUNKS = 300_000
 CHUNK = 10_000  # items a rank group holds at most, about
 
 #: White space beyond ASCII, which the tokenizer also drops.
-WIDE = re.compile("[\x85\xa0  -     　]")
+WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class WordBPE:

@@ -23,7 +23,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of a grade above clean is below one half stay."""
+    """Documents without toxic evidence, or with a probability of a grade above clean below toxicity.REJECTED, stay."""
     return toxicity.keep_clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 

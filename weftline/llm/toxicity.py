@@ -24,7 +24,8 @@ LABELLED = 8_000  # labelled documents of each label that training takes at most
 FEATURES = 4_096
 LEAST = 5  # toxic labelled documents that must hold a feature
 BEGINNINGS = (4, 5, 6)
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+REJECTED = 0.25  # probability of a grade above clean from which a text is rejected
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -46,7 +47,7 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
 
 
 def telling_features(texts: DataFrame, least: int = LEAST, limit: int = FEATURES) -> list[str]:
-    """The features that go with the toxic label most surely: counted over the sample, chosen by the log-odds ratio."""
+    """The features that go with the toxic label most surely: counted over the sample, chosen by the log-odds ratio, which must be higher for one that a clean text holds too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +62,7 @@ def telling_features(texts: DataFrame, least: int = LEAST, limit: int = FEATURES
     counted = texts.mapInArrow(run, "feature string, clean bigint, bad bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
     odds = F.log((F.col("bad") + 0.5) / (sizes.bad - F.col("bad") + 0.5)) - F.log((F.col("clean") + 0.5) / (sizes.clean - F.col("clean") + 0.5))
     spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("clean") + 0.5))
-    sure = counted.where(F.col("bad") >= least).withColumn("z", odds / spread).withColumn("odds", odds).where((F.col("odds") > 3) & (F.col("z") > 2))
+    sure = counted.where(F.col("bad") >= least).withColumn("z", odds / spread).withColumn("odds", odds).where((F.col("z") > 2) & (F.col("odds") > F.when(F.col("clean") == 0, 3).otherwise(5)))
     return [r.feature for r in sure.orderBy(F.desc("z"), "feature").limit(limit).collect()]
 
 
@@ -75,7 +76,7 @@ class Vectoriser:
     def of(self, text: str) -> tuple[dict[int, float], int]:
         """(feature values, number of words)."""
         words, found = WORD.findall(text.lower()), Counter()
-        if len(self.words) > 500_000:
+        if len(self.words) > 300_000:
             self.words.clear()
         known = self.words
         for w in words:
@@ -94,7 +95,7 @@ class CumulativeLink:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, rows: list[dict[int, float]], grades: np.ndarray, n_features: int, levels: int, l2: float = 1e-3, rounds: int = 400, rate: float = 0.1) -> CumulativeLink:
+    def fit(cls, rows: list[dict[int, float]], grades: np.ndarray, n_features: int, levels: int, l2: float = 1e-3, rounds: int = 2500, rate: float = 0.1) -> CumulativeLink:
         """Maximum likelihood with an L2 penalty by Adam; thresholds are a first one and positive steps, so they stay ordered."""
         at = np.fromiter((i for r in rows for i in r), np.int64)
         of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -172,11 +173,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Toxicity
     return ToxicityModel(features, CumulativeLink.fit(sparse, grades, len(features), ToxicityModel.LEVELS))
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", least: float = REJECTED) -> DataFrame:
     """One row per document: (id, severity, grade, p_toxic, rejected).
 
     severity is the expected grade, grade the likeliest, rejected says that a grade
-    above 0 has at least the probability ``least``. Null and empty texts are clean;
+    above 0 has at least the probability ``least``, on the evidence of some feature. Null and empty texts are clean;
     repeated rows each give a row; other columns are ignored. Whole texts are read.
     """
     from pyspark.sql import types as T
@@ -189,10 +190,10 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         vectors, fitted = shared.value
         for batch in batches:
             for part in blocks(batch, "text", BLOCK_BYTES):
-                rows = [fitted.predict(vectors.of(t)[0]) if fitted else [1.0] + [0.0] * (levels - 1) for t in part.column("text").to_pylist()]
-                p = np.array(rows).reshape(-1, levels)
-                toxic = 1 - p[:, 0]
-                arrays = [part.column("id"), pa.array(p @ np.arange(levels)), pa.array(p.argmax(axis=1), pa.int32()), pa.array(toxic), pa.array(toxic >= least)]
+                found = [vectors.of(t)[0] for t in part.column("text").to_pylist()]
+                p = np.array([fitted.predict(x) if fitted else [1.0] + [0.0] * (levels - 1) for x in found]).reshape(-1, levels)
+                toxic, some = 1 - p[:, 0], np.array([bool(x) for x in found], bool)
+                arrays = [part.column("id"), pa.array(p @ np.arange(levels)), pa.array(p.argmax(axis=1), pa.int32()), pa.array(toxic), pa.array((toxic >= least) & some)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "severity", "grade", "p_toxic", "rejected"])
 
     schema = T.StructType.fromDDL("id bigint, severity double, grade int, p_toxic double, rejected boolean")
@@ -200,14 +201,15 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     return picked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def keep_clean(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, model: ToxicityModel, least: float = REJECTED) -> DataFrame:
     """The rows that aren't rejected, all columns; decided row by row, so nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast((Vectoriser(model.features), model.model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, fitted = shared.value
         for batch in batches:
-            keep = [not fitted or 1 - fitted.predict(vectors.of(t or "")[0])[0] < least for t in batch.column("text").to_pylist()]
+            found = [vectors.of(t or "")[0] for t in batch.column("text").to_pylist()]
+            keep = [not fitted or not x or 1 - fitted.predict(x)[0] < least for x in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -72,8 +72,8 @@ def vector_search(vectors: DataFrame, query: list[float], id_col: str, vector_co
 def batch_vector_search(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, limit: int) -> DataFrame:
     """(query_id, rank, id, vector_distance) for a stated query set against all vectors.
 
-    queries: (query_id, query). The query set is given by the caller and broadcast as one
-    array only within Spark's own broadcast threshold; norms are computed once a row.
+    queries: (query_id, query). Spark broadcasts the query set if it is within its own
+    threshold; norms are computed once a row; the ranking keeps only the best of each task.
     """
     v = vectors.select(F.col(id_col), F.col(vector_col).alias("v")).withColumn("v_norm", norm(F.col("v")))
     q = queries.select("query_id", F.col("query").alias("q")).withColumn("q_norm", norm(F.col("q")))

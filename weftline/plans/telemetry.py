@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import perf
 from weftline.plans.book import Book, table
+from weftline.session import shared_folder
 from weftline.streaming import windows
 
 BOOK = Book()
@@ -128,10 +128,7 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def finished(spark: SparkSession, frame: DataFrame, mode: str = "complete") -> DataFrame:
     name = f"weftline_{uuid.uuid4().hex}"
-    return windows.run_available(frame, name, mode, tempfile.mkdtemp() if spark.sparkContext.master.startswith("local") else None)
-
-
-TUMBLING = "select time_bucket(interval '{length}', ts, timestamp '1970-01-01') as s, event_type, value from events"
+    return windows.run_available(frame, name, mode, shared_folder(spark))
 
 
 @BOOK.add("""

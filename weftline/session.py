@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -19,6 +21,12 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def local_session(name: str = "weftline", cores: int = 8, partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)

@@ -158,8 +158,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns; of rows that repeat the kept id and text, one."""
-    key = content_key(F.coalesce(F.col(text_col), F.lit("")))
-    keep = groups(keyed(docs, id_col, text_col)).select(F.col("keep_id").alias("_keep_id"), F.col("key").alias("_key"))
-    marked = docs.withColumns({"_id": F.col(id_col).cast("bigint"), "_text_key": key})
-    same = (F.col("_text_key") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_keep_id"))
-    return marked.join(keep, same, "left_semi").dropDuplicates(["_text_key", "_id"]).select(*docs.columns)
+    # plain columns on both sides, so that the join's partitioning also serves the last step
+    keys = lambda i: {"_id": F.coalesce(i, F.lit(0).cast("bigint")), "_no_id": i.isNull()}
+    keep = groups(keyed(docs, id_col, text_col)).withColumnRenamed("key", "_key").withColumns(keys(F.col("keep_id"))).select("_key", "_id", "_no_id")
+    marked = docs.withColumns({"_key": content_key(F.coalesce(F.col(text_col), F.lit("")))} | keys(F.col(id_col).cast("bigint")))
+    return marked.join(keep, ["_key", "_id", "_no_id"], "left_semi").dropDuplicates(["_key", "_id", "_no_id"]).select(*docs.columns)

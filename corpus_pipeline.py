@@ -18,8 +18,13 @@ from weftline.session import reachable
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't among ``ids``; null ids stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` whose doc_id isn't among ``ids``; null ids stay.
+
+    The ids are written first, so Spark knows their size when it plans the join: within
+    its broadcast threshold the documents aren't shuffled, beyond it they are.
+    """
+    gone = cut(ids.select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

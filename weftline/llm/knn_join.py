@@ -113,32 +113,42 @@ def top_k(table: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     query_cells, data_cells = cut(voronoi(asked_classes, pivots)), cut(voronoi(data, pivots))
     q_sum, d_sum = summaries(query_cells), summaries(data_cells)
     sure = sure_scores(q_sum, d_sum, pivots, k + 1)
-    cells, q_sizes = sorted(q_sum), {r.cell: r["count"] for r in query_cells.groupBy("cell").count().collect()}
-    q_blocks = [-(-q_sizes[c] // block) for c in cells]
+    q_sizes = {r.cell: r["count"] for r in query_cells.groupBy("cell").count().collect()}
+    cells, first, count, members = sorted(q_sum), {}, {}, []
+    room = 0
+    for c in cells:  # small cells share a group of queries, large ones are several
+        if q_sizes[c] > room:
+            first[c], count[c] = len(members), -(-q_sizes[c] // block)
+            members.extend([] for _ in range(count[c]))
+            room = block * count[c]
+        else:
+            first[c], count[c] = len(members) - 1, 1
+        room = room - q_sizes[c] if count[c] == 1 else 0
+        for g in range(first[c], first[c] + count[c]):
+            members[g].append(cells.index(c))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each query cell (and block of it) that may need the vector: a.x + U|x| reaches the sure score."""
+        """A row for each group of queries that may need the vector: for one of its cells a.x + U|x| reaches the sure score."""
         anchors = pivots[cells]
         reach, least = np.array([q_sum[c][1] for c in cells]), np.array([sure[c] for c in cells])
+        slack = np.where(np.isfinite(least), 1e-6 * (1 + np.abs(least)), 0)
         for batch in batches:
             x = matrix(batch.column("v"), width)
             norm = np.sqrt((x**2).sum(axis=1))
-            row, cell = np.nonzero(x @ anchors.T + norm[:, None] * reach >= least - 1e-6 * (1 + np.abs(least)))
-            times = np.array(q_blocks)[cell]
-            row, cell = np.repeat(row, times), np.repeat(cell, times)
-            part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            may = x @ anchors.T + norm[:, None] * reach >= least - slack
+            row, group = np.nonzero(np.stack([may[:, m].any(axis=1) for m in members], axis=1))
             taken = batch.select(["v", "ids"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(cells)[cell], pa.int32()), pa.array(part, pa.int32()), *taken.columns], names=["cell", "part", "v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), *taken.columns], names=["part", "v", "ids"])
 
     if not cells or not d_sum:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint").withColumnRenamed("vec_id", id_col)
     spread = max(1, -(-sum(n for n, *_ in d_sum.values()) // block))
-    near = cut(data_cells.select("v", "ids").mapInArrow(replicate, "cell int, part int, v array<int>, ids array<bigint>").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(spread))))
-    of_cell = F.create_map(*[F.lit(x) for c, n in zip(cells, q_blocks) for x in (c, n)])
-    blocks = query_cells.withColumn("part", F.pmod(F.xxhash64("class"), of_cell[F.col("cell")]).cast("int"))
-    # a block of queries goes to every salt that holds data for its cell
-    salts = near.select("cell", "part", "salt").distinct()
-    there = blocks.join(salts, ["cell", "part"]).select(F.col("cell").alias("c"), F.col("part").alias("p"), F.col("salt").alias("s"), "class", "v")
+    near = cut(data_cells.select("v", "ids").mapInArrow(replicate, "part int, v array<int>, ids array<bigint>").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(spread))))
+    lookup = lambda d: F.create_map(*[F.lit(x) for c in cells for x in (c, d[c])])[F.col("cell")]
+    blocks = query_cells.withColumn("part", (lookup(first) + F.pmod(F.xxhash64("class"), lookup(count))).cast("int"))
+    # a group of queries goes to every salt that holds data for it
+    salts = near.select("part", "salt").distinct()
+    there = blocks.join(salts, "part").select(F.col("part").alias("p"), F.col("salt").alias("s"), "class", "v")
 
     def solve(key, left: pa.Table, right: pa.Table) -> pa.Table:
         q, classes = matrix(left.column("v"), width), left.column("class").to_pylist()
@@ -154,7 +164,7 @@ def top_k(table: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
                 rows.extend((name, i, -s) for s, i in best)
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("class", "vec_id", "score"), zip(*rows) if rows else ((), (), ()))})
 
-    found = there.groupBy("c", "p", "s").cogroup(near.groupBy("cell", "part", "salt")).applyInArrow(solve, "class bigint, vec_id bigint, score bigint")
+    found = there.groupBy("p", "s").cogroup(near.groupBy("part", "salt")).applyInArrow(solve, "class bigint, vec_id bigint, score bigint")
     order = [F.desc("score"), F.asc("vec_id")]
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy(*order))).where(F.col("r") <= k + 1)
     # each member of a query class takes the class's list without itself

@@ -254,6 +254,12 @@ def test_top_k_like_brute_force(spark, pivots, block):
     assert {tuple(r) for r in got} == brute_top_k(vectors, 5, 5) and len(got) == len(set(got))
 
 
+def test_query_groups_hold_all_queries():
+    sizes = [3, 2, 9, 1, 1, 4, 0, 20]
+    spans = knn_join.query_groups(sizes, 5)
+    assert spans == [(0, 1), (0, 1), (1, 2), (3, 1), (3, 1), (4, 1), (4, 1), (5, 4)]
+
+
 def test_top_k_of_few(spark):
     table = spark.createDataFrame([(0, [1.0]), (5, [2.0])], "vec_id bigint, embedding array<float>")
     assert {tuple(r) for r in knn_join.top_k(table, table, 5).collect()} == {(0, 1, 5, 256 * 512), (5, 1, 0, 256 * 512)}

@@ -94,6 +94,21 @@ def sure_scores(queries: dict, data: dict, pivots: np.ndarray, k: int) -> dict[i
     return out
 
 
+def query_groups(sizes: list[int], block: int) -> list[tuple[int, int]]:
+    """(first group, number of groups) of each cell's queries: small cells share a group of at most ``block``, a larger one has several to itself."""
+    spans, n, room = [], 0, 0
+    for size in sizes:
+        if size <= room:
+            spans.append((n - 1, 1))
+            room -= size
+        else:
+            count = -(-size // block)
+            spans.append((n, count))
+            n += count
+            room = block - size if count == 1 else 0
+    return spans
+
+
 def top_k(table: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", n_pivots: int = PIVOTS, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, id, score): each query's k best rows of ``table`` but its own id, all if fewer.
 
@@ -114,38 +129,32 @@ def top_k(table: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     q_sum, d_sum = summaries(query_cells), summaries(data_cells)
     sure = sure_scores(q_sum, d_sum, pivots, k + 1)
     q_sizes = {r.cell: r["count"] for r in query_cells.groupBy("cell").count().collect()}
-    cells, first, count, members = sorted(q_sum), {}, {}, []
-    room = 0
-    for c in cells:  # small cells share a group of queries, large ones are several
-        if q_sizes[c] > room:
-            first[c], count[c] = len(members), -(-q_sizes[c] // block)
-            members.extend([] for _ in range(count[c]))
-            room = block * count[c]
-        else:
-            first[c], count[c] = len(members) - 1, 1
-        room = room - q_sizes[c] if count[c] == 1 else 0
-        for g in range(first[c], first[c] + count[c]):
-            members[g].append(cells.index(c))
+    cells = sorted(q_sum)
+    spans = query_groups([q_sizes[c] for c in cells], block)
+    shared = sorted(set(spans))  # a cell at most each, however many groups of queries there are
+    members = [[i for i, span in enumerate(spans) if span == one] for one in shared]
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each group of queries that may need the vector: for one of its cells a.x + U|x| reaches the sure score."""
-        anchors = pivots[cells]
+        """A row for each span of query groups that may need the vector: for one of its cells a.x + U|x| reaches the sure score."""
+        anchors, (first, count) = pivots[cells], np.array(shared, np.int32).T
         reach, least = np.array([q_sum[c][1] for c in cells]), np.array([sure[c] for c in cells])
         slack = np.where(np.isfinite(least), 1e-6 * (1 + np.abs(least)), 0)
         for batch in batches:
             x = matrix(batch.column("v"), width)
             norm = np.sqrt((x**2).sum(axis=1))
             may = x @ anchors.T + norm[:, None] * reach >= least - slack
-            row, group = np.nonzero(np.stack([may[:, m].any(axis=1) for m in members], axis=1))
+            row, span = np.nonzero(np.stack([may[:, m].any(axis=1) for m in members], axis=1))
             taken = batch.select(["v", "ids"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), *taken.columns], names=["part", "v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(first[span]), pa.array(count[span]), *taken.columns], names=["first", "count", "v", "ids"])
 
     if not cells or not d_sum:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint").withColumnRenamed("vec_id", id_col)
     spread = max(1, -(-sum(n for n, *_ in d_sum.values()) // block))
-    near = cut(data_cells.select("v", "ids").mapInArrow(replicate, "part int, v array<int>, ids array<bigint>").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(spread))))
-    lookup = lambda d: F.create_map(*[F.lit(x) for c in cells for x in (c, d[c])])[F.col("cell")]
-    blocks = query_cells.withColumn("part", (lookup(first) + F.pmod(F.xxhash64("class"), lookup(count))).cast("int"))
+    needed = data_cells.select("v", "ids").mapInArrow(replicate, "first int, count int, v array<int>, ids array<bigint>")
+    groups = F.explode(F.sequence("first", F.col("first") + F.col("count") - 1))
+    near = cut(needed.select(groups.alias("part"), "v", "ids", F.pmod(F.xxhash64("ids"), F.lit(spread)).alias("salt")))
+    of_cell = lambda i: F.create_map(*[F.lit(x) for c, span in zip(cells, spans) for x in (c, span[i])])[F.col("cell")]
+    blocks = query_cells.withColumn("part", (of_cell(0) + F.pmod(F.xxhash64("class"), of_cell(1))).cast("int"))
     # a group of queries goes to every salt that holds data for it
     salts = near.select("part", "salt").distinct()
     there = blocks.join(salts, "part").select(F.col("part").alias("p"), F.col("salt").alias("s"), "class", "v")

@@ -24,7 +24,8 @@ LABELLED = 8_000  # labelled documents of each label that training takes at most
 FEATURES = 4_096
 LEAST = 5  # toxic labelled documents that must hold a feature
 BEGINNINGS = (4, 5, 6)
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+CACHED_WORDS = 100_000
 REJECTED = 0.25  # probability of a grade above clean from which a text is rejected
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,8 +56,8 @@ def telling_features(texts: DataFrame, least: int = LEAST, limit: int = FEATURES
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 for f in text_features(text):
                     counts.setdefault(f, [0, 0])[1 if toxic else 0] += 1
-            clean, bad = zip(*counts.values()) if counts else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(clean, pa.int64()), pa.array(bad, pa.int64())], names=["feature", "clean", "bad"])
+            clean, bad = (pa.array((n[i] for n in counts.values()), pa.int64(), size=len(counts)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(counts, pa.string(), size=len(counts)), clean, bad], names=["feature", "clean", "bad"])
 
     sizes = texts.agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") != 0).alias("bad")).first()
     counted = texts.mapInArrow(run, "feature string, clean bigint, bad bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
@@ -76,7 +77,7 @@ class Vectoriser:
     def of(self, text: str) -> tuple[dict[int, float], int]:
         """(feature values, number of words)."""
         words, found = WORD.findall(text.lower()), Counter()
-        if len(self.words) > 300_000:
+        if len(self.words) > CACHED_WORDS:
             self.words.clear()
         known = self.words
         for w in words:
@@ -208,8 +209,9 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, least: float = REJECTED) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, fitted = shared.value
         for batch in batches:
-            found = [vectors.of(t or "")[0] for t in batch.column("text").to_pylist()]
-            keep = [not fitted or not x or 1 - fitted.predict(x)[0] < least for x in found]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part in blocks(batch, "text", BLOCK_BYTES):
+                found = [vectors.of(t or "")[0] for t in part.column("text").to_pylist()]
+                keep = [not fitted or not x or 1 - fitted.predict(x)[0] < least for x in found]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -68,6 +68,18 @@ def test_shards_of_nothing_and_written(spark, tmp_path):
     assert back.count() == 50 and back.select("shard").distinct().count() == 4 and {"text", "key"} <= set(back.columns)
 
 
+def test_sharding_query_moves_whole_documents(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(sharding, "cut", lambda df: written.append(df) or df)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = {(r.doc_id, r.size, r.text_crc32) for r in queries.op1_sharding(spark, SMALL).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert got == {(i, len(t) + 1, zlib.crc32(t)) for i, t in texts.items()}
+    moved = written[0].select("record.*")
+    assert set(docs.columns) <= set(moved.columns)
+    assert {(r.doc_id, (r.text or "").encode()) for r in moved.collect()} == set(texts.items())
+
+
 # 2 near dedup
 
 

@@ -16,6 +16,7 @@ from weftline.llm._common import cut
 BUCKET_BYTES = 32 << 20
 BUCKET_ROWS = 20_000
 LAW = "rows"
+ADDED = ("law", "shard", "slot", "grown_shard")
 
 
 def bucket_count(records: int, size: int, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> int:
@@ -34,8 +35,9 @@ def shuffled(records: DataFrame, id_col: str, n_buckets: int, seed: int) -> Data
     record = F.struct(F.col(id_col), *[F.col(c) for c in columns])
     # spread by the record's position too: one id may stand in very many rows
     copy = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), copy), F.lit(n_buckets))
-    scattered = records.select(bucket.alias("bucket"), record.alias("record")).repartition(n_buckets, "bucket")
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), copy), F.lit(n_buckets)).cast("int")
+    # a bucket is a partition: whole texts of several would meet in one task if the bucket were hashed again
+    scattered = records.select(bucket.alias("bucket"), record.alias("record")).repartitionById(n_buckets, F.col("bucket"))
     gathered = scattered.groupBy("bucket").agg(F.array_sort(F.collect_list("record")).alias("records"))
     ordered = gathered.sortWithinPartitions("bucket").select("bucket", F.shuffle("records", F.lit(seed)).alias("records"))
     return ordered.select("bucket", F.posexplode("records").alias("place", "record"))
@@ -49,8 +51,7 @@ def shard(records: DataFrame, n_shards: int, id_col: str = "doc_id", size_col: s
     named like the added ones are replaced. Only the number of buckets' rows is
     accumulated in order, two numbers a bucket.
     """
-    added = ("law", "shard", "slot", "grown_shard")
-    records = records.drop(*[c for c in added if c in records.columns and c not in (id_col, size_col)])
+    records = records.drop(*[c for c in ADDED if c in records.columns and c not in (id_col, size_col)])
     total = records.agg(F.count("*").alias("n"), F.coalesce(F.sum(size_col), F.lit(0)).alias("size")).first()
     n_buckets = bucket_count(total.n, total.size)
     placed = cut(shuffled(records, id_col, n_buckets, seed))  # the second pass reads what the first has written
@@ -82,7 +83,17 @@ def write_shards(records: DataFrame, path: str, n_shards: int, id_col: str = "do
     out.repartition("shard", "span").sortWithinPartitions("shard", "span", "slot").drop("span").write.partitionBy("shard").parquet(path)
 
 
+def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The whole documents with size: the text's UTF-8 bytes (null: none) plus 1. A column of that name is replaced."""
+    return docs.withColumn("size", (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1).cast("bigint"))
+
+
+def digests(records: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, size, text_crc32) and the columns of ``shard``, where there, from the text that each row holds; the checksum of a null text is that of no bytes."""
+    checksum = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("bigint").alias("text_crc32")
+    return records.select(F.col(id_col), F.col("size"), checksum, *[c for c in ADDED if c in records.columns])
+
+
 def document_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32): size is the text's UTF-8 bytes (null: none) plus 1; the checksum of a null text is that of no bytes."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).cast("bigint").alias("text_crc32"))
+    """(id, size, text_crc32) of each document, without its text."""
+    return digests(sized(docs.select(id_col, text_col), text_col), id_col, text_col)

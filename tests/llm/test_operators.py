@@ -414,6 +414,30 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack_documents(frame(spark, []), WORDS).count() == 0
 
 
+def test_sequences_hold_the_ids(spark, monkeypatch):
+    rows = [(1000 + i, "word " * (40 * i)) for i in range(90)] + ODD
+    texts = {i: t for i, t in rows}
+    library, tokens = Tokenizer.from_file(WORDS), {}
+    for i, t in texts.items():
+        tokens[i] = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+    sequences = packing.pack_sequences(frame(spark, rows), WORDS).collect()
+    for r in sequences:
+        assert len(r.ids) <= 2048 and len(r.ids) == sum(p.length for p in r.pieces)
+        for p in r.pieces:
+            assert r.ids[p.offset : p.offset + p.length] == tokens[p.doc_id][p.start : p.start + p.length]
+    assert sum(len(r.ids) for r in sequences) == sum(len(tokens[i]) for i, _ in rows)
+    written, real = [], packing.cut
+    monkeypatch.setattr(packing, "cut", lambda df: written.append(df.columns) or real(df))
+    queries.op10_packing(spark, SMALL)
+    assert ["sequence_id", "ids", "pieces"] in written
+
+
+def test_packing_of_short_texts_is_tight(spark):
+    docs = frame(spark, [(i, None if i % 3 else "word") for i in range(6000)])
+    sequences = packing.pack_sequences(docs, WORDS)
+    assert sequences.count() == -(-sequences.agg(F.sum(F.size("ids"))).first()[0] // 2048)
+
+
 def test_column_generation_covers_the_demand():
     sizes, demand = np.array([3, 5, 7, 11]), np.array([40, 1, 13, 9])
     used = packing.column_generation(sizes, demand, 16)

@@ -31,7 +31,8 @@ from weftline.llm.bpe import MergeTable, replay_bytes
 from weftline.llm.byte_bpe import gather
 
 CAPACITY = 2048
-UNIT = 16  # width of a length class in tokens
+SHORT = 64  # pieces up to this length have classes of their exact length and sequences of their own
+UNIT = 16  # width in tokens of the classes beyond
 BLOCK_BYTES = 4 << 20
 CACHED_CHUNKS = 300_000
 CHUNK = 10_000  # items a rank group holds at most, about
@@ -152,11 +153,18 @@ def tokenizer(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids array<int>"
+BATCH_IDS = 1 << 20  # ids of a result batch, about
+
+
+def piece_batch(rows: list[tuple], held: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.append(0, np.cumsum([len(x) for x in held])).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held), pa.int32()))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows)), ids], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise every whole text, append ``end_id`` and cut at multiples of ``capacity``.
+    """Tokenise every whole text, append ``end_id`` and cut at multiples of ``capacity``; each piece holds its ids.
 
     A null text counts as empty and gives one piece, the end id; null ids stay null;
     repeated rows each give their pieces; other columns are ignored.
@@ -167,13 +175,21 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
         for batch in batches:
             for part in blocks(batch, "text", BLOCK_BYTES):
                 ids, counts = bpe.encode_block(part.column("text"))
-                rows, at = [], 0
-                tail = np.array([end_id], "<u4")
+                rows, held, at, size = [], [], 0, 0
+                tail = np.array([end_id], "<i4")
                 for doc, n in zip(part.column("doc_id").to_pylist(), counts.tolist()):
-                    own = np.concatenate((ids[at : at + n].astype("<u4"), tail))
+                    own = np.concatenate((ids[at : at + n].astype("<i4"), tail))
                     at += n
-                    rows.extend((doc, s, min(capacity, n + 1 - s), zlib.crc32(own[s : s + capacity]), n + 1) for s in range(0, n + 1, capacity))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    for s in range(0, n + 1, capacity):
+                        piece = own[s : s + capacity]
+                        rows.append((doc, s, len(piece), zlib.crc32(piece), n + 1))
+                        held.append(piece)
+                        size += len(piece)
+                        if size >= BATCH_IDS:
+                            yield piece_batch(rows, held)
+                            rows, held, size = [], [], 0
+                if rows:
+                    yield piece_batch(rows, held)
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     return picked.mapInArrow(run, PIECES)
@@ -253,16 +269,21 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds:
 PLAN = T.StructType([T.StructField(n, T.LongType(), False) for n in ("kind", "from_rank", "to_rank", "each", "first_sequence", "first_place")])
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
-    """Give each piece its sequence and offset.
+def length_class(length: F.Column, capacity: int) -> F.Column:
+    """The length that a piece counts with: exact up to SHORT tokens, beyond rounded up to a multiple of UNIT; 0 for full pieces."""
+    return F.when(length >= capacity, F.lit(0)).when(length <= SHORT, length).otherwise(F.ceil(length / UNIT) * UNIT).cast("bigint")
+
+
+def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The packed sequences: (sequence_id, ids, pieces), one row a sequence.
 
-    parts: rows of ``pieces`` (read several times: cut it first). Adds sequence_id and
-    offset; sequences are numbered from 0, offsets are gapless. Equal lengths are ranked
+    parts: rows of ``pieces`` (read several times: cut it first). Sequences are numbered
+    from 0; ids are those of the pieces one after another; pieces says for each its
+    offset, doc_id, start, length and doc_tokens. Equal lengths are ranked
     by id, start and checksum; an empty table gives an empty result.
     """
     spark = parts.sparkSession
-    kind = F.when(F.col("length") >= capacity, F.lit(0)).otherwise(F.ceil(F.col("length") / unit)).cast("bigint")
-    counted = parts.withColumn("kind", kind)
+    counted = parts.withColumn("kind", length_class(F.col("length"), capacity))
     histogram = {r.kind: r.n for r in counted.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # one row a class
     groups = max(1, -(-max(histogram.values(), default=0) // CHUNK))
     counted = counted.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
@@ -277,9 +298,13 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFr
     plan, at, sequences = [], {int(k): 0 for k in sizes}, histogram.get(0, 0)
     if sequences:
         plan.append((0, 0, sequences, 1, 0, 0))
-    for pattern, n in column_generation(sizes, np.array([histogram[int(k)] for k in sizes], np.int64), capacity // unit):
+    demand, short = np.array([histogram[int(k)] for k in sizes], np.int64), sizes <= SHORT
+    # short pieces fill sequences by exact lengths without a linear program: less than one piece is left open
+    used = [(sizes[short], *u) for u in column_generation(sizes[short], demand[short], capacity, rounds=0)]
+    used += [(sizes[~short], *u) for u in column_generation(sizes[~short] // UNIT, demand[~short], capacity // UNIT)]
+    for of, pattern, n in used:
         first = 0
-        for k, each in zip(sizes.tolist(), pattern.tolist()):
+        for k, each in zip(of.tolist(), pattern.tolist()):
             if each:
                 plan.append((k, at[k], at[k] + n * each, each, sequences, first))
                 at[k] += n * each
@@ -295,9 +320,37 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFr
         .withColumn("order", F.col("first_place") + inside % F.col("each"))
     )
     before_it = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("order")) - F.col("length")
-    return placed.withColumn("offset", before_it).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    of_one = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "start", "length", "doc_tokens", "ids")))
+    gathered = placed.withColumn("offset", before_it).groupBy("sequence_id").agg(of_one.alias("parts"))
+    spans = F.transform("parts", lambda p: F.struct(*[p[n].alias(n) for n in ("offset", "doc_id", "start", "length", "doc_tokens")]))
+    return gathered.select("sequence_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), spans.alias("pieces"))
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise, cut and pack: see ``pieces`` and ``pack``."""
+DIGESTS = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+
+
+def digests(sequences: DataFrame) -> DataFrame:
+    """A row for each piece of each sequence; the checksum is that of the ids that stand in the sequence at its offset."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, rows = batch.column("ids"), []
+            flat, begins = lists.values.to_numpy().astype("<i4"), lists.offsets.to_numpy()
+            for sequence, begin, held in zip(batch.column("sequence_id").to_pylist(), begins.tolist(), batch.column("pieces").to_pylist()):
+                for p in held:
+                    at = begin + p["offset"]
+                    rows.append((p["doc_id"], p["start"], p["length"], zlib.crc32(flat[at : at + p["length"]]), p["doc_tokens"], sequence, p["offset"]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[c.split()[0] for c in DIGESTS.split(", ")])
+
+    return sequences.mapInArrow(run, DIGESTS)
+
+
+def pack_sequences(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Tokenise, cut and pack into sequences of ids: see ``pieces`` and ``pack``."""
     return pack(cut(pieces(docs, path, end_id, capacity, id_col, text_col)), capacity)
+
+
+def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The digests of all packed sequences, which are written first."""
+    return digests(cut(pack_sequences(docs, path, end_id, capacity, id_col, text_col)))

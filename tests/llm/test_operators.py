@@ -280,6 +280,21 @@ def test_top_k_of_few(spark):
     assert knn_join.top_k(big, big, 5).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    vectors = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(60)]
+    vectors = [*vectors, *vectors[:20] * 7, *((5, [9.0 + i] * 4) for i in range(8))]
+    table = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>")
+    good = sorted({(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v in vectors})
+    asked, expected = {}, set()
+    for i, v in good:
+        asked.setdefault(i, v)
+    for q, v in asked.items():
+        best = sorted((-sum(x * y for x, y in zip(v, w)), i) for i, w in good if i != q)[:5]
+        expected |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in knn_join.top_k(table, table, 5, n_pivots=8, block=16).collect()} == expected
+
+
 # 7 toxicity
 
 

@@ -3,7 +3,7 @@
 Vectors become integers, and equal vectors one class (its smallest ids are kept, as many
 as can ever matter). Queries and data are grouped by their nearest pivot. From each
 group's summary (size, radius, largest norm) every query group gets a score that at
-least k + 1 data vectors are sure to reach; a data vector is copied to a query group only
+least k data vectors of other ids are sure to reach; a data vector is copied to a query group only
 if its upper bound reaches that score. Each group is solved locally, in blocks.
 """
 
@@ -113,12 +113,16 @@ def top_k(table: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     """(query_id, rank, id, score): each query's k best rows of ``table`` but its own id, all if fewer.
 
     Ties go to the smaller id. Vectors of unlike lengths score over their common prefix.
-    Rows left out by ``integer_vectors`` take no part on either side; rows that repeat an
-    id count as candidates once each and as queries once; empty tables give an empty result.
+    Rows left out by ``integer_vectors`` take no part on either side; rows that repeat both
+    id and integer vector count once, unlike vectors of an id are candidates each, and a
+    query has the smallest of its vectors; empty tables give an empty result.
     """
     spark = table.sparkSession
-    data = cut(smallest_ids(integer_vectors(table, id_col, vector_col, scale), k + 1).withColumn("size", F.size("ids")))
-    asked = integer_vectors(queries, id_col, vector_col, scale).dropDuplicates(["id"])
+    rows = cut(integer_vectors(table, id_col, vector_col, scale).distinct())
+    # so many of a list's rows can be a query's own: lists hold as many more than k
+    most = k + (rows.groupBy("id").count().agg(F.max("count")).first()[0] or 1)
+    data = cut(smallest_ids(rows, most).withColumn("size", F.size("ids")))
+    asked = integer_vectors(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
     width = max(1, data.agg(F.max(F.size("v"))).first()[0] or 1, asked.agg(F.max(F.size("v"))).first()[0] or 1)
     # pivots: the distinct vectors of smallest hash, a fixed number of them
     chosen = data.orderBy(F.xxhash64("v"), "v").limit(n_pivots).select("v").toArrow()
@@ -127,7 +131,7 @@ def top_k(table: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     asked_classes = cut(asked.groupBy("v").agg(F.min("id").alias("class"), F.count("*").alias("size")))
     query_cells, data_cells = cut(voronoi(asked_classes, pivots)), cut(voronoi(data, pivots))
     q_sum, d_sum = summaries(query_cells), summaries(data_cells)
-    sure = sure_scores(q_sum, d_sum, pivots, k + 1)
+    sure = sure_scores(q_sum, d_sum, pivots, most)
     q_sizes = {r.cell: r["count"] for r in query_cells.groupBy("cell").count().collect()}
     cells = sorted(q_sum)
     spans = query_groups([q_sizes[c] for c in cells], block)
@@ -167,15 +171,15 @@ def top_k(table: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
             exact = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * width < 2**53
             scores = (q @ x.T).astype(np.int64) if exact else q.astype(np.int64) @ x.astype(np.int64).T
             for name, line in zip(classes, scores):
-                # k + 1 classes in order of score, and all that tie with the last
-                cutoff = np.partition(line, -(k + 1))[-(k + 1)] if len(line) > k + 1 else line.min()
-                best = sorted(((-int(line[j]), i) for j in np.flatnonzero(line >= cutoff) for i in ids[j]))[: k + 1]
+                # as many classes in order of score, and all that tie with the last
+                cutoff = np.partition(line, -most)[-most] if len(line) > most else line.min()
+                best = sorted(((-int(line[j]), i) for j in np.flatnonzero(line >= cutoff) for i in ids[j]))[:most]
                 rows.extend((name, i, -s) for s, i in best)
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("class", "vec_id", "score"), zip(*rows) if rows else ((), (), ()))})
 
     found = there.groupBy("p", "s").cogroup(near.groupBy("part", "salt")).applyInArrow(solve, "class bigint, vec_id bigint, score bigint")
     order = [F.desc("score"), F.asc("vec_id")]
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy(*order))).where(F.col("r") <= k + 1)
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy(*order))).where(F.col("r") <= most)
     # each member of a query class takes the class's list without itself
     lists = best.groupBy("class").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("best"))
     members = asked.join(asked_classes.select("v", "class"), "v").select("id", "class")

@@ -323,6 +323,24 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score(docs.limit(0), none).count() == 0
 
 
+def test_toxicity_keeps_the_mix_of_labels(spark, monkeypatch):
+    docs = frame(spark, [*((100 + i, f"you idiot {i}") for i in range(10)), *((200 + i, f"nice thing {i}") for i in range(40))])
+    labels = spark.createDataFrame([(100 + i, 1, 1) for i in range(10)] + [(200 + i, 1, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    seen, fit = [], toxicity.CumulativeLink.fit
+    monkeypatch.setattr(toxicity.CumulativeLink, "fit", lambda rows, grades, *a, **k: seen.append((grades, k["weights"])) or fit(rows, grades, *a, **k))
+    toxicity.train(docs, labels, limit=8)
+    (grades, weights), = seen
+    assert len(grades) == 16 and np.isclose(weights[grades == 0].sum(), 40) and np.isclose(weights[grades > 0].sum(), 10)
+
+
+def test_weights_stand_for_rows():
+    clean, toxic = [{0: 1.0}] * 10 + [{}] * 90, [{0: 1.0}] * 80 + [{}] * 20
+    bad = np.repeat([1, 2, 3], [34, 33, 33])
+    whole = toxicity.CumulativeLink.fit(clean * 4 + toxic, np.append(np.zeros(400, int), bad), 1, 4)
+    part = toxicity.CumulativeLink.fit(clean + toxic, np.append(np.zeros(100, int), bad), 1, 4, weights=np.repeat([4.0, 1.0], 100))
+    assert np.allclose(whole.predict({0: 1.0}), part.predict({0: 1.0}), atol=0.01) and np.allclose(whole.predict({}), part.predict({}), atol=0.01)
+
+
 def test_thresholds_are_ordered():
     rows = [{0: 1.0}] * 20 + [{}] * 60
     model = toxicity.CumulativeLink.fit(rows, np.array([1, 2] * 10 + [0] * 60), 1, 4)

@@ -39,9 +39,20 @@ def text_features(text: str) -> set[str]:
     return {f for w in set(WORD.findall(text.lower())) for f in word_features(w)}
 
 
+def severest(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): one row a labelled document."""
+    return labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def label_weights(labels: DataFrame, limit: int) -> dict[int, float]:
+    """What a sampled document of each label stands for: the label's number of documents over its number in the sample."""
+    known = severest(labels).where("toxic in (0, 1)")
+    return {r.toxic: r.n / min(limit, r.n) for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+
+
 def sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` labelled texts of each label, those of the smallest hash of the id; (id, text, toxic)."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = severest(labels)
     picked = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for v in (0, 1)]
     # 2 * limit ids and marks at most
     return docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "text", "toxic")
@@ -96,16 +107,17 @@ class CumulativeLink:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, rows: list[dict[int, float]], grades: np.ndarray, n_features: int, levels: int, l2: float = 1e-3, rounds: int = 2500, rate: float = 0.1) -> CumulativeLink:
-        """Maximum likelihood with an L2 penalty by Adam; thresholds are a first one and positive steps, so they stay ordered."""
+    def fit(cls, rows: list[dict[int, float]], grades: np.ndarray, n_features: int, levels: int, l2: float = 1e-3, rounds: int = 2500, rate: float = 0.1, weights: np.ndarray | None = None) -> CumulativeLink:
+        """Maximum likelihood with an L2 penalty by Adam; thresholds are a first one and positive steps, so they stay ordered. A row counts by its weight over the mean weight (none: all alike)."""
         at = np.fromiter((i for r in rows for i in r), np.int64)
         of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         x = np.fromiter((v for r in rows for v in r.values()), np.float64)
-        share = np.array([(grades <= j).mean() for j in range(levels - 1)]).clip(1e-3, 1 - 1e-3)
+        balance = np.ones(len(rows)) if weights is None else weights / weights.mean()
+        share = np.array([((grades <= j) * balance).mean() for j in range(levels - 1)]).clip(1e-3, 1 - 1e-3)
         start = np.log(share / (1 - share))
         p = np.concatenate((np.zeros(n_features), start[:1], np.log(np.maximum(np.diff(start), 1e-2))))
         m, v = np.zeros_like(p), np.zeros_like(p)
-        n, balance = len(rows), np.ones(len(rows))
+        n = len(rows)
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         for t in range(1, rounds + 1):
             w, theta = p[:n_features], np.cumsum(np.append(p[n_features], np.exp(p[n_features + 1 :])))
@@ -140,7 +152,7 @@ class ToxicityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> ToxicityModel:
-    """Fit on at most ``limit`` labelled documents of each label.
+    """Fit on at most ``limit`` labelled documents of each label, weighted to the labels' true mix.
 
     Labels only say toxic or not, so the toxic documents' severity is graded by how much
     telling vocabulary they hold (the sum of its log counts): its thirds are grades 1 to 3. Labels of
@@ -170,8 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Toxicity
     if not toxic.any():
         return ToxicityModel([], None)
     cuts = np.quantile(evidence[toxic], [1 / 3, 2 / 3])
+    stands_for = label_weights(labels, limit)
+    weights = np.array([stands_for[r.toxic] for r in rows])
     grades = np.where(toxic, 1 + np.searchsorted(cuts, evidence, side="right"), 0)
-    return ToxicityModel(features, CumulativeLink.fit(sparse, grades, len(features), ToxicityModel.LEVELS))
+    return ToxicityModel(features, CumulativeLink.fit(sparse, grades, len(features), ToxicityModel.LEVELS, weights=weights))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", least: float = REJECTED) -> DataFrame:

@@ -133,6 +133,71 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids_in_any_order(spark):
+    base = [f"w{i}" for i in range(60)]
+    a, near, b, far = " ".join(base), " ".join([*base[:-1], "x"]), " ".join(f"v{i}" for i in range(60)), " ".join(f"v{i}" for i in range(59))
+    rows = [(5, a), (5, b), (6, near), (3, far), (5, a), (8, "alone in the world")]
+    for order in (rows, rows[::-1], [rows[i] for i in (1, 0, 3, 2, 5, 4)]):
+        got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, order), width=2).collect()}
+        assert got == {(5, 3, False), (6, 3, False), (3, 3, True), (8, 8, True)}
+
+
+def test_no_block_gives_out_all_pairs(spark, monkeypatch):
+    """Two thousand near copies, many of which are too far from each other: links given out stay below members times blocks."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(2000):
+        copy = list(base)
+        for _ in range(rng.randint(2, 5)):
+            copy[rng.randrange(90)] = f"x{rng.randrange(50)}"
+        rows.append((i, " ".join(copy)))
+    emitted, across = [], near_dedup.across
+    monkeypatch.setattr(near_dedup, "across", lambda *a: emitted.append(near_dedup.cut(across(*a))) or emitted[-1])
+    monkeypatch.setattr(near_dedup, "STARS", 1)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows), group=100).collect()}
+    # all intersections at once, then a walk over the links
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(86)} for _, t in rows]
+    index = {x: j for j, x in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((2000, len(index)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [index[x] for x in s]] = 1
+    sizes, both = has.sum(axis=1), has @ has.T
+    linked, expected = 100 * both >= 80 * (sizes[:, None] + sizes - both), {}
+    for i in range(2000):
+        todo = [i] if i not in expected else []
+        while todo:
+            for j in np.flatnonzero(linked[todo.pop()]).tolist():
+                if j not in expected:
+                    expected[j] = i
+                    todo.append(j)
+    assert got == expected and 10 < len(set(got.values())) < 1990
+    assert len(emitted) == 1 and emitted[0].count() < 40 * 2000
+
+
+def test_spanning_links_join_what_all_links_join():
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(60):
+        own = rng.integers(0, 1 << 60, 12, dtype=np.uint64)
+        core = np.array([int(rng.integers(6)) * 1000 + j for j in range(100)], np.uint64)
+        sets.append(np.unique(np.concatenate((rng.choice(core, 95, replace=False), own[: int(rng.integers(0, 12))]))))
+    sig = (near_dedup.signatures(sets, 200)).astype("<u2")
+    links = near_dedup.spanning(np.arange(60), np.arange(60), sig, sets, None, 80, near_dedup.least_matches(80, 200))
+    root = list(range(60))
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for a, b in links:
+        assert top(a) != top(b)  # none that isn't needed
+        root[top(a)] = top(b)
+    for i in range(60):
+        for j in range(i):
+            k = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
+                assert top(i) == top(j)
+
 def test_bayesian_thresholds_rise():
     needed = near_dedup.least_matches(80, 200)
     assert [t for t, _ in needed] == list(range(20, 201, 20))

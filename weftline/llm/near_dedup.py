@@ -7,10 +7,12 @@ its similarity reaches the threshold falls below the chosen miss probability. Th
 survivors are checked on their full shingle sets.
 
 No group emits all its pairs. In the first round each band bucket compares its members
-with its smallest one only. What remains are buckets whose members still lie in
-different components; there the members are dealt out in blocks, and tasks compare
-blocks of different components in memory, giving out survivors alone. A pair that is
-left out lies in one component already, so the components are those of all candidates.
+with one of them only; further rounds take another member of a bucket's largest
+component as the centre for those that lie outside it. What remains are buckets whose
+members still lie in different components; there the members are dealt out in blocks,
+and tasks compare blocks of different components on full sets in memory, giving out
+fewer links than they have members. A pair that is left out lies in one component
+already, so the components are those of all candidates.
 """
 
 from __future__ import annotations
@@ -32,7 +34,10 @@ BANDS, ROWS = 40, 5  # at similarity 0.8 a pair shares no band with probability
 BATCH = 20  # hashes compared at a time
 MISS = 1e-6
 BLOCK_BYTES = 4 << 20
+STARS = 3  # rounds of comparison with one member of each bucket
+SHARE = 256  # partners that meet one copy of a centre's signature or set, about
 GROUP = 512  # members of a bucket that meet in one task at most, on either side
+SET_BYTES = 16 << 20  # and bytes of their sets, about
 BITS = 1 << 25  # bits of the id filter; its rows are 4 MB together at most
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -97,11 +102,11 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-FEATURES = "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, sig binary"
+FEATURES = "doc_id bigint, h bigint, n_shingles bigint, key binary, bands array<bigint>, sig binary"
 
 
 def features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, key, bands, sig): the set's size and digest, its band keys and 16 bits of each minimum."""
+    """(doc_id, h, n_shingles, key, bands, sig) from (doc_id, h, text): the set's size and digest, its band keys and 16 bits of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,8 +123,8 @@ def features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                             keys[i], held[i], sigs[i] = xxhash.xxh3_128_digest(s.tobytes()), banded[at], short[at].tobytes()
                             at += 1
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(held, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                    names=["doc_id", "n_shingles", "key", "bands", "sig"],
+                    [part.column("doc_id"), part.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(held, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                    names=["doc_id", "h", "n_shingles", "key", "bands", "sig"],
                 )
 
     return docs.mapInArrow(run, FEATURES)
@@ -154,8 +159,8 @@ def surviving(left: np.ndarray, right: np.ndarray, needed: list[tuple[int, int]]
     return alive
 
 
-def needed(table: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``table`` whose id is among ``ids`` (one column, named id).
+def needed(table: DataFrame, id_col: str, ids: DataFrame, *also: str) -> DataFrame:
+    """The rows of ``table`` whose id, with the columns ``also``, is among ``ids`` (the column id, those columns and others, which are added).
 
     A bitmap of hashed ids of fixed size is broadcast first, so that most other rows go
     before the shuffle; where it fills up it only stops saving.
@@ -167,68 +172,99 @@ def needed(table: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
     likely = table.join(F.broadcast(bits), F.bitmap_bucket_number(place(F.col(id_col))) == F.col("_part")).where(F.getbit(byte, (position % 8).cast("int")) == 1)
     # an inner join with distinct ids: Spark would move a semi join below the filter
-    return likely.select(*table.columns).join(ids.select(F.col("id").alias(id_col)).distinct(), id_col)
+    return likely.select(*table.columns).join(ids.withColumnRenamed("id", id_col).distinct(), [id_col, *also])
+
+
+def with_partners(pairs: DataFrame, table: DataFrame, payload: str) -> DataFrame:
+    """(a, b, left, right): the payloads of both members of each pair; table: (cid, payload), one row a cid.
+
+    A centre a may have very many partners: its payload is dealt out once for every
+    SHARE of them, so that neither a task nor the network has it once a pair.
+    """
+    right = pairs.join(table.select(F.col("cid").alias("b"), F.col(payload).alias("right")), "b")
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    left = shares.join(table.select(F.col("cid").alias("a"), F.col(payload).alias("left")), "a")
+    left = left.select("a", "left", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    dealt = right.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares"))).drop("shares")
+    return dealt.join(left, ["a", "share"]).select("a", "b", "left", "right")
 
 
 def similar(pairs: DataFrame, classes: DataFrame, percent: int, n_hashes: int, miss: float) -> DataFrame:
     """The (a, b) whose signatures survive the Bayesian comparison."""
     pairs = cut(pairs)
     sigs = needed(classes.select("cid", "sig"), "cid", pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    both = pairs.join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
     thresholds = least_matches(percent, n_hashes, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, n_hashes) for c in ("sig_a", "sig_b"))
+                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, n_hashes) for c in ("left", "right"))
                 keep = pa.array(surviving(left, right, thresholds))
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
+    return with_partners(pairs, cut(sigs), "sig").mapInArrow(run, "a bigint, b bigint")
 
 
-def built(docs: DataFrame, ids: DataFrame, width: int, short: bool = False) -> DataFrame:
-    """(doc_id, held) for the given ids: sorted shingle hashes, whole or (short) their upper 16 bits."""
+def built(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cid, held) for the classes (cid, least, h): their sorted shingle hashes, from the row of that id and text hash."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text", BLOCK_BYTES):
-                sets = shingle_sets(part.column("text"), width)
-                held = [((s >> np.uint64(48)).astype("<u2") if short else s).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(held, pa.binary())], names=["doc_id", "held"])
+                held = [s.tobytes() for s in shingle_sets(part.column("text"), width)]
+                yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array(held, pa.binary())], names=["cid", "held"])
 
-    return needed(docs, "doc_id", ids).dropDuplicates(["doc_id"]).mapInArrow(build, "doc_id bigint, held binary")
+    ids = wanted.select(F.col("least").alias("id"), "h", "cid")
+    rows = needed(docs.select("doc_id", "h", "text"), "doc_id", ids, "h")
+    return rows.select("doc_id", "h", "cid", "text").distinct().select("cid", "text").mapInArrow(build, "cid bigint, held binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The (a, b) whose full sets share enough: 100 * intersection >= percent * union."""
     pairs = cut(pairs.distinct())
-    sets = cut(built(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width))
+    wanted = needed(classes.select("cid", "least", "h"), "cid", pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = cut(built(docs, cut(wanted), width))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column("left"), batch.column("right"))):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * shared >= percent * (len(p) + len(q) - shared):
+                if enough(shared(p, q), len(p), len(q), percent):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("held").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("held").alias("right"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(check, "a bigint, b bigint")
+    return with_partners(pairs, sets, "held").mapInArrow(check, "a bigint, b bigint")
+
+
+def shared(p: np.ndarray, q: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(p) > len(q):
+        p, q = q, p
+    return int(np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p))
+
+
+def enough(both, n, m, percent: int):
+    return 100 * both >= percent * (n + m - both)
+
 
+def relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edges between the labels' roots; nodes without a label are their own."""
+    for c in "ab":
+        edges = edges.join(labels.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    return edges.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): root is the smallest node reachable.
+
+def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame | None:
+    """(node, root) for every node of the edges (a, b) and of earlier labels: root is the smallest node reachable; None without edges and labels.
 
     Each round points every node at its smallest neighbour, follows the pointers to
     their ends by doubling, and goes on with the edges between different ends.
     """
+    if labels is not None:
+        edges = relabelled(edges, labels)
     edges = cut(edges.select("a", "b").where("a <> b").distinct())
-    labels = None
     while not edges.isEmpty():
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = cut(ways.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
@@ -241,38 +277,93 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = parent
         else:
-            labels = cut(labels.join(parent.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-        a, b = (parent.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-        edges = cut(edges.join(a, "a").join(b, "b").where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            up = parent.select(F.col("node").alias("own"), F.col("root").alias("top"))
+            moved = labels.join(up, F.col("root") == F.col("own"), "left").select("node", F.coalesce("top", "root").alias("root"))
+            labels = cut(moved.unionByName(parent).groupBy("node").agg(F.min("root").alias("root")))
+        edges = cut(relabelled(edges, parent).where("a <> b").distinct())
+    return labels
+
+
+def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Adds the root of each cid."""
+    if labels is None:
+        return members.withColumn("root", F.col("cid"))
+    return members.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 
-def labelled(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    return classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+def one_document(live: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between the classes of each id that stands in rows of several sets."""
+    keys = live.select("doc_id", "key", F.xxhash64("key").alias("h"))
+    ids = cut(keys.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("doc_id"))
+    rows = keys.join(ids, "doc_id").select("doc_id", "key").distinct().join(classes.select("key", "cid"), "key").select("doc_id", "cid")
+    return rows.groupBy("doc_id").agg(F.min("cid").alias("a")).join(rows.withColumnRenamed("cid", "b"), "doc_id").select("a", "b")
 
 
-def across(buckets: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, n_hashes: int, miss: float, group: int) -> DataFrame:
-    """Surviving pairs of different components that share a bucket; buckets: (bucket, cid, root).
+def unsettled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, cid, root) of the buckets whose members lie in several components, one of those with the same members."""
+    rows = cut(labelled(buckets.select("bucket", "cid"), labels))
+    shape = rows.groupBy("bucket").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "cid")).alias("h2")
+    )
+    kept = shape.where("lo <> hi and n > 2").groupBy("n", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return rows.join(kept, "bucket")
+
 
-    What survives the Bayesian comparison must also pass a bound on the intersection
-    that never falls short: the hashes whose upper 16 bits the other set has too.
+def star(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of one member of each bucket's largest component, another one each turn, and every member outside it."""
+    own = members.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "cid").alias("h"), "cid")).alias("first"))
+    top = own.groupBy("bucket").agg(F.max(F.struct("n", "root", "first.cid")).alias("top"))
+    away = members.join(top, "bucket").where(F.col("root") != F.col("top.root"))
+    return away.select(F.col("top.cid").alias("a"), F.col("cid").alias("b")).distinct()
 
-    In a bucket of more than ``group`` members the largest component is dealt to blocks
-    of its own, and so are the others; a task takes one block of each kind, or two of
-    the others. So the work follows members times strays, not members squared.
+
+def spanning(cid: np.ndarray, root: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, percent: int, thresholds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Confirmed links that join all components of the members which any link between them joins; fewer than members.
+
+    side: compare only members of unlike sides. Pairs that known roots or a link found
+    before have joined aren't compared; all others are, first by signature batches, then
+    on full sets.
     """
-    own = buckets.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    shape = own.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
-    shape = shape.where((F.col("n") > 2) & (F.col("top.n") < F.col("n")))
+    label = np.unique(root, return_inverse=True)[1]
+    sizes, found = np.array([len(s) for s in sets]), []
+    for i in range(len(cid)):
+        others = np.flatnonzero(side) if side is not None else np.arange(i + 1, len(cid))
+        if side is not None and side[i]:
+            continue
+        others = others[label[others] != label[i]]
+        others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
+        if len(others):
+            others = others[surviving(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others], thresholds)]
+        for j in others.tolist():
+            if label[j] != label[i] and enough(shared(sets[i], sets[j]), sizes[i], sizes[j], percent):
+                found.append((int(cid[i]), int(cid[j])))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def across(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, n_hashes: int, miss: float, group: int) -> DataFrame:
+    """Confirmed links (a, b) between different components that share a bucket; members: (bucket, cid, root).
+
+    In a bucket of more than ``group`` members, or of more set bytes than a block may
+    have, the largest component is dealt to blocks of its own, and so are the others; a
+    task takes one block of each kind, or two of the others. So the work follows members
+    times strays, not members squared, and a task gives out fewer links than it has members.
+    """
+    members = cut(members)
+    weighed = members.join(needed(classes.select("cid", "n_shingles"), "cid", members.select(F.col("cid").alias("id")).distinct()), "cid")
+    own = weighed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum(F.col("n_shingles") * 8).alias("bytes"))
+    shape = own.groupBy("bucket").agg(F.max(F.struct("n", "bytes", "root")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    n_blocks = lambda n, size: F.greatest(F.ceil(n / group), F.ceil(size / SET_BYTES))
+    small = (F.col("n") <= group) & (F.col("bytes") <= SET_BYTES)
     shape = shape.select(
         "bucket",
         F.col("top.root").alias("main"),
-        F.when(F.col("n") <= group, 0).otherwise(F.ceil(F.col("top.n") / group)).alias("main_blocks"),
-        F.when(F.col("n") <= group, 1).otherwise(F.ceil((F.col("n") - F.col("top.n")) / group)).alias("stray_blocks"),
+        F.when(small, 0).otherwise(n_blocks(F.col("top.n"), F.col("top.bytes"))).alias("main_blocks"),
+        F.when(small, 1).otherwise(n_blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes"))).alias("stray_blocks"),
     )
-    rows = cut(buckets.join(shape, "bucket"))
-    ids = cut(rows.select(F.col("cid").alias("id")).distinct())
-    marks = needed(classes.select("cid", "sig"), "cid", ids).join(built(docs, ids, width, short=True).withColumnRenamed("doc_id", "cid"), "cid")
+    rows = cut(members.join(shape, "bucket"))
+    wanted = cut(needed(classes.select("cid", "least", "h", "sig"), "cid", rows.select(F.col("cid").alias("id")).distinct()))
+    marks = cut(wanted.select("cid", "sig").join(built(docs, wanted, width), "cid"))
     is_main = (F.col("root") == F.col("main")) & (F.col("main_blocks") > 0)
     block = F.pmod(F.xxhash64("cid"), F.when(is_main, F.col("main_blocks")).otherwise(F.col("stray_blocks")))
     all_main, all_stray = (F.transform(F.sequence(F.lit(1), F.col(c)), lambda x: (x - 1).cast("bigint")) for c in ("main_blocks", "stray_blocks"))
@@ -282,37 +373,17 @@ def across(buckets: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     with_others = F.transform(all_stray, lambda s: F.struct((-1 - F.least(s, F.col("block"))).alias("m"), F.greatest(s, F.col("block")).alias("s")))
     dealt = rows.withColumn("is_main", is_main).withColumn("block", block)
     dealt = dealt.withColumn("groups", F.when(F.col("is_main"), to_main).otherwise(F.concat(with_main, with_others)))
-    dealt = dealt.join(marks, "cid").select("bucket", "cid", "root", "is_main", "sig", "held", F.explode("groups").alias("g"))
+    dealt = dealt.select("bucket", "cid", "root", "is_main", F.explode("groups").alias("g")).join(marks, "cid")
     thresholds = least_matches(percent, n_hashes, miss)
 
     def compare(key, frame):
         import pandas as pd
 
-        m = int(key[1])
         sig = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(len(frame), n_hashes)
-        cid, root, main = frame["cid"].to_numpy(), frame["root"].to_numpy(), frame["is_main"].to_numpy()
-        sizes = frame["held"].map(len).to_numpy() // 2
-        starts = np.cumsum(sizes) - sizes
-        flat, known = np.frombuffer(b"".join(frame["held"]), "<u2"), np.zeros(1 << 16, bool)
-        found = []
-        for i in range(len(frame)):
-            if m >= 0:
-                others = np.flatnonzero(~main) if main[i] else np.empty(0, np.int64)
-            else:
-                others = np.arange(i + 1, len(frame))
-            others = others[root[others] != root[i]]
-            others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
-            if not len(others):
-                continue
-            others = others[surviving(np.broadcast_to(sig[i], (len(others), n_hashes)), sig[others], thresholds)]
-            if len(others):
-                own = flat[starts[i] : starts[i] + sizes[i]]
-                known[own] = True
-                shared = np.array([np.count_nonzero(known[flat[starts[j] : starts[j] + sizes[j]]]) for j in others])
-                known[own] = False
-                others = others[100 * shared >= percent * (sizes[i] + sizes[others] - shared)]
-                found.extend((min(cid[i], cid[j]), max(cid[i], cid[j])) for j in others)
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+        sets = [np.frombuffer(x, np.uint64) for x in frame["held"]]
+        side = frame["is_main"].to_numpy() if int(key[1]) >= 0 else None
+        found = spanning(frame["cid"].to_numpy(), frame["root"].to_numpy(), sig, sets, side, percent, thresholds)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     columns = ("cid", "root", "is_main", "sig", "held")
     return dealt.select("bucket", F.col("g.m").alias("m"), F.col("g.s").alias("s"), *columns).groupBy("bucket", "m", "s").applyInPandas(compare, "a bigint, b bigint")
@@ -323,28 +394,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id reachable over links; the document of that id is
     kept. Null and empty texts have no shingles and no links. A row with a null id takes
-    no part: its component_id is null and it is kept. Rows that repeat an id are linked
-    as one document. Other columns are ignored; an empty table gives an empty result.
+    no part: its component_id is null and it is kept. Rows that repeat an id are one
+    document: what is linked with any of their texts is linked with all. Other columns
+    are ignored; very long texts are compared whole; an empty table gives an empty result.
     """
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    picked = picked.select("doc_id", F.xxhash64("text").alias("h"), "text")
     held = cut(features(picked, width, bands, rows))
     live = held.where("doc_id is not null and key is not null")
-    # equal sets have equal signatures, so any row's will do
-    classes = cut(live.groupBy("key").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    # equal sets have equal signatures, so any row's will do; the written numbers stay as they are
+    first = [F.first(c).alias(c) for c in ("n_shingles", "bands", "sig")]
+    classes = live.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("row"), *first).select("key", F.col("row.doc_id").alias("least"), "row.h", "n_shingles", "bands", "sig")
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     n = bands * rows
 
+    labels = components(one_document(live, classes))
     banded = classes.select("cid", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("cid").alias("least"), F.count("*").alias("n")).where("n > 1")
-    buckets = cut(banded.join(shared.select("bucket", "least"), "bucket"))
-    stars = buckets.where("cid <> least").select(F.col("least").alias("a"), F.col("cid").alias("b")).distinct()
-    edges = cut(confirmed(similar(stars, classes, percent, n, miss), picked, width, percent))
-    roots = components(edges)
-
-    members = labelled(buckets.select("bucket", "cid"), roots)
-    more = confirmed(across(members, classes, picked, width, percent, n, miss, group), picked, width, percent)
-    roots = components(edges.unionByName(more))
-
-    ends = labelled(classes.select("key", "cid"), roots).select("key", F.col("root").alias("class_root"))
-    joined = held.select("doc_id", "n_shingles", "key").join(ends, "key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_root", "doc_id"))
+    met = banded.groupBy("bucket").agg(F.min("cid").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    buckets = cut(banded.join(met.select("bucket", "centre"), "bucket"))
+    stars = buckets.where("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
+    for turn in range(STARS):
+        labels = components(confirmed(similar(stars, classes, percent, n, miss), classes, picked, width, percent), labels)
+        buckets = cut(unsettled(buckets, labels))
+        if buckets.isEmpty():
+            break
+        stars = star(buckets, turn)
+    else:
+        labels = components(across(buckets, classes, picked, width, percent, n, miss, group), labels)
+
+    ends = labelled(classes.select("key", "cid", "least"), labels)
+    tops = ends.groupBy("root").agg(F.min("least").alias("component"))
+    joined = held.select("doc_id", "n_shingles", "key").join(ends.join(tops, "root").select("key", "component"), "key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -34,7 +34,7 @@ BANDS, ROWS = 40, 5  # at similarity 0.8 a pair shares no band with probability
 BATCH = 20  # hashes compared at a time
 MISS = 1e-6
 BLOCK_BYTES = 4 << 20
-STARS = 3  # rounds of comparison with one member of each bucket
+STARS = 2  # rounds of comparison with one member of each bucket
 SHARE = 256  # partners that meet one copy of a centre's signature or set, about
 GROUP = 512  # members of a bucket that meet in one task at most, on either side
 SET_BYTES = 16 << 20  # and bytes of their sets, about
@@ -256,6 +256,22 @@ def relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return edges.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
 
 
+def composed(labels: DataFrame, parent: DataFrame) -> DataFrame:
+    """The labels, whose roots (and nodes new to them) now have the roots that ``parent`` says."""
+    up = parent.select(F.col("node").alias("own"), F.col("root").alias("top"))
+    moved = labels.join(up, F.col("root") == F.col("own"), "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(parent).groupBy("node").agg(F.min("root").alias("root"))
+
+
+def within_two(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Labels that also join what lies within two of the edges, between the labels' roots, of one smallest node; equal ones are surely reachable, unlike ones may be."""
+    edges = (edges if labels is None else relabelled(edges, labels)).where("a <> b")
+    ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ways.groupBy(F.col("a").alias("b")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
+    parent = ways.join(near, "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("root"))
+    return cut(parent if labels is None else composed(labels, parent))
+
+
 def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame | None:
     """(node, root) for every node of the edges (a, b) and of earlier labels: root is the smallest node reachable; None without edges and labels.
 
@@ -274,12 +290,7 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame |
             parent = higher.select("node", "root")
             if higher.where("moved").isEmpty():
                 break
-        if labels is None:
-            labels = parent
-        else:
-            up = parent.select(F.col("node").alias("own"), F.col("root").alias("top"))
-            moved = labels.join(up, F.col("root") == F.col("own"), "left").select("node", F.coalesce("top", "root").alias("root"))
-            labels = cut(moved.unionByName(parent).groupBy("node").agg(F.min("root").alias("root")))
+        labels = parent if labels is None else cut(composed(labels, parent))
         edges = cut(relabelled(edges, parent).where("a <> b").distinct())
     return labels
 
@@ -408,19 +419,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     n = bands * rows
 
-    labels = components(one_document(live, classes))
+    edges, labels = cut(one_document(live, classes)), None
     banded = classes.select("cid", F.explode("bands").alias("bucket"))
     met = banded.groupBy("bucket").agg(F.min("cid").alias("centre"), F.count("*").alias("n")).where("n > 1")
     buckets = cut(banded.join(met.select("bucket", "centre"), "bucket"))
     stars = buckets.where("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
     for turn in range(STARS):
-        labels = components(confirmed(similar(stars, classes, percent, n, miss), classes, picked, width, percent), labels)
+        found = cut(confirmed(similar(stars, classes, percent, n, miss), classes, picked, width, percent))
+        edges, labels = edges.unionByName(found), within_two(found, labels)
         buckets = cut(unsettled(buckets, labels))
         if buckets.isEmpty():
             break
         stars = star(buckets, turn)
     else:
-        labels = components(across(buckets, classes, picked, width, percent, n, miss, group), labels)
+        edges = edges.unionByName(across(buckets, classes, picked, width, percent, n, miss, group))
+    labels = components(edges, labels)
 
     ends = labelled(classes.select("key", "cid", "least"), labels)
     tops = ends.groupBy("root").agg(F.min("least").alias("component"))

@@ -341,8 +341,43 @@ def test_top_k_of_few(spark):
     table = spark.createDataFrame([(0, [1.0]), (5, [2.0])], "vec_id bigint, embedding array<float>")
     assert {tuple(r) for r in knn_join.top_k(table, table, 5).collect()} == {(0, 1, 5, 256 * 512), (5, 1, 0, 256 * 512)}
     assert knn_join.top_k(table.limit(0), table.limit(0), 5).count() == 0
-    big = spark.createDataFrame([(0, [1.0]), (1, [3e38])], "vec_id bigint, embedding array<float>")
-    assert knn_join.top_k(big, big, 5).count() == 0
+    big = spark.createDataFrame([(0, [1.0]), (1, [3e38]), (2, [-3e38])], "vec_id bigint, embedding array<float>")
+    most, least = (1 << 63) - 1, -(1 << 63)
+    assert {tuple(r) for r in knn_join.top_k(big, big, 5).collect()} == {(0, 1, 1, most), (0, 2, 2, least), (1, 1, 0, most), (1, 2, 2, least), (2, 1, 0, least), (2, 2, 1, least)}
+
+
+def test_inner_products_of_any_size():
+    rng = np.random.default_rng(1)
+    for bits in (8, 20, 31, 40, 100):
+        q, x = (np.floor(rng.normal(size=(9, 7)) * 2.0**bits) for _ in range(2))
+        q[0], x[0] = x[1] * 2.0**70, 0
+        q[1, :2], x[2, :2], q[1, 2:], x[2, 2:] = (2.0**90, -(2.0**90)), 2.0**90, 1, 3  # the large parts cancel
+        exact = [[sum(int(a) * int(b) for a, b in zip(r, c)) for c in x.tolist()] for r in q.tolist()]
+        assert knn_join.inner_products(q, x).tolist() == [[min(max(v, -(1 << 63)), (1 << 63) - 1) for v in line] for line in exact]
+
+
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(2)
+    vectors = [(i, [float(np.float32(x)) for x in rng.normal(size=5) * 10.0 ** rng.integers(-1, 7)]) for i in range(200)]
+    table = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>")
+    assert {tuple(r) for r in knn_join.top_k(table, table.where("vec_id % 5 = 0"), 5, block=50).collect()} == brute_top_k(vectors, 5, 5)
+
+
+def test_bounds_prune_clusters_and_nothing_that_counts():
+    """Share of (vector, query cell) pairs that go: most of them between clusters; the best are never among them."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 300
+    x = np.floor(centres[rng.integers(40, size=4000)] + rng.normal(size=(4000, 16)) * 20)
+    pivots, queries = x[:60], x[::50]
+    cell = ((queries[:, None] - pivots) ** 2).sum(axis=2).argmin(axis=1)
+    kth = np.sort(queries @ x.T, axis=1)[:, -5]
+    length, angle = np.linalg.norm(queries, axis=1), knn_join.angles((queries * pivots[cell]).sum(axis=1), np.linalg.norm(queries, axis=1) * np.linalg.norm(pivots[cell], axis=1))
+    of = {int(c): (1, np.linalg.norm(queries - pivots[c], axis=1)[cell == c].max(), length[cell == c].max(), angle[cell == c].max(), kth[cell == c].min(), 1) for c in set(cell)}
+    cells = sorted(of)
+    may = knn_join.may_reach(x, pivots, cells, of, {c: of[c][4] for c in cells})
+    for q, c, least in zip(queries, cell, kth):
+        assert may[:, cells.index(c)][x @ q >= least].all()
+    assert may.mean() < 0.5
 
 
 def test_top_k_of_repeated_ids(spark):

@@ -427,25 +427,64 @@ def test_toxicity_keeps_the_mix_of_labels(spark, monkeypatch):
     docs = frame(spark, [*((100 + i, f"you idiot {i}") for i in range(10)), *((200 + i, f"nice thing {i}") for i in range(40))])
     labels = spark.createDataFrame([(100 + i, 1, 1) for i in range(10)] + [(200 + i, 1, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
     seen, fit = [], toxicity.CumulativeLink.fit
-    monkeypatch.setattr(toxicity.CumulativeLink, "fit", lambda rows, grades, *a, **k: seen.append((grades, k["weights"])) or fit(rows, grades, *a, **k))
+    monkeypatch.setattr(toxicity.CumulativeLink, "fit", lambda of, at, x, grades, *a, **k: seen.append((grades, k["weights"])) or fit(of, at, x, grades, *a, **k))
     toxicity.train(docs, labels, limit=8)
     (grades, weights), = seen
     assert len(grades) == 16 and np.isclose(weights[grades == 0].sum(), 40) and np.isclose(weights[grades > 0].sum(), 10)
 
 
+def test_toxicity_of_graded_labels(spark):
+    """Labels beyond 1 are toxic too, and are the grades."""
+    texts = ["a nice day", "you fool", "you idiot", "you scoundrel"]
+    rows = [(10 * i + g, f"{t} {i}", g) for g, t in enumerate(texts) for i in range(12 if g else 90)]
+    docs = frame(spark, [r[:2] for r in rows])
+    labels = spark.createDataFrame([(i, 1, g) for i, _, g in rows], "doc_id bigint, quality int, toxic int")
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert {(r.doc_id % 10, r.grade, r.rejected) for r in rows} == {(0, 0, False), (1, 1, True), (2, 2, True), (3, 3, True)}
+    twos = labels.withColumn("toxic", F.when(F.col("toxic") > 0, 2).otherwise(0))
+    assert toxicity.score(docs, toxicity.train(docs, twos)).where("rejected").count() == 36
+
+
+def test_toxicity_block_like_plain_counts():
+    import pyarrow as pa
+
+    texts = ["Bad bads badly, GOOD!", "", "x1bad_bad\u00e9 \u00dcbel", None, "badlands " * 5]
+    features = ["bad", "badl*", "bads", "\u00fcbel", "good"]
+    of, at, x = toxicity.Vectoriser(features).block(pa.array([t or "" for t in texts]))
+    expected = {}
+    for i, t in enumerate(texts):
+        words = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        held = Counter(f for w in words for f in [w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)])
+        expected |= {(i, features.index(f)): np.log1p(n) for f, n in held.items() if f in features}
+    assert dict(zip(zip(of.tolist(), at.tolist()), x.tolist())) == pytest.approx(expected)
+    model = toxicity.CumulativeLink(np.arange(5) * 0.3, np.array([0.1, 0.2, 1.0]))
+    for i, p in enumerate(model.predict(of, at, x, 5)):
+        score = sum(0.3 * f * v for (t, f), v in expected.items() if t == i)
+        below = [0, *(1 / (1 + np.exp(score - t)) for t in (0.1, 0.2, 1.0)), 1]
+        assert p.tolist() == pytest.approx([b - a for a, b in zip(below, below[1:])])
+
+
+def sparse(rows):
+    """(row, feature, value) of rows of dictionaries."""
+    found = [(i, f, v) for i, r in enumerate(rows) for f, v in r.items()]
+    return tuple(np.array([f[k] for f in found], t) for k, t in enumerate((np.int64, np.int64, np.float64)))
+
+
 def test_weights_stand_for_rows():
     clean, toxic = [{0: 1.0}] * 10 + [{}] * 90, [{0: 1.0}] * 80 + [{}] * 20
     bad = np.repeat([1, 2, 3], [34, 33, 33])
-    whole = toxicity.CumulativeLink.fit(clean * 4 + toxic, np.append(np.zeros(400, int), bad), 1, 4)
-    part = toxicity.CumulativeLink.fit(clean + toxic, np.append(np.zeros(100, int), bad), 1, 4, weights=np.repeat([4.0, 1.0], 100))
-    assert np.allclose(whole.predict({0: 1.0}), part.predict({0: 1.0}), atol=0.01) and np.allclose(whole.predict({}), part.predict({}), atol=0.01)
+    whole = toxicity.CumulativeLink.fit(*sparse(clean * 4 + toxic), np.append(np.zeros(400, int), bad), 1, 4)
+    part = toxicity.CumulativeLink.fit(*sparse(clean + toxic), np.append(np.zeros(100, int), bad), 1, 4, weights=np.repeat([4.0, 1.0], 100))
+    shown = sparse([{0: 1.0}, {}])
+    assert np.allclose(whole.predict(*shown, 2), part.predict(*shown, 2), atol=0.01)
 
 
 def test_thresholds_are_ordered():
     rows = [{0: 1.0}] * 20 + [{}] * 60
-    model = toxicity.CumulativeLink.fit(rows, np.array([1, 2] * 10 + [0] * 60), 1, 4)
+    model = toxicity.CumulativeLink.fit(*sparse(rows), np.array([1, 2] * 10 + [0] * 60), 1, 4)
     assert list(model.thresholds) == sorted(model.thresholds)
-    assert sum(model.predict({0: 1.0})) == pytest.approx(1) and model.predict({})[0] > 0.9 > model.predict({0: 1.0})[0]
+    held, none = model.predict(*sparse([{0: 1.0}, {}]), 2)
+    assert sum(held) == pytest.approx(1) and none[0] > 0.9 > held[0]
 
 
 # 8 byte-level BPE

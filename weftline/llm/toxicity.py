@@ -8,17 +8,15 @@ clean texts have next to none and long ones gain nothing by their length.
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import blocks
+from weftline.llm._common import blocks, cut
 
 LABELLED = 8_000  # labelled documents of each label that training takes at most
 FEATURES = 4_096
@@ -27,16 +25,21 @@ BEGINNINGS = (4, 5, 6)
 BLOCK_BYTES = 2 << 20
 CACHED_WORDS = 100_000
 REJECTED = 0.25  # probability of a grade above clean from which a text is rejected
-WORD = re.compile(r"[^\W\d_]+")
+#: Whatever isn't a letter.
+APART = r"[^\pL]+"
 
 
-def word_features(word: str) -> list[str]:
-    """A word and its beginnings (marked by a star)."""
-    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, the place there of each word of the texts one after another, number of words of each text); words are runs of letters, lower-cased."""
+    clear = pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.string())), APART, " ")
+    parted = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(clear))
+    flat = parted.flatten().dictionary_encode()
+    return flat.dictionary.to_pylist(), flat.indices.to_numpy(), np.diff(parted.offsets.to_numpy())
 
 
-def text_features(text: str) -> set[str]:
-    return {f for w in set(WORD.findall(text.lower())) for f in word_features(w)}
+def word_features(word: str) -> list[str]:
+    """A word and its beginnings (marked by a star)."""
+    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)] if word else []
 
 
 def severest(labels: DataFrame) -> DataFrame:
@@ -44,16 +47,16 @@ def severest(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def label_weights(labels: DataFrame, limit: int) -> dict[int, float]:
-    """What a sampled document of each label stands for: the label's number of documents over its number in the sample."""
-    known = severest(labels).where("toxic in (0, 1)")
-    return {r.toxic: r.n / min(limit, r.n) for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def label_weights(labels: DataFrame, limit: int) -> dict[bool, float]:
+    """What a sampled document that is toxic, or isn't, stands for: how many there are over how many are in the sample."""
+    kinds = severest(labels).groupBy((F.col("toxic") != 0).alias("bad")).agg(F.count("*").alias("n"))
+    return {r.bad: r.n / min(limit, r.n) for r in kinds.collect()}
 
 
 def sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` labelled texts of each label, those of the smallest hash of the id; (id, text, toxic)."""
+    """At most ``limit`` labelled texts of either kind, those of the smallest hash of the id; (id, text, toxic)."""
     known = severest(labels)
-    picked = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for v in (0, 1)]
+    picked = [known.where(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for kind in ("toxic = 0", "toxic <> 0")]
     # 2 * limit ids and marks at most
     return docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "text", "toxic")
 
@@ -64,8 +67,9 @@ def telling_features(texts: DataFrame, least: int = LEAST, limit: int = FEATURES
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                for f in text_features(text):
+            words, codes, sizes = words_of(batch.column("text"))
+            for own, toxic in zip(np.split(codes, np.cumsum(sizes)[:-1]), batch.column("toxic").to_pylist()):
+                for f in {f for i in set(own.tolist()) for f in word_features(words[i])}:
                     counts.setdefault(f, [0, 0])[1 if toxic else 0] += 1
             clean, bad = (pa.array((n[i] for n in counts.values()), pa.int64(), size=len(counts)) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.string(), size=len(counts)), clean, bad], names=["feature", "clean", "bad"])
@@ -85,19 +89,27 @@ class Vectoriser:
         self.index = {f: i for i, f in enumerate(features)}
         self.words: dict[str, tuple[int, ...]] = {}
 
-    def of(self, text: str) -> tuple[dict[int, float], int]:
-        """(feature values, number of words)."""
-        words, found = WORD.findall(text.lower()), Counter()
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, feature, value) of a block's non-zero values, by text and feature."""
+        words, codes, sizes = words_of(texts)
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        known = self.words
+        known, index = self.words, self.index
+        hits = []
         for w in words:
             hit = known.get(w)
             if hit is None:
-                hit = known[w] = tuple(self.index[f] for f in word_features(w) if f in self.index)
-            for i in hit:
-                found[i] += 1
-        return {i: math.log1p(n) for i, n in found.items()}, len(words)
+                hit = known[w] = tuple(index[f] for f in word_features(w) if f in index)
+            hits.append(hit)
+        lengths = np.fromiter(map(len, hits), np.int64, len(hits))
+        flat = np.fromiter((f for hit in hits for f in hit), np.int64, int(lengths.sum()))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        row, codes = (x[lengths[codes] > 0] for x in (row, codes))
+        each = lengths[codes]
+        inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        feature = flat[np.repeat((np.cumsum(lengths) - lengths)[codes], each) + inside]
+        key, n = np.unique(np.repeat(row, each) * max(1, len(index)) + feature, return_counts=True)
+        return key // max(1, len(index)), key % max(1, len(index)), np.log1p(n)
 
 
 class CumulativeLink:
@@ -107,17 +119,14 @@ class CumulativeLink:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, rows: list[dict[int, float]], grades: np.ndarray, n_features: int, levels: int, l2: float = 1e-3, rounds: int = 2500, rate: float = 0.1, weights: np.ndarray | None = None) -> CumulativeLink:
-        """Maximum likelihood with an L2 penalty by Adam; thresholds are a first one and positive steps, so they stay ordered. A row counts by its weight over the mean weight (none: all alike)."""
-        at = np.fromiter((i for r in rows for i in r), np.int64)
-        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        x = np.fromiter((v for r in rows for v in r.values()), np.float64)
-        balance = np.ones(len(rows)) if weights is None else weights / weights.mean()
+    def fit(cls, of: np.ndarray, at: np.ndarray, x: np.ndarray, grades: np.ndarray, n_features: int, levels: int, l2: float = 1e-3, rounds: int = 2500, rate: float = 0.1, weights: np.ndarray | None = None) -> CumulativeLink:
+        """Maximum likelihood with an L2 penalty by Adam; thresholds are a first one and positive steps, so they stay ordered. (of, at, x): row, feature and value of each non-zero. A row counts by its weight over the mean weight (none: all alike)."""
+        balance = np.ones(len(grades)) if weights is None else weights / weights.mean()
         share = np.array([((grades <= j) * balance).mean() for j in range(levels - 1)]).clip(1e-3, 1 - 1e-3)
         start = np.log(share / (1 - share))
         p = np.concatenate((np.zeros(n_features), start[:1], np.log(np.maximum(np.diff(start), 1e-2))))
         m, v = np.zeros_like(p), np.zeros_like(p)
-        n = len(rows)
+        n = len(grades)
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         for t in range(1, rounds + 1):
             w, theta = p[:n_features], np.cumsum(np.append(p[n_features], np.exp(p[n_features + 1 :])))
@@ -135,11 +144,11 @@ class CumulativeLink:
             p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         return cls(p[:n_features], np.cumsum(np.append(p[n_features], np.exp(p[n_features + 1 :]))))
 
-    def predict(self, row: dict[int, float]) -> list[float]:
-        """Probability of each grade."""
-        score = sum(self.weights[i] * v for i, v in row.items())
-        below = [0.0, *(1 / (1 + math.exp(-max(-40.0, min(40.0, t - score)))) for t in self.thresholds), 1.0]
-        return [b - a for a, b in zip(below, below[1:])]
+    def predict(self, of: np.ndarray, at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+        """(n, grades): probability of each grade of n rows."""
+        score = np.bincount(of, weights=self.weights[at] * x, minlength=n)
+        below = 1 / (1 + np.exp(-np.clip(self.thresholds - score[:, None], -40, 40)))
+        return np.diff(np.column_stack((np.zeros(n), below, np.ones(n))), axis=1)
 
 
 class ToxicityModel:
@@ -152,14 +161,17 @@ class ToxicityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> ToxicityModel:
-    """Fit on at most ``limit`` labelled documents of each label, weighted to the labels' true mix.
-
-    Labels only say toxic or not, so the toxic documents' severity is graded by how much
-    telling vocabulary they hold (the sum of its log counts): its thirds are grades 1 to 3. Labels of
-    unknown documents and null labels are left out; where a document has several labels
-    the severest counts; without toxic labels every text is clean.
+    """Fit on at most ``limit`` labelled documents of either kind, weighted to the labels' true mix.
+
+    A label of 0 is clean, any other toxic. Labels beyond 1 are severities and are the
+    grades, three at most. Where labels only say toxic or not, toxic documents are graded
+    by how much telling vocabulary they hold (the sum of its log counts): its thirds are
+    grades 1 to 3. Labels of unknown documents and null labels are left out; where a
+    document has several labels the severest counts; repeated rows of a labelled document
+    count as often; without toxic labels every text is clean.
     """
-    texts = sample(docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")), labels, limit)
+    # the texts of a bounded sample, read several times
+    texts = cut(sample(docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")), labels, limit))
     features = telling_features(texts)
     if not features:
         return ToxicityModel([], None)
@@ -167,48 +179,57 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Toxicity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [shown.of(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([list(r) for r, _ in out], pa.list_(pa.int64())), pa.array([list(r.values()) for r, _ in out], pa.list_(pa.float64())), pa.array([n for _, n in out], pa.int64())],
-                names=["doc_id", "toxic", "at", "value", "words"],
-            )
+            of, at, x = shown.block(batch.column("text"))
+            ends = pa.array(np.searchsorted(of, np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (at, x)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], names=["doc_id", "toxic", "at", "value"])
 
     # sparse rows of a bounded sample
-    rows = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id bigint, toxic int, at array<bigint>, value array<double>, words bigint").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.toxic, r.words))
-    sparse = [dict(zip(r.at, r.value)) for r in rows]
-    evidence = np.array([sum(r.value) for r in rows])
-    toxic = np.array([r.toxic != 0 for r in rows])
+    rows = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id bigint, toxic int, at array<bigint>, value array<double>").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.toxic, r.at, r.value))
+    of = np.repeat(np.arange(len(rows)), [len(r.at) for r in rows])
+    at, x = np.array([i for r in rows for i in r.at], np.int64), np.array([v for r in rows for v in r.value], np.float64)
+    label = np.array([r.toxic for r in rows])
+    toxic = label != 0
     if not toxic.any():
         return ToxicityModel([], None)
-    cuts = np.quantile(evidence[toxic], [1 / 3, 2 / 3])
+    if label.max() > 1:
+        grades = np.where(toxic, np.clip(label, 1, ToxicityModel.LEVELS - 1), 0)
+    else:
+        evidence = np.bincount(of, weights=x, minlength=len(rows))
+        grades = np.where(toxic, 1 + np.searchsorted(np.quantile(evidence[toxic], [1 / 3, 2 / 3]), evidence, side="right"), 0)
     stands_for = label_weights(labels, limit)
-    weights = np.array([stands_for[r.toxic] for r in rows])
-    grades = np.where(toxic, 1 + np.searchsorted(cuts, evidence, side="right"), 0)
-    return ToxicityModel(features, CumulativeLink.fit(sparse, grades, len(features), ToxicityModel.LEVELS, weights=weights))
+    weights = np.array([stands_for[bool(t)] for t in toxic])
+    return ToxicityModel(features, CumulativeLink.fit(of, at, x, grades, len(features), ToxicityModel.LEVELS, weights=weights))
+
+
+def graded(model: tuple[Vectoriser, CumulativeLink | None], texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each grade of each text, whether it holds any feature)."""
+    vectors, fitted = model
+    n = len(texts)
+    if fitted is None:
+        return np.eye(1, ToxicityModel.LEVELS).repeat(n, axis=0), np.zeros(n, bool)
+    of, at, x = vectors.block(texts)
+    return fitted.predict(of, at, x, n), np.bincount(of, minlength=n) > 0
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", least: float = REJECTED) -> DataFrame:
     """One row per document: (id, severity, grade, p_toxic, rejected).
 
     severity is the expected grade, grade the likeliest, rejected says that a grade
-    above 0 has at least the probability ``least``, on the evidence of some feature. Null and empty texts are clean;
-    repeated rows each give a row; other columns are ignored. Whole texts are read.
+    above 0 has at least the probability ``least``, on the evidence of some feature. Of
+    equally likely grades the milder one is given. Null and empty texts are clean; repeated rows each give a row; other columns are ignored. Whole texts are read.
     """
     from pyspark.sql import types as T
 
-    shown = Vectoriser(model.features)
-    shared = docs.sparkSession.sparkContext.broadcast((shown, model.model))  # FEATURES entries at most
-    levels = ToxicityModel.LEVELS
+    shared = docs.sparkSession.sparkContext.broadcast((Vectoriser(model.features), model.model))  # FEATURES entries at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, fitted = shared.value
         for batch in batches:
             for part in blocks(batch, "text", BLOCK_BYTES):
-                found = [vectors.of(t)[0] for t in part.column("text").to_pylist()]
-                p = np.array([fitted.predict(x) if fitted else [1.0] + [0.0] * (levels - 1) for x in found]).reshape(-1, levels)
-                toxic, some = 1 - p[:, 0], np.array([bool(x) for x in found], bool)
-                arrays = [part.column("id"), pa.array(p @ np.arange(levels)), pa.array(p.argmax(axis=1), pa.int32()), pa.array(toxic), pa.array((toxic >= least) & some)]
+                p, some = graded(shared.value, part.column("text"))
+                toxic = 1 - p[:, 0]
+                arrays = [part.column("id"), pa.array(p @ np.arange(p.shape[1])), pa.array(p.argmax(axis=1), pa.int32()), pa.array(toxic), pa.array((toxic >= least) & some)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "severity", "grade", "p_toxic", "rejected"])
 
     schema = T.StructType.fromDDL("id bigint, severity double, grade int, p_toxic double, rejected boolean")
@@ -221,11 +242,9 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, least: float = REJECTED) -
     shared = docs.sparkSession.sparkContext.broadcast((Vectoriser(model.features), model.model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, fitted = shared.value
         for batch in batches:
             for part in blocks(batch, "text", BLOCK_BYTES):
-                found = [vectors.of(t or "")[0] for t in part.column("text").to_pylist()]
-                keep = [not fitted or not x or 1 - fitted.predict(x)[0] < least for x in found]
-                yield part.filter(pa.array(keep, pa.bool_()))
+                p, some = graded(shared.value, pc.fill_null(part.column("text"), ""))
+                yield part.filter(pa.array(~some | (1 - p[:, 0] < least), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -307,6 +307,57 @@ def test_language_odd_rows(spark):
     assert language_id.identify(language_id.of_pages(pages)).count() == 2
 
 
+def test_language_like_brute_force(spark):
+    """The fusion by hand, with suffixes, sites, more values than languages, and ties."""
+    rng = random.Random(5)
+    words = {"en": "the of and thing was", "de": "der die das und ist", "fr": "le la les une est", "xx": "the der le of die"}
+    rows = []
+    for i in range(240):
+        lang = rng.choice(list(words))
+        text = rng.choice([None, "", "123"]) if i % 20 == 0 else " ".join(rng.choice(words[rng.choice([lang, lang, "en"])].split()) for _ in range(rng.randint(1, 9)))
+        host = rng.choice([None, "plain", f"h{rng.randrange(9)}.{lang}.site{rng.randrange(3)}.{rng.choice(['com', lang, f't{i}'])}"])
+        rows.append((i, text, rng.choice([None, lang, f"{lang.upper()}-AT", "?", "q", "nonsense"]), host))
+    rows += rows[-3:]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, lang string, source string, guess int")
+    got = language_id.identify(language_id.of_documents(docs)).collect()
+
+    tag = lambda t: (m := __import__("re").match(r"([A-Za-z]{2,3})(?![A-Za-z])", t or "")) and m[1].lower()
+    model = language_id.train(language_id.of_documents(docs).withColumn("declared", language_id.normal_tag(F.col("declared"))))
+    names, scores = model.languages, model.scores([r[1] for r in rows])
+    assert names == sorted(words)
+    parts = [(tag(r[2]), *((h.split(".")[-1], h, ".".join(h.split(".")[-2:])) if (h := r[3]) and "." in h else (None, h, None))) for r in rows]
+    guess = [int(s.argmax()) if s.any() else None for s in scores]
+    count = lambda k, v: [sum(g == x and p[k] == v for g, p in zip(guess, parts)) for x in range(4)]
+    of = lambda k: [sum(g == x and p[k] is not None for g, p in zip(guess, parts)) for x in range(4)]
+    base = [(guess.count(x) + 1) / (sum(g is not None for g in guess) + 4) for x in range(4)]
+    expected = Counter()
+    for r, p, s, g in zip(rows, parts, scores, guess):
+        if g is None:
+            expected[r[0], "und", 0.0, False] += 1
+            continue
+        logs = list(s)
+        host, site = (count(k, p[k]) if p[k] is not None else [0] * 4 for k in (2, 3))
+        for x in range(4):
+            above = (site[x] + 20 * base[x]) / (sum(site) + 20)
+            logs[x] += np.log((host[x] + 20 * above) / (sum(host) + 20))
+            for k in (0, 1):
+                if p[k] is not None and sum(count(k, p[k])):
+                    c = count(k, p[k])
+                    logs[x] += np.log((c[x] + sum(c) / sum(of(k))) / (of(k)[x] + 1))
+        best = int(np.argmax(logs))
+        sure = 1 / sum(np.exp(v - logs[best]) for v in logs)
+        expected[r[0], names[best], round(sure, 6), bool(sure >= 0.6)] += 1
+    assert Counter((r.id, r.language, round(r.posterior, 6), r.kept) for r in got) == expected
+    assert len({r.language for r in got}) == 5
+
+
+def test_many_languages_and_values():
+    assert language_id.cells_for(4) == language_id.cells_for(256) == 1 << 16
+    assert all(language_id.cells_for(n) * n <= language_id.TABLE for n in (300, 1000, 18_252))
+    raw = np.frombuffer(b"some bytes of text", np.uint8)
+    assert (language_id.trigram_cells(raw, 512) == language_id.trigram_cells(raw) >> 7).all()
+
+
 # 6 top-k
 
 

@@ -4,7 +4,8 @@ log P(language | row) = log P(text | language) + log P(declared markup language
 + log P(address suffix | language) + log P(language | host), the last from counts
 grouped by host and smoothed towards the host's site and then all rows. Text likelihoods
 come from byte trigrams of the whole text; the other tables from grouped counts over all
-rows, in which the text alone says a row's language.
+rows, in which the text alone says a row's language. Those tables are joined to the rows,
+so there may be any number of values, hosts and sites.
 """
 
 from __future__ import annotations
@@ -14,25 +15,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm._common import blocks, cut
 
 LABELLED = 1_500  # texts of each declared language that training takes at most
-LANGUAGES = 64  # most frequent declared languages that can be told apart
-CELLS = 1 << 16
+CELLS = 1 << 16  # trigram cells at most; a language code has two or three letters, so there are at most 18,252 languages,
+TABLE = 1 << 24  # and cells times languages stay within this: 64 MB
 BLOCK_BYTES = 1 << 20  # its trigrams take some 40 times as much while they are scored
 STRENGTH = 20.0  # pseudo-counts that a host takes over from its site, and a site from all rows
 MATTER = 200  # trigrams beyond which a text's evidence no longer grows: neighbouring ones aren't independent
 LEAST = 0.6
+UNSURE = 1.0  # pseudo-counts by which a value's share in a language is drawn to its share in all
 
 
-def trigram_cells(raw: np.ndarray) -> np.ndarray:
-    """A table cell for the three bytes from each place on; two fewer than bytes."""
+def trigram_cells(raw: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """A table cell for the three bytes from each place on; two fewer than bytes. cells: a power of two."""
     x = raw.astype(np.uint32)
     mixed = ((x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]) * np.uint32(2654435761)
-    return mixed >> np.uint32(16)
+    return mixed >> np.uint32(32 - (cells.bit_length() - 1))
+
+
+def cells_for(languages: int) -> int:
+    """Cells of the table for so many languages: CELLS, or the power of two that keeps it within TABLE."""
+    return min(CELLS, 1 << max(1, (TABLE // max(1, languages)).bit_length() - 1))
 
 
 def cleaned(text: str) -> bytes:
@@ -54,7 +62,7 @@ class TextModel:
         full = [i for i, p in enumerate(parts) if len(p) > 2]
         if full and self.languages:
             sizes = np.array([len(parts[i]) for i in full])
-            values = self.log[trigram_cells(np.frombuffer(b"".join(parts[i] for i in full), np.uint8))]
+            values = self.log[trigram_cells(np.frombuffer(b"".join(parts[i] for i in full), np.uint8), len(self.log))]
             # the two trigrams that run over a text's end belong to none
             starts = np.cumsum(sizes) - sizes
             inner = np.ones(len(values), bool)
@@ -67,128 +75,144 @@ class TextModel:
 
 
 def normal_tag(tag: F.Column) -> F.Column:
-    """The first part of a language tag, lower-cased; null if it is empty."""
-    return F.nullif(F.lower(F.trim(F.regexp_extract(F.coalesce(tag, F.lit("")), r"^\s*([A-Za-z]*)", 1))), F.lit(""))
+    """The first part of a language tag, lower-cased; null if it isn't a code of two or three letters."""
+    return F.nullif(F.lower(F.regexp_extract(F.coalesce(tag, F.lit("")), r"^\s*([A-Za-z]{2,3})(?![A-Za-z])", 1)), F.lit(""))
 
 
 def train(rows: DataFrame, limit: int = LABELLED) -> TextModel:
-    """Text model from rows (id, text, declared): at most ``limit`` texts of each frequent declared language, by hash."""
-    tags = [r.declared for r in rows.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()]
-    if not tags:
-        return TextModel([], np.zeros((CELLS, 0)))
-    counts = {r.declared: r["count"] for r in rows.where(F.col("declared").isin(tags)).groupBy("declared").count().collect()}
-    share = F.lit(0.0)
-    for tag in tags:
-        share = F.when(F.col("declared") == tag, F.lit(limit / counts[tag])).otherwise(share)
+    """Text model from rows (id, text, declared tags as of ``normal_tag``): at most about ``limit`` texts of each declared language, by hash."""
+    counts = cut(rows.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n")))
+    order = [r.declared for r in counts.orderBy("declared").collect()]  # language codes
+    n_cells = cells_for(len(order))
+    if not order:
+        return TextModel([], np.zeros((n_cells, 0)))
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(F.col("declared").isin(tags) & (chance < share)).select("declared", "text")
-    order = sorted(tags)
+    chosen = rows.join(F.broadcast(counts), "declared").where(chance < F.lit(limit) / F.col("n")).select("declared", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for tag, text in zip(batch.column("declared").to_pylist(), batch.column("text").to_pylist()):
-                raw = cleaned(text or "")
-                if len(raw) > 2:
-                    sums.setdefault(tag, np.zeros(CELLS, np.int64))
-                    sums[tag] += np.bincount(trigram_cells(np.frombuffer(raw, np.uint8)), minlength=CELLS)
-        for tag, held in sums.items():
-            at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array([tag] * len(at)), pa.array(at, pa.int32()), pa.array(held[at])], names=["declared", "cell", "n"])
-
-    # CELLS counts a language
+            for part in blocks(batch, "text", BLOCK_BYTES):
+                sums: dict[str, np.ndarray] = {}
+                for tag, text in zip(part.column("declared").to_pylist(), part.column("text").to_pylist()):
+                    raw = cleaned(text or "")
+                    if len(raw) > 2:
+                        found = np.bincount(trigram_cells(np.frombuffer(raw, np.uint8), n_cells), minlength=n_cells)
+                        sums[tag] = sums[tag] + found if tag in sums else found
+                for tag, held in sums.items():
+                    at = np.flatnonzero(held)
+                    yield pa.RecordBatch.from_arrays([pa.array([tag] * len(at)), pa.array(at, pa.int32()), pa.array(held[at])], names=["declared", "cell", "n"])
+
+    # TABLE counts at most
     cells = chosen.mapInArrow(run, "declared string, cell int, n bigint").groupBy("declared", "cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.full((CELLS, len(order)), 0.1)
+    table = np.full((n_cells, len(order)), 0.1)
     if cells.num_rows:
         index = {t: i for i, t in enumerate(order)}
         table[cells.column("cell").to_numpy(), [index[t] for t in cells.column("declared").to_pylist()]] += cells.column("n").to_numpy()
     return TextModel(order, np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
+def counted(guessed: DataFrame, *columns: str) -> DataFrame:
+    """(columns, counts): of each value the rows of each guessed language, as a list of at most one entry a language."""
+    per = guessed.where(" and ".join(f"{c} is not null" for c in columns[:1])).groupBy(*columns, "guess").agg(F.count("*").alias("n"))
+    return per.groupBy(*columns).agg(F.collect_list(F.struct("guess", "n")).alias("counts"))
+
+
+def totals(guessed: DataFrame, n: int, column: str | None = None) -> np.ndarray:
+    """Rows of each guessed language, of those where the column isn't null."""
+    out = np.zeros(n)
+    for r in (guessed if column is None else guessed.where(F.col(column).isNotNull())).groupBy("guess").count().collect():
+        out[r.guess] = r["count"]
+    return out
+
+
+def matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Lists of (language, n) as rows of counts; a null list is one of zeros."""
+    out, sizes = np.zeros((len(lists), width)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    flat = lists.flatten()
+    out[np.repeat(np.arange(len(lists)), sizes), flat.field("guess").to_numpy()] = flat.field("n").to_numpy()
+    return out
+
+
+def smoothed(n: np.ndarray, above: np.ndarray, strength: float) -> np.ndarray:
+    """Shares from counts, drawn to the level above by that many pseudo-counts; without counts those of the level above."""
+    return (n + strength * above) / (n.sum(axis=1, keepdims=True) + strength)
+
+
+def log_evidence(n: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """log P(value | language) from a value's counts and those of all values; 0 for a value without counts, which says nothing."""
+    share = n.sum(axis=1, keepdims=True) / max(1.0, of.sum())
+    return np.where(share > 0, np.log((n + UNSURE * np.where(share > 0, share, 1)) / (of + UNSURE)), 0.0)
+
+
 def identify(rows: DataFrame, least: float = LEAST, strength: float = STRENGTH, limit: int = LABELLED) -> DataFrame:
     """One row per row of (id, text, declared, suffix, host, site): (id, language, posterior, declared, kept).
 
     declared is a markup language tag, suffix the address's last label, host and site
     the two levels of the prior; each may be null and then says nothing. language is
-    ``und`` without letters or without any declared language to learn from. kept says
-    that a language was found with a posterior of at least ``least``. Repeated rows each
-    give a row; an empty table gives an empty result.
+    ``und`` without letters or without any declared language to learn from; of equally
+    likely languages the first in alphabetical order is given. kept says that a language
+    was found with a posterior of at least ``least``. Repeated rows each give a row;
+    other columns are ignored; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     rows = rows.withColumn("declared", normal_tag(F.col("declared")))
     model = train(rows, limit)
     shared = spark.sparkContext.broadcast(model)
     languages = model.languages
+    n = len(languages)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
             for part in blocks(batch, "text", BLOCK_BYTES):
                 scores = held.scores(part.column("text").to_pylist())
                 some = (scores != 0).any(axis=1)
-                best = [held.languages[i] if ok else None for i, ok in zip(scores.argmax(axis=1).tolist() if languages else [0] * len(scores), some)]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1) * len(languages), pa.int32()), pa.array(scores.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("id", "declared", "suffix", "host", "site")] + [flat, pa.array(best, pa.string())], names=["id", "declared", "suffix", "host", "site", "scores", "guess"])
+                best = pa.array(scores.argmax(axis=1) if n else np.zeros(len(scores), np.int64), pa.int32(), mask=~some)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1) * n, pa.int32()), pa.array(scores.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("id", "declared", "suffix", "host", "site")] + [flat, best], names=["id", "declared", "suffix", "host", "site", "scores", "guess"])
 
-    schema = "id bigint, declared string, suffix string, host string, site string, scores array<double>, guess string"
-    scored = cut(rows.select("id", "declared", "suffix", "host", "site", "text").mapInArrow(run, schema))
-    if not languages:
+    schema = "id bigint, declared string, suffix string, host string, site string, scores array<double>, guess int"
+    scored = cut(rows.select("id", "declared", "suffix", "host", "site", "text").mapInArrow(read_text, schema))
+    if not n:
         return scored.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), "declared", F.lit(False).alias("kept"))
 
     guessed = scored.where("guess is not null")
-    declared_log = evidence(guessed, "declared", languages)
-    suffix_log = evidence(guessed, "suffix", languages)
-    overall = {r.guess: r["count"] for r in guessed.groupBy("guess").count().collect()}
-    total = sum(overall.values())
-    base = [(overall.get(x, 0) + 1) / (total + len(languages)) for x in languages]
-
-    # counts by host and by site: a row a host, however many pages it has
-    per = [F.count_if(F.col("guess") == x) for x in languages]
-    hosts = guessed.where("host is not null").groupBy("host", "site").agg(F.array(*per).alias("n"))
-    sites = hosts.where("site is not null").groupBy("site").agg(F.array(*[F.sum(F.col("n")[i]) for i in range(len(languages))]).alias("m"))
-    flat = F.array(*[F.lit(p) for p in base])
-    smooth = lambda n, above: F.zip_with(n, above, lambda c, p: (c + strength * p) / (F.aggregate(n, F.lit(0).cast("bigint"), lambda a, b: a + b) + strength))
-    hosts = hosts.join(sites, "site", "left").withColumn("above", F.coalesce(smooth(F.col("m"), flat), flat))
-    priors = hosts.select("host", F.col("site").alias("prior_site"), smooth(F.col("n"), F.col("above")).alias("prior"))
-
-    joined = scored.join(priors, (scored.host == priors.host) & scored.site.eqNullSafe(priors.prior_site), "left").drop(priors.host)
-    prior = F.coalesce("prior", flat)
-    logs = F.transform(F.sequence(F.lit(0), F.lit(len(languages) - 1)), lambda i: F.element_at("scores", i + 1) + F.log(F.element_at(prior, i + 1)) + looked_up("declared", declared_log, i) + looked_up("suffix", suffix_log, i))
-    out = joined.select("id", "declared", "guess", logs.alias("logs")).withColumn("top", F.array_max("logs"))
-    place = F.array_position("logs", F.col("top"))
-    posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    language = F.when(F.col("guess").isNull(), "und").otherwise(F.element_at(F.array(*[F.lit(x) for x in languages]), place.cast("int")))
-    fused = out.select("id", language.alias("language"), F.when(F.col("guess").isNull(), 0.0).otherwise(posterior).alias("posterior"), "declared")
-    return fused.withColumn("kept", (F.col("language") != "und") & (F.col("posterior") >= least))
-
-
-def evidence(guessed: DataFrame, column: str, languages: list[str], values: int = 256) -> dict[str, list[float]]:
-    """log P(value | language) for the most frequent values and one for all others, under the key ''; from counts over all rows."""
-    per = [F.count_if(F.col("guess") == x).alias(f"n{i}") for i, x in enumerate(languages)]
-    known = guessed.where(F.col(column).isNotNull())
-    top = known.groupBy(column).agg(F.count("*").alias("n"), *per).orderBy(F.desc("n"), column).limit(values).collect()
-    all_of = known.agg(*per).first()
-    sums = [all_of[i] or 0 for i in range(len(languages))]
-    table = {r[0]: [np.log((r[2 + i] + 0.5) / (sums[i] + 0.5 * (len(top) + 1))) for i in range(len(languages))] for r in top}
-    rest = [sums[i] - sum(r[2 + i] for r in top) for i in range(len(languages))]
-    table[""] = [np.log((rest[i] + 0.5) / (sums[i] + 0.5 * (len(top) + 1))) for i in range(len(languages))]
-    return {k: [float(x) for x in v] for k, v in table.items()}
-
-
-def looked_up(column: str, table: dict[str, list[float]], i: F.Column) -> F.Column:
-    """The table's entry for the column's value and language i; 0 for null."""
-    other = F.array(*[F.lit(x) for x in table[""]])
-    if len(table) == 1:
-        held = other
-    else:
-        held = F.coalesce(F.create_map(*[c for k, v in table.items() if k for c in (F.lit(k), F.array(*[F.lit(x) for x in v]))])[F.col(column)], other)
-    return F.when(F.col(column).isNull(), 0.0).otherwise(F.element_at(held, i + 1))
+    # written first, so that Spark knows their sizes when it plans the joins
+    of_tag, of_suffix, of_site = (cut(counted(guessed, c).withColumnRenamed("counts", f"of_{c}")) for c in ("declared", "suffix", "site"))
+    of_host = cut(counted(guessed, "host", "site").withColumnRenamed("counts", "of_host").join(of_site, "site", "left"))
+    base = (totals(guessed, n) + 1) / (totals(guessed, n).sum() + n)
+    tags, suffixes = totals(guessed, n, "declared"), totals(guessed, n, "suffix")
+
+    there = of_host.select(F.col("host").alias("prior_host"), F.col("site").alias("prior_site"), "of_host", "of_site")
+    joined = scored.join(of_tag, "declared", "left").join(of_suffix, "suffix", "left").join(there, (F.col("host") == F.col("prior_host")) & F.col("site").eqNullSafe(F.col("prior_site")), "left")
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array([*languages, "und"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = {c: matrix(batch.column(f"of_{c}"), n) for c in ("declared", "suffix", "site", "host")}
+            prior = smoothed(held["host"], smoothed(held["site"], base, strength), strength)
+            logs = batch.column("scores").flatten().to_numpy().reshape(-1, n) + np.log(prior) + log_evidence(held["declared"], tags) + log_evidence(held["suffix"], suffixes)
+            known = pc.is_valid(batch.column("guess")).to_numpy(zero_copy_only=False)
+            posterior = np.where(known, 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
+            language = names.take(pa.array(np.where(known, logs.argmax(axis=1), n)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), language, pa.array(posterior), batch.column("declared"), pa.array(known & (posterior >= least))], names=["id", "language", "posterior", "declared", "kept"])
+
+    needed = joined.select("id", "declared", "guess", "scores", "of_declared", "of_suffix", "of_site", "of_host")
+    return needed.mapInArrow(fuse, "id bigint, language string, posterior double, declared string, kept boolean")
+
+
+def host_levels(host: F.Column) -> dict[str, F.Column]:
+    """suffix: the host's last label; site: its last two labels; both null where the name has a single label."""
+    dotted = F.contains(host, F.lit("."))
+    return {"suffix": F.when(dotted, F.substring_index(host, ".", -1)), "host": host, "site": F.when(dotted, F.substring_index(host, ".", -2))}
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
-    """Documents as rows to identify: the lang column is what is declared, the source is the host; there is no address."""
-    none = F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text", F.col("lang").alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("site"))
+    """Documents as rows to identify: the lang column is what is declared, the source is the host; a source without dots has no suffix and no site."""
+    host = F.nullif(F.lower(F.trim("source")), F.lit(""))
+    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text", F.col("lang").alias("declared"), *(c.alias(k) for k, c in host_levels(host).items()))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
@@ -197,4 +221,4 @@ def of_pages(pages: DataFrame) -> DataFrame:
     host = F.nullif(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#:]*)", 1)), F.lit(""))
     text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     declared = F.regexp_extract(html, r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
-    return pages.select(F.col("page_id").cast("bigint").alias("id"), text.alias("text"), declared.alias("declared"), F.substring_index(host, ".", -1).alias("suffix"), host.alias("host"), F.substring_index(host, ".", -2).alias("site"))
+    return pages.select(F.col("page_id").cast("bigint").alias("id"), text.alias("text"), declared.alias("declared"), *(c.alias(k) for k, c in host_levels(host).items()))

@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm._common import cut
+
 SUFFIXES = 4096  # hashed suffixes whose statistics are kept
 LABELLED = 20_000  # labelled rows of each label that training takes at most, about
 ROUNDS, DEPTH = 10, 4
@@ -82,7 +84,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
 
     The URLs that a rule decides are the labelled ones. Training takes at most about
     ``labelled`` of each label, by a hash of the row; suffix statistics are over all
-    rows. Without labelled rows of both kinds the method's verdict is the only label
+    rows but the one that is judged. Without labelled rows of both kinds the method's verdict is the only label
     there is, or ``allow``. Null urls are judged by their (empty) features; repeated rows
     each give a row; other columns are ignored; an empty table gives an empty result.
     """
@@ -94,7 +96,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     # at most SUFFIXES rows, whatever the number of pages
     block = F.count_if(F.col("known") == "block")
     marked = F.count("known")
-    stats = rows.groupBy("suffix").agg(F.log1p(F.count("*").cast("double")).alias("suffix_pages"), ((block + 1) / (marked + 2)).alias("suffix_blocked"), marked.alias("n"), block.alias("n_block"))
+    stats = rows.groupBy("suffix").agg(F.log1p(F.count("*").cast("double")).alias("suffix_pages"), marked.alias("n"), block.alias("n_block"))
     totals = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_block"), F.lit(0)).alias("n_block")).first()
     decided = {"block": totals.n_block, "allow": totals.n - totals.n_block}
     if not all(decided.values()):
@@ -102,13 +104,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
         return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("known", F.lit(only)).alias("verdict"))
 
     names = [*lexical(F.col("url"), F.col("host"), F.col("path")), "suffix_pages", "suffix_blocked"]
-    full = rows.join(F.broadcast(stats.select("suffix", "suffix_pages", "suffix_blocked")), "suffix").withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
+    # a labelled row's own label is left out of its suffix's share, as no other row has its own in it
+    others = F.col("n") - F.col("known").isNotNull().cast("int")
+    blocked = (F.col("n_block") - F.coalesce(F.col("known") == "block", F.lit(False)).cast("int") + 1) / (others + 2)
+    full = rows.join(F.broadcast(stats), "suffix").withColumn("suffix_blocked", blocked).withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
     featured = VectorAssembler(inputCols=names, outputCol="features").transform(full)
     chance = F.pmod(F.xxhash64("id", "url"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("known") == "block", F.lit(labelled / decided["block"])).otherwise(F.lit(labelled / decided["allow"]))
     sample = featured.where(F.col("known").isNotNull() & (chance < share)).select("features", F.when(F.col("known") == "block", 1.0).otherwise(0.0).alias("label"))
     weighed = sample.withColumn("weight", F.when(F.col("label") == 1, 0.5 / min(labelled, decided["block"])).otherwise(0.5 / min(labelled, decided["allow"])) * float(min(labelled, totals.n)))
-    model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=11, weightCol="weight").fit(weighed)
+    model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=11, weightCol="weight").fit(cut(weighed))  # a bounded sample: written once, not worked out in every round
     scored = model.transform(featured)
     verdict = F.coalesce("known", F.when(vector_to_array("probability")[1] >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))

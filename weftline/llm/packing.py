@@ -280,18 +280,20 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     parts: rows of ``pieces`` (read several times: cut it first). Sequences are numbered
     from 0; ids are those of the pieces one after another; pieces says for each its
     offset, doc_id, start, length and doc_tokens. Equal lengths are ranked
-    by id, start and checksum; an empty table gives an empty result.
+    by id, start and checksum; a column ``spread``, where there, deals rows that repeat
+    all three to several tasks; an empty table gives an empty result.
     """
     spark = parts.sparkSession
     counted = parts.withColumn("kind", length_class(F.col("length"), capacity))
     histogram = {r.kind: r.n for r in counted.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # one row a class
+    spread = [c for c in ("spread",) if c in parts.columns]
     groups = max(1, -(-max(histogram.values(), default=0) // CHUNK))
-    counted = counted.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    counted = counted.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", *spread), F.lit(groups)))
 
     # ranks within a class: place within a group plus the sizes of the groups before it
     by_group = counted.groupBy("kind", "group").agg(F.count("*").alias("n"))
     before = by_group.withColumn("before", F.sum("n").over(Window.partitionBy("kind").orderBy("group")) - F.col("n"))
-    place = F.row_number().over(Window.partitionBy("kind", "group").orderBy("doc_id", "start", "ids_crc32")) - 1
+    place = F.row_number().over(Window.partitionBy("kind", "group").orderBy("doc_id", "start", "ids_crc32", *spread)) - 1
     ranked = counted.withColumn("place", place).join(before.select("kind", "group", "before"), ["kind", "group"]).withColumn("rank", F.col("before") + F.col("place"))
 
     sizes = np.array(sorted(k for k in histogram if k), np.int64)
@@ -348,7 +350,8 @@ def digests(sequences: DataFrame) -> DataFrame:
 
 def pack_sequences(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise, cut and pack into sequences of ids: see ``pieces`` and ``pack``."""
-    return pack(cut(pieces(docs, path, end_id, capacity, id_col, text_col)), capacity)
+    parts = pieces(docs, path, end_id, capacity, id_col, text_col)
+    return pack(cut(parts.withColumn("spread", F.monotonically_increasing_id())), capacity)  # the written numbers stay
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

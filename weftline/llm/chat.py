@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -127,14 +127,18 @@ def text_turns(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", F.array(part).alias("parts"))
 
 
-def conversations_text(formatted: DataFrame, max_chars: int = 1 << 30) -> DataFrame:
-    """(conv_id, formatted, attachments, expanded_tokens) in turn order, for conversations that fit a row; longer ones stay as turns (``format_turns``)."""
-    sized = formatted.groupBy("conv_id").agg(F.sum(F.length("formatted")).alias("chars"))
-    fit = formatted.join(sized.where(F.col("chars") <= max_chars).select("conv_id"), "conv_id", "left_semi")
+def conversations_text(formatted: DataFrame, max_chars: int = 1 << 28) -> DataFrame:
+    """(conv_id, part, formatted, attachments, expanded_tokens) in turn order.
+
+    A conversation that doesn't fit a row comes in several, part 0 and on, each of whole
+    turns that begin within the same ``max_chars``; attachments are listed with the part.
+    """
+    before = Window.partitionBy("conv_id").orderBy("turn", "formatted").rowsBetween(Window.unboundedPreceding, -1)
+    cut_up = formatted.withColumn("part", F.floor(F.coalesce(F.sum(F.length("formatted")).over(before), F.lit(0)) / max_chars))
     ordered = F.array_sort(F.collect_list(F.struct("turn", "formatted", "attachments", "expanded_tokens")))
-    rows = fit.groupBy("conv_id").agg(ordered.alias("t"))
+    rows = cut_up.groupBy("conv_id", "part").agg(ordered.alias("t"))
     tokens = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["expanded_tokens"])
-    return rows.select("conv_id", F.array_join("t.formatted", "").alias("formatted"), F.flatten("t.attachments").alias("attachments"), tokens.alias("expanded_tokens"))
+    return rows.select("conv_id", "part", F.array_join("t.formatted", "").alias("formatted"), F.flatten("t.attachments").alias("attachments"), tokens.alias("expanded_tokens"))
 
 
 class Digest:

@@ -80,6 +80,16 @@ def test_sharding_query_moves_whole_documents(spark, monkeypatch):
     assert {(r.doc_id, (r.text or "").encode()) for r in moved.collect()} == set(texts.items())
 
 
+def test_shards_over_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 90)
+    monkeypatch.setattr(sharding, "bucket_count", lambda records, size: 2100)  # starts over three groups of buckets
+    docs = frame(spark, [(i % 700, f"t{i}") for i in range(1400)])
+    rows = sharding.digests(sharding.shard(sharding.sized(docs), 8)).collect()
+    assert Counter(r.text_crc32 for r in rows) == Counter(zlib.crc32(f"t{i}".encode()) for i in range(1400))
+    places = sorted((r.shard, r.slot) for r in rows)
+    assert places == [(s, p) for s in range(8) for p in range(175)]
+
+
 # 2 near dedup
 
 
@@ -243,6 +253,22 @@ def test_chat_parts(spark):
     assert chat.digests(chat.format_turns(turns.limit(0))).count() == 0
 
 
+def test_chat_ties_long_texts_and_clashing_columns(spark):
+    long = "word <|im_end|> " * 50_000
+    rows = [(1, 0, "user", "b"), (1, 0, "assistant", "a"), (1, 0, "user", "b"), (1, None, "user", "first"), (None, 3, "assistant", long), (2, 5, None, None)]
+    turns = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id bigint, turn bigint, role string, text string, formatted string, parts string")
+    formatted = chat.format_turns(chat.text_turns(turns))
+    got = {r.conv_id: r for r in chat.digests(formatted).collect()}
+    order = [("user", "first"), ("assistant", "a"), ("user", "b"), ("user", "b")]  # null first, then by the marked text
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in order).encode()).hexdigest()
+    assert (got[None].loss_chars, got[None].loss_sha256) == (len(long), hashlib.sha256(long.encode()).hexdigest())
+    assert (got[2].n_turns, got[2].loss_chars) == (1, 0)
+    whole = chat.conversations_text(formatted, max_chars=40).orderBy("conv_id", "part").collect()
+    assert len([r for r in whole if r.conv_id == 1]) > 1
+    joined = "".join(r.formatted for r in whole if r.conv_id == 1)
+    assert [(r, chat.unescape(t)) for r, t in chat.read_back(joined)] == order
+
+
 # 4 exact dedup
 
 
@@ -281,6 +307,31 @@ def test_cuckoo_verifies_equal_fingerprints():
     assert index.find(b) is None and index.find(a) == [1]
 
 
+def test_cuckoo_keeps_texts_of_one_digest_apart():
+    index, key = exact_dedup.CuckooIndex(), b"\1" * 16
+    assert index.add(key, b"one", 1, 1) and index.add(key, b"other", 2, 1) and not index.add(key, b"one", 5, 2)
+    assert (index.find(key, b"one"), index.find(key, b"other"), index.find(key, b"none")) == ([5, 3], [2, 1], None)
+
+
+def test_exact_dedup_gives_out_full_indexes(spark, monkeypatch):
+    """Small limits: map tasks give out their index many times, texts lie in many shards, long ones among them."""
+    monkeypatch.setattr(exact_dedup, "HELD_BYTES", 3000)
+    monkeypatch.setattr(exact_dedup, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(exact_dedup, "BLOCK_BYTES", 500)
+    rng = random.Random(4)
+    rows = [(i if i % 50 else None, rng.choice(["hot", f"text {rng.randrange(80)}", "long " * 300 + str(rng.randrange(3))])) for i in range(1, 1500)]
+    held = defaultdict(list)
+    for i, t in rows:
+        held[t].append(i)
+    expected = Counter()
+    for i, t in rows:
+        keep = max((x for x in held[t] if x is not None), default=None)
+        expected[i, keep, len(held[t]), i == keep, hashlib.sha256(t.encode()).hexdigest()] += 1
+    docs = frame(spark, rows)
+    assert Counter(tuple(r) for r in exact_dedup.classify(docs).collect()) == expected
+    assert Counter(r.text for r in exact_dedup.dedup(docs).collect()) == Counter(set(held))
+
+
 # 5 language
 
 
@@ -607,6 +658,16 @@ def test_url_trees_held_out(spark):
     assert np.mean([(r.verdict == "block") == r.host.startswith("casino") for r in open_rows]) > 0.95
 
 
+def test_url_suffix_share_leaves_the_own_label_out(spark, monkeypatch):
+    """One labelled row a suffix: its share must say nothing of its label."""
+    seen, real = [], url_filter.cut
+    monkeypatch.setattr(url_filter, "cut", lambda df: seen.append(df) or real(df))
+    pages = spark.createDataFrame([(i, f"http://h{i}.{'com' if i % 2 else 'net'}/{'en' if i % 2 else 'de'}/") for i in range(40)], "page_id bigint, url string")
+    url_filter.judge(pages, [("block", "com/en/"), ("allow", "net/de/")]).collect()
+    shares = {float(r.features[-1]) for r in seen[0].collect()}
+    assert shares == {0.5}
+
+
 # 10 packing
 
 
@@ -655,6 +716,15 @@ def test_sequences_hold_the_ids(spark, monkeypatch):
     assert ["sequence_id", "ids", "pieces"] in written
 
 
+def test_packing_spreads_rows_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 50)
+    docs = frame(spark, [(None, "word")] * 900 + [(7, "one two")] * 300)
+    got = packing.pack_documents(docs, WORDS).collect()
+    assert Counter((r.doc_id, r.start) for r in got) == {(None, 0): 900, (7, 0): 300}
+    held = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(held, held[1:])) and held[-1][0] == 1
+
+
 def test_packing_of_short_texts_is_tight(spark):
     docs = frame(spark, [(i, None if i % 3 else "word") for i in range(6000)])
     sequences = packing.pack_sequences(docs, WORDS)

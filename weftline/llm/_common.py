@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can read: the session's ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor a checkpoint directory exists (a bare local
-    session) a temporary folder of this machine is made and set.
+    Only where neither the setting nor a checkpoint directory exists a temporary folder
+    of this machine is made and set, and that only in a local session: on a cluster no
+    other machine could read it.
     """
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
         folder = sc.getCheckpointDir()
     return folder

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -60,9 +61,19 @@ def hash01(seed: int, *cols) -> F.Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11)).cast("double") / F.lit(float(1 << 53))
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that a worker which waits for its next task keeps little."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not that C library
+        pass
+
+
 def blocks(batch, column: str, limit: int):
     """Slices of an Arrow batch of at most about ``limit`` bytes of a binary or string column; one row at least."""
-    import pyarrow as pa
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(column))), 0).to_pylist()
@@ -70,11 +81,12 @@ def blocks(batch, column: str, limit: int):
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:
             yield batch.slice(start, i - start)
-            pa.default_memory_pool().release_unused()  # a worker's memory doesn't add up over blocks
+            release()  # a worker's memory doesn't add up over blocks
             start, total = i, 0
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+    release()
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._common import blocks, cut
+from weftline.llm._common import blocks, cut, release
 from weftline.llm.bpe import MergeTable, replay_bytes
 from weftline.llm.byte_bpe import gather
 
 CAPACITY = 2048
 SHORT = 64  # pieces up to this length have classes of their exact length and sequences of their own
 UNIT = 16  # width in tokens of the classes beyond
-BLOCK_BYTES = 4 << 20
-CACHED_CHUNKS = 300_000
+BLOCK_BYTES = 2 << 20
+CACHED_CHUNKS = 100_000
 CHUNK = 10_000  # items a rank group holds at most, about
 
 #: White space beyond ASCII, which the tokenizer also drops.
@@ -190,6 +190,9 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
                             rows, held, size = [], [], 0
                 if rows:
                     yield piece_batch(rows, held)
+                ids = rows = held = None
+        bpe.chunks.clear()  # the worker waits for its next task with little memory
+        release()
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     return picked.mapInArrow(run, PIECES)

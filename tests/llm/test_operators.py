@@ -716,8 +716,7 @@ def test_sequences_hold_the_ids(spark, monkeypatch):
     assert ["sequence_id", "ids", "pieces"] in written
 
 
-def test_packing_spreads_rows_that_repeat(spark, monkeypatch):
-    monkeypatch.setattr(packing, "CHUNK", 50)
+def test_packing_of_rows_that_repeat(spark):
     docs = frame(spark, [(None, "word")] * 900 + [(7, "one two")] * 300)
     got = packing.pack_documents(docs, WORDS).collect()
     assert Counter((r.doc_id, r.start) for r in got) == {(None, 0): 900, (7, 0): 300}

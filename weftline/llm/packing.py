@@ -6,8 +6,8 @@ program runs over patterns (how many items of each length class share a sequence
 the restricted master is solved by the simplex method, and a knapsack dynamic program
 over the dual prices finds each new pattern. Only the histogram of length classes,
 whose size is bounded by the capacity, comes to the driver. The rounded pattern counts
-say which ranks of each class go into which sequence; the ranks come from a two-level
-count, so no task ever holds a whole class.
+say which ranks of each class go into which sequence; the ranks come from each task's
+own numbering and its counts by class, so no task ever holds a whole class.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ import json
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +35,8 @@ from weftline.llm.byte_bpe import gather
 CAPACITY = 2048
 SHORT = 64  # pieces up to this length have classes of their exact length and sequences of their own
 UNIT = 16  # width in tokens of the classes beyond
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 CACHED_CHUNKS = 100_000
-CHUNK = 10_000  # items a rank group holds at most, about
 
 #: White space beyond ASCII, which the tokenizer also drops.
 WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -153,25 +154,26 @@ def tokenizer(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids array<int>"
+PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, kind bigint, task bigint, place bigint, ids array<int>"
 BATCH_IDS = 1 << 20  # ids of a result batch, about
 
 
 def piece_batch(rows: list[tuple], held: list[np.ndarray]) -> pa.RecordBatch:
     ends = np.append(0, np.cumsum([len(x) for x in held])).astype(np.int32)
     ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held), pa.int32()))
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows)), ids], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows)), ids], names=[c.split()[0] for c in PIECES.split(", ")])
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise every whole text, append ``end_id`` and cut at multiples of ``capacity``; each piece holds its ids.
 
-    A null text counts as empty and gives one piece, the end id; null ids stay null;
+    kind is the piece's length class; within a task the pieces of each kind are numbered
+    from 0 by place. A null text counts as empty and gives one piece, the end id; null ids stay null;
     repeated rows each give their pieces; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
+        bpe, task, places = tokenizer(path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for part in blocks(batch, "text", BLOCK_BYTES):
                 ids, counts = bpe.encode_block(part.column("text"))
@@ -182,7 +184,9 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
                     at += n
                     for s in range(0, n + 1, capacity):
                         piece = own[s : s + capacity]
-                        rows.append((doc, s, len(piece), zlib.crc32(piece), n + 1))
+                        kind = length_class(len(piece), capacity)
+                        rows.append((doc, s, len(piece), zlib.crc32(piece), n + 1, kind, task, places[kind]))
+                        places[kind] += 1
                         held.append(piece)
                         size += len(piece)
                         if size >= BATCH_IDS:
@@ -191,8 +195,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
                 if rows:
                     yield piece_batch(rows, held)
                 ids = rows = held = None
-        bpe.chunks.clear()  # the worker waits for its next task with little memory
-        release()
+        release()  # the worker waits for its next task with little memory
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     return picked.mapInArrow(run, PIECES)
@@ -272,32 +275,27 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds:
 PLAN = T.StructType([T.StructField(n, T.LongType(), False) for n in ("kind", "from_rank", "to_rank", "each", "first_sequence", "first_place")])
 
 
-def length_class(length: F.Column, capacity: int) -> F.Column:
+def length_class(length: int, capacity: int) -> int:
     """The length that a piece counts with: exact up to SHORT tokens, beyond rounded up to a multiple of UNIT; 0 for full pieces."""
-    return F.when(length >= capacity, F.lit(0)).when(length <= SHORT, length).otherwise(F.ceil(length / UNIT) * UNIT).cast("bigint")
+    return 0 if length >= capacity else length if length <= SHORT else -(-length // UNIT) * UNIT
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The packed sequences: (sequence_id, ids, pieces), one row a sequence.
 
-    parts: rows of ``pieces`` (read several times: cut it first). Sequences are numbered
-    from 0; ids are those of the pieces one after another; pieces says for each its
-    offset, doc_id, start, length and doc_tokens. Equal lengths are ranked
-    by id, start and checksum; a column ``spread``, where there, deals rows that repeat
-    all three to several tasks; an empty table gives an empty result.
+    parts: rows of ``pieces``, written (they are read several times). Sequences are
+    numbered from 0; ids are those of the pieces one after another; pieces says for each
+    its offset, doc_id, start, length and doc_tokens. A kind's pieces are ranked by task
+    and place; an empty table gives an empty result.
     """
     spark = parts.sparkSession
-    counted = parts.withColumn("kind", length_class(F.col("length"), capacity))
-    histogram = {r.kind: r.n for r in counted.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # one row a class
-    spread = [c for c in ("spread",) if c in parts.columns]
-    groups = max(1, -(-max(histogram.values(), default=0) // CHUNK))
-    counted = counted.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", *spread), F.lit(groups)))
-
-    # ranks within a class: place within a group plus the sizes of the groups before it
-    by_group = counted.groupBy("kind", "group").agg(F.count("*").alias("n"))
-    before = by_group.withColumn("before", F.sum("n").over(Window.partitionBy("kind").orderBy("group")) - F.col("n"))
-    place = F.row_number().over(Window.partitionBy("kind", "group").orderBy("doc_id", "start", "ids_crc32", *spread)) - 1
-    ranked = counted.withColumn("place", place).join(before.select("kind", "group", "before"), ["kind", "group"]).withColumn("rank", F.col("before") + F.col("place"))
+    by_task = cut(parts.groupBy("kind", "task").agg(F.count("*").alias("n")))
+    histogram = {r.kind: r.n for r in by_task.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # one row a class
+
+    # where a task's pieces of each kind begin: a row a task, which Spark broadcasts while it is small, so the ids move once
+    before = by_task.withColumn("before", F.sum("n").over(Window.partitionBy("kind").orderBy("task")) - F.col("n"))
+    starts = cut(before.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("kind", "before"))).alias("starts")))
+    ranked = parts.join(starts, "task").withColumn("rank", F.element_at("starts", F.col("kind")) + F.col("place")).drop("starts", "task", "place")
 
     sizes = np.array(sorted(k for k in histogram if k), np.int64)
     plan, at, sequences = [], {int(k): 0 for k in sizes}, histogram.get(0, 0)
@@ -353,8 +351,7 @@ def digests(sequences: DataFrame) -> DataFrame:
 
 def pack_sequences(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise, cut and pack into sequences of ids: see ``pieces`` and ``pack``."""
-    parts = pieces(docs, path, end_id, capacity, id_col, text_col)
-    return pack(cut(parts.withColumn("spread", F.monotonically_increasing_id())), capacity)  # the written numbers stay
+    return pack(cut(pieces(docs, path, end_id, capacity, id_col, text_col)), capacity)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

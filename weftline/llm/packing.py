@@ -35,7 +35,7 @@ from weftline.llm.byte_bpe import gather
 CAPACITY = 2048
 SHORT = 64  # pieces up to this length have classes of their exact length and sequences of their own
 UNIT = 16  # width in tokens of the classes beyond
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 CACHED_CHUNKS = 100_000
 
 #: White space beyond ASCII, which the tokenizer also drops.
@@ -71,14 +71,16 @@ class WordBPE:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def simple(self, chunk: bytes) -> bool:
-        if b"'" in chunk:
-            return False
-        return chunk.isascii() or all(c < "\x80" or ("\xaa" <= c < "ԯ" and c.isalpha()) for c in chunk.decode())
+    def simple(self, chunks: list[bytes]) -> list[bool]:
+        """Whether each chunk is plain enough for the merge replay."""
+        held = pa.array(chunks, pa.binary()).cast(pa.string())
+        plain = pc.string_is_ascii(held).to_pylist()
+        quoted = pc.match_substring(held, "'").to_pylist()
+        return [not q and (ok or all(c < "\x80" or ("\xaa" <= c < "ԯ" and c.isalpha()) for c in chunk.decode())) for chunk, ok, q in zip(chunks, plain, quoted)]
 
     def learn(self, missing: list[bytes]) -> list[bytes]:
         """Ids of distinct chunks."""
-        simple = [self.simple(c) for c in missing]
+        simple = self.simple(missing)
         out = [b"" if ok else self.whole(c.decode()) for c, ok in zip(missing, simple)]
         todo = [c for c, ok in zip(missing, simple) if ok]
         lengths = np.fromiter(map(len, todo), np.int64, len(todo))
@@ -154,20 +156,23 @@ def tokenizer(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, kind bigint, task bigint, place bigint, ids array<int>"
+PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, kind bigint, task bigint, place bigint, packed binary"
 BATCH_IDS = 1 << 20  # ids of a result batch, about
+BATCH_SEQUENCES = 500
+CODEC = "zstd"
+SPAN = ["offset", "doc_id", "start", "length", "doc_tokens"]
+SEQUENCES = f"sequence_id bigint, ids array<int>, pieces array<struct<{','.join(f'{n}:bigint' for n in SPAN)}>>"
 
 
-def piece_batch(rows: list[tuple], held: list[np.ndarray]) -> pa.RecordBatch:
-    ends = np.append(0, np.cumsum([len(x) for x in held])).astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held), pa.int32()))
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows)), ids], names=[c.split()[0] for c in PIECES.split(", ")])
+def piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 8 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[c.split()[0] for c in PIECES.split(", ")])
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise every whole text, append ``end_id`` and cut at multiples of ``capacity``; each piece holds its ids.
 
-    kind is the piece's length class; within a task the pieces of each kind are numbered
+    packed are the ids, 32 bits each, compressed; kind is the piece's length class; within a task the pieces of each kind are numbered
     from 0 by place. A null text counts as empty and gives one piece, the end id; null ids stay null;
     repeated rows each give their pieces; other columns are ignored.
     """
@@ -177,7 +182,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
         for batch in batches:
             for part in blocks(batch, "text", BLOCK_BYTES):
                 ids, counts = bpe.encode_block(part.column("text"))
-                rows, held, at, size = [], [], 0, 0
+                rows, at, size = [], 0, 0
                 tail = np.array([end_id], "<i4")
                 for doc, n in zip(part.column("doc_id").to_pylist(), counts.tolist()):
                     own = np.concatenate((ids[at : at + n].astype("<i4"), tail))
@@ -185,16 +190,15 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
                     for s in range(0, n + 1, capacity):
                         piece = own[s : s + capacity]
                         kind = length_class(len(piece), capacity)
-                        rows.append((doc, s, len(piece), zlib.crc32(piece), n + 1, kind, task, places[kind]))
+                        rows.append((doc, s, len(piece), zlib.crc32(piece), n + 1, kind, task, places[kind], pa.compress(piece, CODEC, asbytes=True)))
                         places[kind] += 1
-                        held.append(piece)
                         size += len(piece)
                         if size >= BATCH_IDS:
-                            yield piece_batch(rows, held)
-                            rows, held, size = [], [], 0
+                            yield piece_batch(rows)
+                            rows, size = [], 0
                 if rows:
-                    yield piece_batch(rows, held)
-                ids = rows = held = None
+                    yield piece_batch(rows)
+                ids = rows = None
         release()  # the worker waits for its next task with little memory
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -323,10 +327,23 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         .withColumn("order", F.col("first_place") + inside % F.col("each"))
     )
     before_it = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("order")) - F.col("length")
-    of_one = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "start", "length", "doc_tokens", "ids")))
+    of_one = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "start", "length", "doc_tokens", "packed")))
     gathered = placed.withColumn("offset", before_it).groupBy("sequence_id").agg(of_one.alias("parts"))
-    spans = F.transform("parts", lambda p: F.struct(*[p[n].alias(n) for n in ("offset", "doc_id", "start", "length", "doc_tokens")]))
-    return gathered.select("sequence_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), spans.alias("pieces"))
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, BATCH_SEQUENCES):
+                batch = whole.slice(s, BATCH_SEQUENCES)
+                lists, flat = batch.column("parts"), batch.column("parts").flatten()
+                lengths = flat.field("length").to_numpy()
+                ids = b"".join(pa.decompress(x, 4 * n, CODEC, asbytes=True) for x, n in zip(flat.field("packed").to_pylist(), lengths.tolist()))
+                begins = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                ends = np.append(0, np.cumsum(lengths))[begins].astype(np.int32)
+                spans = pa.StructArray.from_arrays([flat.field(n) for n in SPAN], SPAN)
+                arrays = [batch.column("sequence_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, "<i4"))), pa.ListArray.from_arrays(pa.array(begins, pa.int32()), spans)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["sequence_id", "ids", "pieces"])
+
+    return gathered.mapInArrow(assemble, SEQUENCES)
 
 
 DIGESTS = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"

@@ -35,8 +35,8 @@ from weftline.llm.byte_bpe import gather
 CAPACITY = 2048
 SHORT = 64  # pieces up to this length have classes of their exact length and sequences of their own
 UNIT = 16  # width in tokens of the classes beyond
-BLOCK_BYTES = 8 << 20
-CACHED_CHUNKS = 100_000
+BLOCK_BYTES = 4 << 20
+CACHED_CHUNKS = 200_000
 
 #: White space beyond ASCII, which the tokenizer also drops.
 WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -156,7 +156,7 @@ def tokenizer(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, kind bigint, task bigint, place bigint, packed binary"
+PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, kind bigint, task bigint, place bigint, packed binary"
 BATCH_IDS = 1 << 20  # ids of a result batch, about
 BATCH_SEQUENCES = 500
 CODEC = "zstd"
@@ -165,7 +165,7 @@ SEQUENCES = f"sequence_id bigint, ids array<int>, pieces array<struct<{','.join(
 
 
 def piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 8 + [pa.binary()]
+    kinds = [pa.int64()] * 7 + [pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[c.split()[0] for c in PIECES.split(", ")])
 
 
@@ -190,7 +190,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
                     for s in range(0, n + 1, capacity):
                         piece = own[s : s + capacity]
                         kind = length_class(len(piece), capacity)
-                        rows.append((doc, s, len(piece), zlib.crc32(piece), n + 1, kind, task, places[kind], pa.compress(piece, CODEC, asbytes=True)))
+                        rows.append((doc, s, len(piece), n + 1, kind, task, places[kind], pa.compress(piece, CODEC, asbytes=True)))
                         places[kind] += 1
                         size += len(piece)
                         if size >= BATCH_IDS:

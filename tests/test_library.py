@@ -71,6 +71,51 @@ def test_versions(spark, tmp_path):
     assert [r.hash for r in held.hashes.collect()] == ["h2"]
 
 
+def chunk_rows(spark, *texts):
+    return spark.createDataFrame([(i, "t", "c", t, t, t) for i, t in enumerate(texts)], "chunk_id bigint, full_type string, chunk_type string, embeddable_text string, display_text string, keyword_index_text string")
+
+
+def test_store_override_leaves_one_set_of_rows(spark, tmp_path):
+    held = store.ChunkStore(spark, str(tmp_path / "index"))
+    vectors = spark.createDataFrame([(0, [1.0, 2.0])], "chunk_id bigint, vec array<float>")
+    held.persist(chunk_rows(spark, "a", "b"), "s", "SHA-256", "h", vectors, "own", "m", 2)
+    held.persist(chunk_rows(spark, "c", "d"), "s", "SHA-256", "h", vectors, "own", "m", 2, override=True)
+    assert sorted(r.display_text for r in held.chunks.collect()) == ["c", "d"] and held.vectors("own", "m").count() == 1
+    with pytest.raises(ValueError):
+        held.persist(chunk_rows(spark, "e"), "s", "SHA-256", "h")
+    held.persist(chunk_rows(spark, "f"), "s", "SHA-256", "h2")
+    assert held.vacuum() == 2 and held.chunks.count() == 3
+    held.delete("s", "h")
+    assert [r.display_text for r in held.chunks.collect()] == ["f"] and held.vectors("own", "m").count() == 0
+    held.persist(chunk_rows(spark, "g"), "s", "SHA-256", "h")
+    assert sorted(r.display_text for r in held.chunks.collect()) == ["f", "g"]
+
+
+def test_store_write_that_breaks_off_leaves_nothing(spark, tmp_path):
+    held = store.ChunkStore(spark, str(tmp_path / "index"))
+    bad = spark.createDataFrame([(0, [1.0])], "chunk_id bigint, vec array<float>")
+    with pytest.raises(ValueError):
+        held.persist(chunk_rows(spark, "a", "b"), "s", "SHA-256", "h", bad, "own", "m", 2)
+    assert held.chunks.count() == 0 and not held.is_indexed("s", "SHA-256", "h")
+    held.persist(chunk_rows(spark, "a", "b"), "s", "SHA-256", "h")
+    assert held.chunks.count() == 2 and held.vacuum() == 1 and held.chunks.count() == 2
+
+
+def test_span_depths_of_deep_trees_and_rings(spark):
+    rows = [("r", f"s{i}", f"s{i - 1}" if i else None) for i in range(150)] + [("r", "x", "y"), ("r", "y", "x"), ("q", "s5", "s4")]
+    found = {(r.run_id, r.span_id): (r.depth, r.path) for r in perf.span_depths(spark.createDataFrame(rows, "run_id string, span_id string, parent_span_id string")).collect()}
+    assert len(found) == 151 and found["r", "s149"] == (149, "/".join(f"s{i}" for i in range(150))) and found["q", "s5"] == (0, "s5")
+
+
+def test_runs_are_numbered_over_days(spark):
+    from datetime import datetime, timedelta
+
+    rows = [(f"r{i:03}", datetime(2024, 1, 1) + timedelta(hours=7 * (i % 40)) if i % 9 else None) for i in range(90)]
+    got = {r.run_id: r.run_index for r in perf.numbered_runs(spark.createDataFrame(rows, "run_id string, start_dt timestamp")).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or datetime.max, r[0]))
+    assert got == {r[0]: i for i, r in enumerate(order)}
+
+
 def test_perf_log(spark, tmp_path):
     rows = [
         {"type": "run_start", "ts": "2024-01-01T00:00:00", "run_id": "r", "operation": "build"},

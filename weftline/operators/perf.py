@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import written
+
 RECORD = "type string, ts string, run_id string, operation string, status string, span_id string, parent_span_id string, datasource_id string, name string, t_start_ms double, duration_ms double, error_type string, attrs map<string,string>"
 
 
@@ -22,8 +24,12 @@ def runs(starts: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def numbered_runs(found: DataFrame) -> DataFrame:
-    """Runs with run_index from 0, by start, those without one last."""
-    return found.withColumn("run_index", F.row_number().over(Window.orderBy(F.asc_nulls_last("start_dt"), "run_id")) - 1)
+    """Runs with run_index from 0, by start, those without one last: places within a day plus the runs of the days before."""
+    dated = found.withColumn("_day", F.coalesce(F.to_date("start_dt"), F.lit("9999-12-31").cast("date")))
+    place = F.row_number().over(Window.partitionBy("_day").orderBy(F.asc_nulls_last("start_dt"), "run_id")) - 1
+    days = dated.groupBy(F.col("_day").alias("_of")).agg(F.count("*").alias("n"))
+    before = days.select("_of", (F.sum("n").over(Window.orderBy("_of")) - F.col("n")).alias("_before"))  # one row a day
+    return dated.withColumn("_place", place).join(before, F.col("_day") == F.col("_of")).withColumn("run_index", F.col("_before") + F.col("_place")).drop("_day", "_of", "_place", "_before")
 
 
 def with_runs(spans: DataFrame, found: DataFrame) -> DataFrame:
@@ -74,22 +80,27 @@ def pivoted(rows: DataFrame, row: str, column: str, value: str, columns: list[st
     return rows.groupBy(row).pivot(column, columns).agg(F.avg(value))
 
 
-def span_depths(spans: DataFrame, max_depth: int = 64) -> DataFrame:
+def span_depths(spans: DataFrame) -> DataFrame:
     """(run_id, span_id, depth, path): depth from the roots down; a span whose parent isn't there is a root.
 
-    Level by level through joins on the run and the parent; the loop ends with the tree.
+    Every span holds the path up to some ancestor and each round joins that ancestor's
+    own path, so a tree of depth d takes about log2(d) rounds, each written. Spans that
+    are their own ancestors hang on no root and are left out.
     """
     s = spans.select("run_id", "span_id", "parent_span_id")
-    known = s.select("run_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("has_parent"))
-    level = s.join(known, ["run_id", "parent_span_id"], "left").where("has_parent is null").select("run_id", "span_id", F.lit(0).alias("depth"), F.col("span_id").alias("path"))
-    out = level
-    for depth in range(1, max_depth + 1):
-        above = level.select("run_id", F.col("span_id").alias("parent_span_id"), "path")
-        level = s.join(above, ["run_id", "parent_span_id"]).select("run_id", "span_id", F.lit(depth).alias("depth"), F.concat_ws("/", "path", "span_id").alias("path"))
-        if level.isEmpty():
+    known = s.select("run_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("has_parent")).distinct()
+    linked = s.join(known, ["run_id", "parent_span_id"], "left")
+    above = F.when(F.col("has_parent"), F.col("parent_span_id"))
+    paths = written(linked.select("run_id", "span_id", above.alias("up"), F.when(F.col("has_parent"), 1).otherwise(0).alias("depth"), F.col("span_id").alias("path")))
+    for _ in range(paths.count().bit_length() + 1):
+        if paths.where("up is not null").isEmpty():
             break
-        out = out.unionByName(level)
-    return out
+        nearer = paths.select("run_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        joined = paths.join(nearer, ["run_id", "up"], "left")
+        found = F.col("_path").isNotNull()
+        depth, path = F.when(found, F.col("depth") + F.col("_depth")).otherwise(F.col("depth")), F.when(found, F.concat_ws("/", "_path", "path")).otherwise(F.col("path"))
+        paths = written(joined.select("run_id", "span_id", F.col("_up").alias("up"), depth.alias("depth"), path.alias("path")))
+    return paths.where("up is null").drop("up")
 
 
 def trace_events(spans: DataFrame) -> DataFrame:

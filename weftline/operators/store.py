@@ -1,19 +1,24 @@
 """Chunks and vectors in tables versioned by content hash.
 
-Data goes in first; the row in the hash table is written last and is what makes a
-version visible. Old versions stay until they are deleted; reads take the current ones.
+Every write has a version id of its own. Data goes in first under that id; the row in
+the hash table that names it is written last and is what makes it visible: of several
+rows of a source and digest the latest counts, and one without a version is a deletion.
+So a write that breaks off leaves nothing visible, an override replaces all rows at once,
+and a deletion is one small append. ``vacuum`` removes the files that no row names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HASHES = "datasource_id string, hash_algorithm string, hash string, hashed_at timestamp"
-CHUNKS = "chunk_id bigint, datasource_id string, full_type string, chunk_type string, embeddable_text string, display_text string, keyword_index_text string, hash string"
+HASHES = "datasource_id string, hash_algorithm string, hash string, hashed_at timestamp, version string"
+CHUNKS = "chunk_id bigint, datasource_id string, full_type string, chunk_type string, embeddable_text string, display_text string, keyword_index_text string, hash string, version string"
+VECTORS = "chunk_id bigint, datasource_id string, hash string, version string, vec array<float>"
 SHARD_NAME = re.compile(r"embedding_[a-z0-9_]+")
 
 
@@ -50,42 +55,62 @@ class ChunkStore:
 
     @property
     def hashes(self) -> DataFrame:
-        return self._read("hashes", HASHES)
+        """A row for each source and digest that is visible."""
+        keys = ["datasource_id", "hash_algorithm", "hash"]
+        last = self._read("hashes", HASHES).groupBy(*keys).agg(F.max(F.struct("hashed_at", "version")).alias("last"))
+        return last.select(*keys, "last.hashed_at", "last.version").where("version is not null")
+
+    def _visible(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.hashes.select("version"), "version", "left_semi").drop("version")
 
     @property
     def chunks(self) -> DataFrame:
-        """Chunks of committed versions."""
-        return current(self._read("chunks", CHUNKS), self.hashes)
+        """Chunks of visible versions."""
+        return self._visible(self._read("chunks", CHUNKS))
 
     def vectors(self, embedder: str, model: str) -> DataFrame:
-        return self._read(shard_name(embedder, model), "chunk_id bigint, datasource_id string, hash string, vec array<float>")
+        """Vectors of visible versions."""
+        return self._visible(self._read(shard_name(embedder, model), VECTORS))
 
     def is_indexed(self, datasource_id: str, algorithm: str, digest: str) -> bool:
         held = self.hashes.where((F.col("datasource_id") == datasource_id) & (F.col("hash_algorithm") == algorithm) & (F.col("hash") == digest))
         return not held.isEmpty()
 
     def persist(self, chunks: DataFrame, datasource_id: str, algorithm: str, digest: str, vectors: DataFrame | None = None, embedder: str = "", model: str = "", dim: int | None = None, override: bool = False) -> None:
-        """Write chunks, then vectors, then the hash row. A version that exists raises, or is replaced by ``override``."""
-        if self.is_indexed(datasource_id, algorithm, digest):
-            if not override:
-                raise ValueError(f"{datasource_id} is already indexed under {digest}")
-            self.delete(datasource_id, digest)
-        marked = chunks.withColumns({"datasource_id": F.lit(datasource_id), "hash": F.lit(digest)})
+        """Write chunks, then vectors, then the hash row. A version that is visible raises, or is replaced by ``override``; one that broke off may be written again."""
+        if not override and self.is_indexed(datasource_id, algorithm, digest):
+            raise ValueError(f"{datasource_id} is already indexed under {digest}")
+        version = uuid.uuid4().hex
+        named = {"datasource_id": F.lit(datasource_id), "hash": F.lit(digest), "version": F.lit(version)}
         columns = [c.split()[0] for c in CHUNKS.split(", ")]
-        marked.select(*columns).write.mode("append").partitionBy("hash").parquet(f"{self.root}/chunks")
+        chunks.withColumns(named).select(*columns).write.mode("append").partitionBy("version").parquet(f"{self.root}/chunks")
         if vectors is not None:
             if dim is not None and not vectors.where(F.size("vec") != dim).isEmpty():
                 raise ValueError(f"vectors must have {dim} components")
-            rows = vectors.select("chunk_id", F.lit(datasource_id).alias("datasource_id"), F.lit(digest).alias("hash"), "vec")
-            rows.write.mode("append").partitionBy("hash").parquet(f"{self.root}/{shard_name(embedder, model)}")
-        row = [(datasource_id, algorithm, digest, datetime.now(timezone.utc))]
-        self.spark.createDataFrame(row, HASHES).write.mode("append").parquet(f"{self.root}/hashes")
+            rows = vectors.select("chunk_id", *[c.alias(k) for k, c in named.items()], "vec")
+            rows.write.mode("append").partitionBy("version").parquet(f"{self.root}/{shard_name(embedder, model)}")
+        self._say([(datasource_id, algorithm, digest, datetime.now(timezone.utc), version)])
+
+    def _say(self, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, HASHES).coalesce(1).write.mode("append").parquet(f"{self.root}/hashes")
 
     def delete(self, datasource_id: str, digest: str | None = None) -> None:
-        """Take versions of a source out of sight: their hash rows go; data files of unseen versions are never read."""
-        gone = F.col("datasource_id") == datasource_id
+        """Take versions of a source, or one of them, out of sight; their files stay until ``vacuum``."""
+        gone = self.hashes.where(F.col("datasource_id") == datasource_id)
         if digest is not None:
-            gone &= F.col("hash") == digest
-        kept = self.hashes.where(~gone).collect()  # one row a source and version
-        self.spark.createDataFrame(kept, HASHES).write.mode("overwrite").parquet(f"{self.root}/hashes.new")
-        self.spark.read.schema(HASHES).parquet(f"{self.root}/hashes.new").write.mode("overwrite").parquet(f"{self.root}/hashes")
+            gone = gone.where(F.col("hash") == digest)
+        now = datetime.now(timezone.utc)
+        if rows := [(r.datasource_id, r.hash_algorithm, r.hash, now, None) for r in gone.collect()]:  # one row a version of a source
+            self._say(rows)
+
+    def vacuum(self) -> int:
+        """Remove the files of versions that aren't visible; how many folders went. No write may run meanwhile, for what it has written isn't visible yet."""
+        kept = {r.version for r in self.hashes.select("version").collect()}  # one a source and digest
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        root = path(self.root)
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = files.globStatus(path(root, "*/version=*")) or []
+        gone = [f.getPath() for f in found if f.getPath().getName().removeprefix("version=") not in kept]
+        for folder in gone:
+            files.delete(folder, True)
+        return len(gone)

@@ -66,6 +66,8 @@ class WordBPE:
         kind[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = 1
         kind[[*range(ord("0"), ord("9") + 1)]] = 2
         self.kind = kind
+        letters = "".join(f"\\x{{{c:x}}}" for c in range(0xAA, ord("ԯ")) if chr(c).isalpha())
+        self.odd = rf"[^\x00-\x26\x28-\x7f{letters}]"  # quotes, and what is neither ASCII nor such a letter
         self.chunks: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -73,10 +75,7 @@ class WordBPE:
 
     def simple(self, chunks: list[bytes]) -> list[bool]:
         """Whether each chunk is plain enough for the merge replay."""
-        held = pa.array(chunks, pa.binary()).cast(pa.string())
-        plain = pc.string_is_ascii(held).to_pylist()
-        quoted = pc.match_substring(held, "'").to_pylist()
-        return [not q and (ok or all(c < "\x80" or ("\xaa" <= c < "ԯ" and c.isalpha()) for c in chunk.decode())) for chunk, ok, q in zip(chunks, plain, quoted)]
+        return pc.invert(pc.match_substring_regex(pa.array(chunks, pa.binary()).cast(pa.string()), self.odd)).to_pylist()
 
     def learn(self, missing: list[bytes]) -> list[bytes]:
         """Ids of distinct chunks."""

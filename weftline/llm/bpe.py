@@ -17,6 +17,22 @@ import numpy as np
 NONE = np.iinfo(np.int32).max
 
 
+def grouped(own: np.ndarray, other: np.ndarray, ranks: np.ndarray, size: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Pairs by one of their symbols: where each symbol's pairs begin, then the other symbols, ascending, and the ranks."""
+    order = np.lexsort((other, own))
+    return np.searchsorted(own[order], np.arange(size)).tolist(), other[order], ranks[order]
+
+
+def beside(groups: tuple[list[int], np.ndarray, np.ndarray], symbol: int, others: np.ndarray) -> np.ndarray | None:
+    """Ranks of a symbol's pairs with each of ``others``, NONE where they don't merge; no array at all for a symbol without pairs."""
+    starts, known, ranks = groups
+    s, e = starts[symbol], starts[symbol + 1]
+    if s == e:
+        return None
+    at = np.minimum(known[s:e].searchsorted(others), e - s - 1)
+    return np.where(known[s:e][at] == others, ranks[s:e][at], NONE)
+
+
 class MergeTable:
     """Pairs of symbols with the rank of their merge; ``made[rank]`` is the merged symbol."""
 
@@ -30,6 +46,9 @@ class MergeTable:
         for rank, symbol in made.items():
             self.made[rank] = symbol
         self.pairs = pairs
+        a, b = (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32)
+        size = int(max(a.max(initial=0), b.max(initial=0), self.made.max(initial=0))) + 2
+        self.after, self.before = grouped(a, b, ranks, size), grouped(b, a, ranks, size)
 
     @classmethod
     def from_ranks(cls, ranks: dict[bytes, int]) -> MergeTable:
@@ -138,12 +157,16 @@ class MergeTable:
             nxt[p] = r
             prv[r] = p
             left = prv[p]
-            new = np.full(len(p), made, np.int32)
-            right_rank, left_rank = self.rank(new, sym[r]), self.rank(sym[left], new)
-            cur[p] = right_rank
-            cur[left] = left_rank
+            cur[p] = cur[left] = NONE
+            found = []
+            if (ranks := beside(self.after, int(made), sym[r])) is not None:
+                cur[p] = ranks
+                found.append(p[ranks < NONE])
+            if (ranks := beside(self.before, int(made), sym[left])) is not None:
+                cur[left] = ranks
+                found.append(left[ranks < NONE])
             cur[n] = NONE
-            at = np.concatenate((p[right_rank < NONE], left[left_rank < NONE]))
+            at = np.concatenate(found) if found else p[:0]
             if len(at):
                 ranks = cur[at]
                 if (low := ranks < rank).any():  # a new pair comes before this merge: the word's own order decides

@@ -12,6 +12,7 @@ import json
 import os
 import re
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -19,12 +20,13 @@ from pathlib import Path
 
 import pandas as pd
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import sample_value
 from weftline.operators import catalog, chunking, profiling, search, store
 from weftline.operators.sql import run_sql
+from weftline.sources import databases, introspection
 
 DIM = 64
 ALGORITHM = "SHA-256"
@@ -113,7 +115,8 @@ class Domain:
     """Build, index and search a folder of sources.
 
     A source is a YAML file with ``type: parquet`` (``path`` of a folder with tables),
-    ``type: spark`` (``database``), or a .txt or .md file.
+    ``type: spark`` (``database``), ``type: sqlite`` (``path``), the type of a database that
+    JDBC reaches (``host``, ``port``, ``database``, ``options``), or a .txt or .md file.
     """
 
     def __init__(self, spark: SparkSession, root: str, embed: Embedder = hashing_embedder, dim: int = DIM):
@@ -168,8 +171,28 @@ class Domain:
         if config.get("type") == "spark":
             database = config.get("database", "default")
             return {t.name: self.spark.table(f"{database}.{t.name}") for t in self.spark.catalog.listTables(database)}
+        if config.get("type") in introspection.DIALECTS:
+            return {n: self._read(config, t.schema_name, t.name) for n, t in self.catalog(config).items() if t.columns}
         raise ValueError(f"unknown source type {config.get('type')!r}")
 
+    def _read(self, config: dict, schema: str, name: str) -> DataFrame:
+        if config["type"] == "sqlite":
+            return databases.read_sqlite(self.spark, config["path"], name)
+        return databases.read_table(self.spark, self._connection(config), f"{schema}.{name}")
+
+    @staticmethod
+    def _connection(config: dict) -> databases.Connection:
+        return databases.Connection(config["type"], **{k: config[k] for k in ("host", "port", "database", "options") if k in config})
+
+    def catalog(self, config: dict) -> dict[str, Row]:
+        """What a database's own catalog says of each table; names that stand in several schemas carry theirs."""
+        if config.get("type") not in introspection.DIALECTS:
+            return {}
+        read = introspection.sqlite_reader(self.spark, config["path"]) if config["type"] == "sqlite" else introspection.jdbc_reader(self.spark, self._connection(config))
+        rows = catalog.assembled_tables(**introspection.components(self.spark, config["type"], read)).orderBy("schema_name", "name").collect()  # a row a table
+        often = Counter(r.name for r in rows)
+        return {r.name if often[r.name] == 1 else f"{r.schema_name}_{r.name}": r for r in rows}
+
     def build(self, sources: list[str] | None = None) -> list[Result]:
         """Introspect each source and write its context file."""
 
@@ -180,7 +203,7 @@ class Domain:
                 config = self.config(source)
                 if str(config.get("enabled", True)).lower() in ("false", "no", "0"):
                     return Result(source, SKIPPED, "disabled")
-                context = {"datasource_id": source, "datasource_type": config["type"], "tables": [self._introspected(n, t, config) for n, t in self.tables(config).items()]}
+                context = {"datasource_id": source, "datasource_type": config["type"], "tables": self._all_introspected(config)}
             path = self.context_path(source)
             path.parent.mkdir(parents=True, exist_ok=True)
             path.write_text(yaml.safe_dump(plain(context), sort_keys=False, allow_unicode=True))
@@ -188,6 +211,12 @@ class Domain:
 
         return self._each(sources, work)
 
+    def _all_introspected(self, config: dict) -> list[dict]:
+        tables = self.tables(config)
+        known = {n: {k: v for k, v in plain(r).items() if k not in ("schema_name", "name")} for n, r in self.catalog(config).items()}
+        out = [self._introspected(n, t, config) | known.pop(n, {}) for n, t in tables.items()]
+        return out + [{"name": n, **v} for n, v in known.items()]  # what can't be read, such as broken views
+
     def _introspected(self, name: str, df: DataFrame, config: dict) -> dict:
         constraints = (config.get("constraints") or {}).get(name, {})
         out = {

@@ -128,13 +128,21 @@ def assembled_columns(rows: DataFrame) -> DataFrame:
     return shaped.groupBy("schema_name", "table_name").agg(in_position("name", "type", "nullable", "generated", "description").alias("columns"))
 
 
-def assembled_tables(relations: DataFrame, columns: DataFrame, primary_keys: DataFrame, foreign_keys: DataFrame) -> DataFrame:
+def assembled_tables(
+    relations: DataFrame, columns: DataFrame, primary_keys: DataFrame, foreign_keys: DataFrame, unique_keys: DataFrame | None = None, checks: DataFrame | None = None, indexes: DataFrame | None = None
+) -> DataFrame:
     """The model: a row a table, also for one that only a component knows; rows without a schema are dropped."""
     key = ["schema_name", "table_name"]
     keys = assembled_keys(primary_keys).groupBy(*key).agg(F.min_by("columns", "constraint_name").alias("primary_key"))
     foreign = assembled_foreign_keys(foreign_keys).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("constraint_name", "mapping", "referenced_table"))).alias("foreign_keys"))
     kinds = relations.select(*key, dataset_kind(F.col("kind")).alias("kind"), "description")
     parts = [kinds, assembled_columns(columns), keys, foreign]
+    if unique_keys is not None:
+        parts.append(assembled_keys(unique_keys).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("constraint_name", "columns"))).alias("unique_keys")))
+    if checks is not None:
+        parts.append(checks.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("constraint_name", "expression"))).alias("checks")))
+    if indexes is not None:
+        parts.append(assembled_indexes(indexes).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("index_name", "columns", "unique", "method"))).alias("indexes")))
     whole = reduce(lambda a, b: a.join(b, key, "full_outer"), parts)
     filled = whole.withColumns({"kind": F.coalesce("kind", F.lit("table")), "columns": F.coalesce("columns", F.array())})
     return filled.where(F.coalesce("schema_name", F.lit("")) != "").withColumnRenamed("table_name", "name")

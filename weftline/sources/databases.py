@@ -47,7 +47,7 @@ def read_table(spark: SparkSession, connection: Connection, table: str, key: str
 
 
 class RowRange(InputPartition):
-    def __init__(self, low: int, high: int):
+    def __init__(self, low: int | None, high: int | None):
         self.low, self.high = low, high
 
 
@@ -62,6 +62,9 @@ class SqliteReader(DataSourceReader):
 
     def partitions(self):
         with self._connect() as c:
+            ordered = c.execute("select 1 from pragma_table_list where schema = 'main' and lower(name) = lower(?) and type = 'table' and not wr", (self.table,)).fetchone()
+            if not ordered:  # views and tables without row ids are read in one part
+                return [RowRange(None, None)]
             low, high = c.execute(f"select min(rowid), max(rowid) from {quoted(self.table)}").fetchone()
         if low is None:
             return [RowRange(0, 0)]
@@ -71,6 +74,9 @@ class SqliteReader(DataSourceReader):
     def read(self, partition):
         names = ", ".join(quoted(f.name) for f in self.schema.fields)
         with self._connect() as c:
+            if partition.low is None:
+                yield from c.execute(f"select {names} from {quoted(self.table)}")
+                return
             yield from c.execute(f"select {names} from {quoted(self.table)} where rowid >= ? and rowid < ?", (partition.low, partition.high))
 
 

@@ -119,6 +119,20 @@ select n.nspname as schema_name, c.relname as table_name, a.attnum as ordinal_po
        case when a.attidentity <> '' then 'identity' when a.attgenerated <> '' then 'computed' end as generated, col_description(c.oid, a.attnum) as description
 from pg_attribute a join pg_class c on c.oid = a.attrelid join pg_namespace n on n.oid = c.relnamespace left join pg_attrdef d on d.adrelid = a.attrelid and d.adnum = a.attnum
 where a.attnum > 0 and not a.attisdropped and c.relkind in ('r', 'p', 'v', 'm', 'f') and not c.relispartition
+""",
+    "checks": """
+select n.nspname as schema_name, c.relname as table_name, k.conname as constraint_name, pg_get_expr(k.conbin, k.conrelid) as expression, k.convalidated as validated
+from pg_constraint k join pg_class c on c.oid = k.conrelid join pg_namespace n on n.oid = c.relnamespace where k.contype = 'c'
+""",
+    # constraint names are unique within a table only, so the standard's views, which know them by schema, would mix tables up
+    "foreign_keys": """
+select n.nspname as schema_name, c.relname as table_name, k.conname as constraint_name, u.position, a.attname as from_column, rn.nspname as ref_schema, r.relname as ref_table, b.attname as to_column,
+       case k.confupdtype when 'c' then 'cascade' when 'n' then 'set null' when 'd' then 'set default' when 'r' then 'restrict' else 'no action' end as on_update,
+       case k.confdeltype when 'c' then 'cascade' when 'n' then 'set null' when 'd' then 'set default' when 'r' then 'restrict' else 'no action' end as on_delete
+from pg_constraint k join pg_class c on c.oid = k.conrelid join pg_namespace n on n.oid = c.relnamespace join pg_class r on r.oid = k.confrelid join pg_namespace rn on rn.oid = r.relnamespace
+cross join lateral unnest(k.conkey, k.confkey) with ordinality as u(own, other, position)
+join pg_attribute a on a.attrelid = k.conrelid and a.attnum = u.own join pg_attribute b on b.attrelid = k.confrelid and b.attnum = u.other
+where k.contype = 'f'
 """,
     "indexes": """
 select n.nspname as schema_name, t.relname as table_name, i.relname as index_name, p.position, pg_get_indexdef(x.indexrelid, p.position, true) as expr,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.profiling import percentiles
 from weftline.session import written
 
 RECORD = "type string, ts string, run_id string, operation string, status string, span_id string, parent_span_id string, datasource_id string, name string, t_start_ms double, duration_ms double, error_type string, attrs map<string,string>"
@@ -59,20 +60,17 @@ def step_totals(spans: DataFrame, metrics: DataFrame | None = None) -> DataFrame
 def step_stats(totals: DataFrame, name: str = "name", value: str = "total_ms") -> DataFrame:
     """Count, mean, median, 90th and 99th percentile and maximum by step, rounded half-even, slowest first."""
     whole = lambda c: F.bround(c).cast("bigint")
-    out = totals.where(F.col(name).isNotNull()).groupBy(name).agg(
-        F.count(value).alias("count"),
-        whole(F.avg(value)).alias("mean"),
-        whole(F.percentile(value, 0.5)).alias("median"),
-        whole(F.percentile(value, 0.9)).alias("p90"),
-        whole(F.percentile(value, 0.99)).alias("p99"),
-        whole(F.max(value)).alias("max"),
-    )
-    return out.orderBy(F.desc("p90"), name)
+    named = totals.where(F.col(name).isNotNull())
+    plain = named.groupBy(name).agg(F.count(value).alias("count"), whole(F.avg(value)).alias("mean"), whole(F.max(value)).alias("max"))
+    ranks = percentiles(named, [name], value, {"median": 0.5, "p90": 0.9, "p99": 0.99})
+    out = plain.join(ranks, name, "left")
+    return out.select(name, "count", "mean", *[whole(c).alias(c) for c in ("median", "p90", "p99")], "max").orderBy(F.desc("p90"), name)
 
 
 def overview(found: DataFrame) -> DataFrame:
     """Number of runs and of failed ones, mean and 90th percentile of their time."""
-    return found.agg(F.count("*").alias("runs"), F.count_if(~F.col("status").isin("ok", "unknown")).alias("errors"), F.avg("run_ms").alias("mean_ms"), F.percentile("run_ms", 0.9).alias("p90_ms"))
+    plain = found.agg(F.count("*").alias("runs"), F.count_if(~F.col("status").isin("ok", "unknown")).alias("errors"), F.avg("run_ms").alias("mean_ms"))
+    return plain.join(percentiles(found, [], "run_ms", {"p90_ms": 0.9}), how="left")  # one row each
 
 
 def pivoted(rows: DataFrame, row: str, column: str, value: str, columns: list[str]) -> DataFrame:

@@ -130,4 +130,7 @@ def partitioned_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 select event_type, quantile_cont(value, 0.5) as median, quantile_cont(value, 0.9) as p90, quantile_cont(value, 0.99) as p99, max(value) as largest from events group by 1
 """)
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("median"), F.percentile("value", 0.9).alias("p90"), F.percentile("value", 0.99).alias("p99"), F.max("value").alias("largest"))
+    events = table(spark, sf_dir, "events")
+    largest = events.groupBy("event_type").agg(F.max("value").alias("largest"))
+    ranks = profiling.percentiles(events, ["event_type"], "value", {"median": 0.5, "p90": 0.9, "p99": 0.99}).withColumnRenamed("event_type", "_type")
+    return largest.join(ranks, F.col("event_type").eqNullSafe(F.col("_type")), "left").drop("_type")

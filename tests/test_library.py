@@ -1,5 +1,7 @@
 import json
+import random
 import sqlite3
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pyarrow as pa
@@ -54,6 +56,23 @@ def test_as_of_is_the_latest_before(spark):
     assert got == {1: "y", 2: "x", 3: None}
 
 
+def test_as_of_over_slices_ties_and_nulls(spark):
+    r = random.Random(5)
+    when = lambda: r.choice([None, *[datetime(2024, 1, 1) + timedelta(hours=7 * i) for i in range(40)]])
+    lefts = [(i, r.choice(["hot", "hot", "b", None]), when()) for i in range(60)]
+    rights = [(r.choice(["hot", "hot", "b", None]), when(), i) for i in range(25)]
+    left, right = spark.createDataFrame(lefts, "id bigint, k string, t timestamp_ntz"), spark.createDataFrame(rights, "k string, at timestamp_ntz, v bigint")
+
+    def wanted(k, t, slack):
+        held = [(at, v) for key, at, v in rights if None not in (k, t, key, at) and key == k and at <= t]
+        return max(held)[1] if held and t - max(held)[0] <= slack else None
+
+    for age, slack in ((None, timedelta.max), (F.expr("interval 12 hours"), timedelta(hours=12))):
+        for unit in ("day", "month", None):
+            got = {x.id: x.v for x in joins.as_of(left, right, ["k"], "t", "at", "id", ["v"], tie="v", max_age=age, slice=unit).collect()}
+            assert got == {i: wanted(k, t, slack) for i, k, t in lefts}
+
+
 def test_versions(spark, tmp_path):
     held = store.ChunkStore(spark, str(tmp_path / "index"))
     chunks = spark.createDataFrame([(1, "t", None, "a b", None, "a b")], "chunk_id bigint, full_type string, chunk_type string, embeddable_text string, display_text string, keyword_index_text string")

@@ -13,7 +13,7 @@ WINDOW, OVERLAP = 300, 50
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of a-z; empty array for null."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), "")
 
 
 def words(text: Column) -> Column:

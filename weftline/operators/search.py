@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import tokens
 from weftline.functions.vectors import cosine_distance, norm
+from weftline.session import written
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -22,16 +23,16 @@ def candidate_limit(limit: int) -> int:
 def bm25_scores(chunks: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
     """(id, bm25_score) of the chunks that hold a query term.
 
-    Statistics are over all chunks; filters on the result come after. Each chunk's term
-    counts are computed in place, so only one row of statistics is gathered: nothing
-    but that is shuffled, whatever the corpus.
+    Statistics are over all chunks; filters on the result come after. Each chunk's length
+    and term counts are worked out once and written, some numbers a chunk; statistics and
+    scores read those. Only one row of statistics is gathered, whatever the corpus.
     """
     terms = sorted({t for t in _query_terms(query)})
     none = chunks.select(F.col(id_col), F.lit(None).cast("double").alias("bm25_score")).where("false")
     if not terms:
         return none
     held = chunks.select(F.col(id_col), tokens(F.col(text_col)).alias("t"))
-    counts = held.select(id_col, F.size("t").alias("dl"), *[_times("t", w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    counts = written(held.select(id_col, F.size("t").alias("dl"), *[_times("t", w).alias(f"tf{i}") for i, w in enumerate(terms)]))
     stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     scored = counts.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -44,7 +45,7 @@ def bm25_scores(chunks: DataFrame, query: str, id_col: str, text_col: str) -> Da
 
 
 def _times(tokens: str, term: str):
-    return F.size(F.filter(tokens, lambda x: x == term))
+    return F.size(tokens) - F.size(F.array_remove(tokens, term))
 
 
 def _query_terms(query: str) -> list[str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import byte_bpe, chat, exact_dedup, knn_join, language_id, near_dedup, packing, sharding, toxicity, url_filter
+from weftline.llm import byte_bpe, chat, conversation_repair, exact_dedup, knn_join, language_id, near_dedup, oracles, packing, sharding, toxicity, url_filter
 from weftline.llm._common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,12 @@ select conv_id, count(*) as n_turns,
        cast(sum(length(formatted)) as bigint) as formatted_chars
 from marked group by conv_id
 """
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    return conversation_repair.repair(conversation_repair.damage(read(spark, sf_dir, "conversations")), "dropped")
+
+
+ORACLES["op13_conversation_repair"] = oracles.REPAIR

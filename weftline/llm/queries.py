@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import byte_bpe, chat, conversation_repair, exact_dedup, knn_join, language_id, near_dedup, oracles, packing, sharding, toxicity, url_filter
+from weftline.llm import byte_bpe, chat, conversation_repair, divergence, exact_dedup, knn_join, language_id, near_dedup, oracles, packing, sharding, toxicity, url_filter
 from weftline.llm._common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,43 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_conversation_repair"] = oracles.REPAIR
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and the terms that set it apart."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_divergence"] = r"""
+with d as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+), occurring as (select id, lang, source, unnest(w) as term from d),
+kept as (select lang, term from occurring group by all having count(distinct id) >= 3),
+counted as (select lang, source, term, count(*) as n from occurring semi join kept using (lang, term) group by all),
+words as (select lang, count(*) as v from kept group by lang),
+gs as (select distinct lang, source from d),
+totals as (select gs.lang, gs.source, cast(coalesce(sum(n), 0) as hugeint) as total from gs left join counted using (lang, source) group by all),
+langs as (select lang, sum(total) as total from totals group by lang),
+cells as (
+  select t.lang, t.source, k.term, coalesce(c.n, 0) as n, cast(1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (t.total + v) as bigint) as p
+  from totals t join words using (lang) join kept k using (lang) left join counted c using (lang, source, term)
+), whole as (
+  select k.lang, k.term, cast(1 + 1000000000::hugeint * (coalesce(sum(c.n), 0) + 1) // (any_value(l.total) + any_value(v)) as bigint) as q
+  from kept k join langs l using (lang) join words using (lang) left join counted c using (lang, term) group by all
+), far as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from cells a join cells b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value
+  from gs a join gs b on a.lang = b.lang and a.source <> b.source
+  left join far f on f.lang = a.lang and f.source = a.source and f.item = b.source
+), terms as (
+  select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value from cells join whole using (lang, term) where n > 0 and p > q
+)
+select lang, source, part, item, value, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+from (select * from pairs union all select * from terms)
+qualify part = 'pair' or rank <= 200
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import byte_bpe, chat, conversation_repair, divergence, exact_dedup, knn_join, language_id, near_dedup, oracles, packing, sharding, toxicity, url_filter
+from weftline.llm import byte_bpe, chat, conversation_repair, divergence, exact_dedup, html_extract, knn_join, language_id, near_dedup, oracles, packing, sharding, toxicity, url_filter
 from weftline.llm._common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,27 @@ select lang, source, part, item, value, cast(row_number() over (partition by lan
 from (select * from pairs union all select * from terms)
 qualify part = 'pair' or rank <= 200
 """
+
+
+@query
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+#: The given pages have one article each, of headings and paragraphs, and few character references.
+ORACLES["op12_html_extraction"] = r"""
+with inner_html as (
+  select page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') as h from pages
+), lines as (
+  select page_id, url, unnest(string_split_regex(h, '</?(?:p|h1)>')) as line, generate_subscripts(string_split_regex(h, '</?(?:p|h1)>'), 1) as k from inner_html
+), plain as (
+  select page_id, url, k, trim(regexp_replace(
+           regexp_replace(replace(regexp_replace(regexp_replace(line, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'),
+           '[\s\x0B\x{85}\x{A0}]+', ' ', 'g')) as line
+  from lines
+), joined as (
+  select page_id, url, coalesce(string_agg(line, chr(10) order by k) filter (line <> ''), '') as text from plain group by all
+)
+select page_id, url, text, cast(length(text) as bigint) as n_chars from joined
+"""

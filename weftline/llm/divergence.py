@@ -37,8 +37,9 @@ LEAST = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
 BLOCK_BYTES = 16 << 20  # of one language's text; an automaton holds the kept terms of one block
+HELD_BYTES = 16 << 20  # of text that a task holds before it packs it
 HELD_TERMS = 1 << 20  # distinct terms that a task of pass one holds before it gives them out
-POSTINGS = 500_000  # of a task that sums pairs
+POSTINGS = 50_000  # of a task that sums pairs, or as many as it has pairs
 SOURCES = 512  # a side of such a task
 EXPANDED = 1 << 21  # co-occurring pairs that it looks at in one go
 
@@ -53,8 +54,8 @@ def audit(documents: DataFrame, least: int = LEAST, top: int = TOP_TERMS) -> Dat
     Part ``term``: the ``top`` terms whose share is above the language's, by divergence.
     """
     docs = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    texts = cut(docs.mapInArrow(_normalised, "block bigint, lang string, source string, text binary"), "zstd")
-    found = cut(texts.select("block", "lang", "text").mapInArrow(_document_frequencies, "block bigint, lang string, term binary, docs bigint"))
+    texts = cut(docs.mapInArrow(_normalised, "block bigint, lang string, source string, text binary"))
+    found = cut(texts.mapInArrow(_document_frequencies, "block bigint, lang string, term binary, docs bigint"))
     kept = found.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
     kept = cut(kept.select("lang", "term", F.monotonically_increasing_id().alias("tid")))
     own = found.select("block", "lang", "term").join(kept, ["lang", "term"]).select("block", "term", "tid")
@@ -65,22 +66,46 @@ def audit(documents: DataFrame, least: int = LEAST, top: int = TOP_TERMS) -> Dat
 
 
 def _normalised(batches):
-    """Each document's terms between single spaces; a language's block ends at ``BLOCK_BYTES``."""
+    """Documents as their terms between single spaces, packed by language and source; a language's block ends at ``BLOCK_BYTES``.
+
+    A row holds the documents of one source, a newline between two, compressed: it is
+    read twice and shuffled once.
+    """
     import pyarrow as pa
+    import zstandard
+
+    def rows():
+        keys, packed = list(held), [press.compress(b"\n".join(texts)) for texts in held.values()]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(packed, pa.binary())], names=["block", "lang", "source", "text"])
 
-    task, made, open_blocks = TaskContext.get().partitionId() << 32, itertools.count(), {}
+    task, made, open_blocks, held, size = TaskContext.get().partitionId() << 32, itertools.count(), {}, {}, 0
+    press = zstandard.ZstdCompressor(level=3)
     for whole in batches:
         for batch in blocks(whole, "text", 4 << 20):
-            langs, ids, texts = batch.column("lang").to_pylist(), [], []
-            for lang, text in zip(langs, batch.column("text").to_pylist(), strict=True):
+            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
                 plain = b" " + b" ".join(text.translate(PLAIN).split()) + b" "
-                block, size = open_blocks.get(lang, (None, BLOCK_BYTES))
-                if size >= BLOCK_BYTES:
-                    block, size = task + next(made), 0
-                open_blocks[lang] = (block, size + len(plain))
-                ids.append(block)
-                texts.append(plain)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("lang"), batch.column("source"), pa.array(texts, pa.binary())], names=["block", "lang", "source", "text"])
+                block, full = open_blocks.get(lang, (None, BLOCK_BYTES))
+                if full >= BLOCK_BYTES:
+                    block, full = task + next(made), 0
+                open_blocks[lang] = (block, full + len(plain))
+                held.setdefault((block, lang, source), []).append(plain)
+                size += len(plain)
+            if size >= HELD_BYTES:
+                yield rows()
+                size = 0
+                release()
+    yield rows()
+
+
+def _unpacked(batch):
+    """(block, lang, source, texts) of packed rows, one row at a time."""
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    for row in zip(*(batch.column(c) for c in ("block", "lang", "source", "text")), strict=True):
+        block, lang, source, text = (x.as_py() for x in row)
+        yield block, lang, source, press.decompress(text)
 
 
 def _document_frequencies(batches):
@@ -96,10 +121,11 @@ def _document_frequencies(batches):
         release()
 
     held: dict[tuple, Counter] = {}
-    for whole in batches:
-        for batch in blocks(whole, "text", 4 << 20):
-            for block, lang, text in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "text")), strict=True):
-                held.setdefault((block, lang), Counter()).update(set(text.split()))
+    for batch in batches:
+        for block, lang, _, texts in _unpacked(batch):
+            count = held.setdefault((block, lang), Counter())
+            for text in texts.split(b"\n"):
+                count.update(set(text.split()))
             if sum(map(len, held.values())) > HELD_TERMS:
                 yield from rows()
     yield from rows()
@@ -119,7 +145,7 @@ def _recount(key, texts, terms):
     automaton.make_automaton()
     counts: dict[tuple, Counter] = {}
     for batch in texts.to_batches():
-        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+        for _, lang, source, text in _unpacked(batch):
             counts.setdefault((lang, source), Counter()).update(map(itemgetter(1), automaton.iter(text.decode("latin-1"))))
     out = [
         pa.table([pa.array([lang] * len(c), pa.string()), pa.array([source] * len(c), pa.string()), pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], schema=schema)
@@ -133,7 +159,7 @@ def _groups(docs: DataFrame, kept: DataFrame, postings: DataFrame) -> DataFrame:
     """Every (lang, source) with its occurrences ``total``, the language's ``words`` and occurrences, and how its work is dealt."""
     totals = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("held"))
     of = cut(docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").fillna(0, ["total", "held"]))
-    langs = of.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.ceil(F.sum("held") / POSTINGS).alias("deals"), F.ceil(F.count("*") / SOURCES).alias("sides"))
+    langs = of.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.ceil(F.sum("held") / F.greatest(F.lit(POSTINGS), F.least(F.count("*"), F.lit(SOURCES)) * F.least(F.count("*"), F.lit(SOURCES)))).alias("deals"), F.ceil(F.count("*") / SOURCES).alias("sides"))
     words = kept.groupBy("lang").agg(F.count("*").alias("words"))
     sized = langs.join(words, "lang", "left").fillna(0, ["words"]).withColumn("deals", F.greatest("deals", F.lit(1)))
     side = F.pmod(F.xxhash64("source"), F.col("sides")).alias("side")

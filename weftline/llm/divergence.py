@@ -56,10 +56,12 @@ def audit(documents: DataFrame, least: int = LEAST, top: int = TOP_TERMS) -> Dat
     docs = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     texts = cut(docs.mapInArrow(_normalised, "block bigint, lang string, source string, text binary"))
     found = cut(texts.mapInArrow(_document_frequencies, "block bigint, lang string, term binary, docs bigint"))
-    kept = found.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
-    kept = cut(kept.select("lang", "term", F.monotonically_increasing_id().alias("tid")))
-    own = found.select("block", "lang", "term").join(kept, ["lang", "term"]).select("block", "term", "tid")
-    counted = texts.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_recount, "lang string, source string, tid bigint, n bigint")
+    same = Window.partitionBy("lang", "term")  # a row a block that holds the term
+    numbered = found.withColumn("id", F.monotonically_increasing_id())
+    summed = numbered.withColumns({"everywhere": F.sum("docs").over(same), "tid": F.min("id").over(same)}).where(F.col("everywhere") >= least)
+    own = cut(summed.select("block", "lang", "term", "tid", (F.col("id") == F.col("tid")).alias("first")))
+    kept = own.where("first").select("lang", "term", "tid")
+    counted = texts.groupBy("block").cogroup(own.select("block", "term", "tid").groupBy("block")).applyInArrow(_recount, "lang string, source string, tid bigint, n bigint")
     postings = cut(counted.groupBy("lang", "source", "tid").agg(F.sum("n").alias("n")))
     groups = _groups(docs, kept, postings)
     return _pairs(postings, groups).unionByName(_terms(postings, kept, groups, top))
@@ -134,23 +136,27 @@ def _document_frequencies(batches):
 def _recount(key, texts, terms):
     """Occurrences of a block's kept terms by source, by an automaton over the padded terms."""
     import ahocorasick
+    import numpy as np
     import pyarrow as pa
 
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("tid", pa.int64()), ("n", pa.int64())])
     if not texts.num_rows or not terms.num_rows:
         return schema.empty_table()
-    automaton = ahocorasick.Automaton()
-    for term, tid in zip(terms["term"].to_pylist(), terms["tid"].to_pylist(), strict=True):
-        automaton.add_word(f" {term.decode('latin-1')} ", tid)  # a byte is a letter of the automaton
+    automaton, tids = ahocorasick.Automaton(ahocorasick.STORE_INTS), terms["tid"].to_numpy()
+    for k, term in enumerate(terms["term"].to_pylist()):
+        automaton.add_word(f" {term.decode('latin-1')} ", k)  # a byte is a letter of the automaton
     automaton.make_automaton()
-    counts: dict[tuple, Counter] = {}
+    counts: dict[tuple, np.ndarray] = {}
     for batch in texts.to_batches():
         for _, lang, source, text in _unpacked(batch):
-            counts.setdefault((lang, source), Counter()).update(map(itemgetter(1), automaton.iter(text.decode("latin-1"))))
-    out = [
-        pa.table([pa.array([lang] * len(c), pa.string()), pa.array([source] * len(c), pa.string()), pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], schema=schema)
-        for (lang, source), c in counts.items()
-    ]
+            found = np.fromiter(map(itemgetter(1), automaton.iter(text.decode("latin-1"))), np.int64)
+            occurring = np.bincount(found, minlength=len(tids))
+            counts[lang, source] = counts[lang, source] + occurring if (lang, source) in counts else occurring
+    out = []
+    for (lang, source), n in counts.items():
+        held = np.flatnonzero(n)
+        names = [pa.array([name], pa.string()).take(pa.array(np.zeros(len(held), np.int64))) for name in (lang, source)]
+        out.append(pa.table([*names, pa.array(tids[held]), pa.array(n[held])], schema=schema))
     release()
     return pa.concat_tables(out)
 
@@ -276,10 +282,11 @@ def _share(count: F.Column, total: str) -> F.Column:
 
 
 def _terms(postings: DataFrame, kept: DataFrame, groups: DataFrame, top: int) -> DataFrame:
-    everywhere = postings.groupBy("tid").agg(F.sum("n").alias("everywhere")).join(kept.select("tid", "term"), "tid")
-    of = postings.join(everywhere, "tid").join(groups, ["lang", "source"])
+    everywhere = F.sum("n").over(Window.partitionBy("tid"))  # a row a source that holds the term
+    of = postings.withColumn("everywhere", everywhere).join(groups, ["lang", "source"])
     of = of.withColumn("size", F.col("total") + F.col("words")).withColumn("lang_size", F.col("lang_total") + F.col("words"))
     of = of.withColumn("p", _share(F.col("n"), "size")).withColumn("q", _share(F.col("everywhere"), "lang_size")).where("p > q")
+    of = of.select("lang", "source", "tid", "p", "q").join(kept.select("tid", "term"), "tid")
     judged = of.select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), F.expr("(p - q) * (p - q) div q").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     return judged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -41,6 +41,7 @@ HELD_BYTES = 16 << 20  # of text that a task holds before it packs it
 HELD_TERMS = 1 << 20  # distinct terms that a task of pass one holds before it gives them out
 POSTINGS = 50_000  # of a task that sums pairs, or as many as it has pairs
 SOURCES = 512  # a side of such a task
+HELD_SHARES = 1 << 12
 EXPANDED = 1 << 21  # co-occurring pairs that it looks at in one go
 
 #: Letters stay, lower-cased, as do bytes beyond ASCII; anything else parts terms.
@@ -231,10 +232,10 @@ def _divergence(key, groups, postings):
             rank[b] = np.arange(len(b))
             on_right = np.flatnonzero(rank[source] >= 0)
             right = (tid[on_right], rank[source[on_right]], p[on_right])
-            for (s, q), times in _distinct(left):
-                value[s] += times * (_f(q, absent[b]) - nowhere[s])
-            for (s, q), times in _distinct(right):
-                value[:, s] += times * (_f(absent[a], q) - nowhere[:, s])
+            for s, q, times in _distinct(left):
+                np.add.at(value, s, times[:, None] * (_f(q[:, None], absent[b][None, :]) - nowhere[s]))
+            for s, q, times in _distinct(right):
+                np.add.at(value.T, s, times[:, None] * (_f(absent[a][None, :], q[:, None]) - nowhere.T[s]))
             for x, y in _shared(left, right):
                 s, t = left[1][x], right[1][y]
                 p, q, p0, q0 = left[2][x], right[2][y], absent[a][s], absent[b][t]
@@ -247,11 +248,13 @@ def _divergence(key, groups, postings):
 
 
 def _distinct(rows):
-    """Each (source, share) with the number of terms that have it."""
+    """Sources, shares and the number of terms that have both, some at a time."""
     import numpy as np
 
-    found, times = np.unique(np.stack(rows[1:]), axis=1, return_counts=True)
-    return zip(found.T, times, strict=True)
+    (source, share), times = np.unique(np.stack(rows[1:]), axis=1, return_counts=True)
+    for k in range(0, len(times), HELD_SHARES):
+        some = slice(k, k + HELD_SHARES)
+        yield source[some], share[some], times[some]
 
 
 def _shared(left, right):

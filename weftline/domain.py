@@ -64,6 +64,39 @@ def embedded(chunks: DataFrame, embed: Embedder, dim: int, batch: int = 128) ->
     return chunks.select("chunk_id", "embeddable_text").mapInPandas(run, "chunk_id bigint, vec array<float>")
 
 
+RAW, INSTRUCT, REWRITE = "raw", "instruct", "rewrite"
+INSTRUCTION = "Represent this question for finding tables and columns of databases by the names it holds"
+
+
+def query_mode(setting: str | None) -> str:
+    """The mode that a setting names, in any case; raw for anything else."""
+    mode = (setting or "").strip().lower()
+    return mode if mode in (RAW, INSTRUCT, REWRITE) else RAW
+
+
+def queries(question: str, search_mode: str, mode: str = RAW, entities: Callable[[str], str | None] | None = None) -> tuple[str, str]:
+    """(what keywords are taken from, what is embedded) for a question.
+
+    ``entities`` gives lines of named entities; where it fails or finds none, the question
+    stays as it is. Rewriting without it raises. Nothing is instructed in keyword search,
+    which embeds nothing.
+    """
+    if mode == REWRITE:
+        if entities is None:
+            raise ValueError("rewriting asks for a provider of entities")
+        try:
+            found = entities(question)
+        except Exception:
+            found = None
+        question = f"{question}\n{found}" if found else question
+        return question, question
+    if mode == INSTRUCT and search_mode != "keyword":
+        return question, f"Instruct: {INSTRUCTION}\nQuery:{question}"
+    if mode not in (RAW, INSTRUCT):
+        raise ValueError(f"unknown query mode {mode!r}")
+    return question, question
+
+
 def plain(value):
     """Nested values without nulls below the top, as YAML can hold them."""
     if hasattr(value, "asDict"):
@@ -119,8 +152,8 @@ class Domain:
     JDBC reaches (``host``, ``port``, ``database``, ``options``), or a .txt or .md file.
     """
 
-    def __init__(self, spark: SparkSession, root: str, embed: Embedder = hashing_embedder, dim: int = DIM):
-        self.spark, self.root, self.embed, self.dim = spark, Path(root), embed, dim
+    def __init__(self, spark: SparkSession, root: str, embed: Embedder = hashing_embedder, dim: int = DIM, entities: Callable[[str], str | None] | None = None):
+        self.spark, self.root, self.embed, self.dim, self.entities = spark, Path(root), embed, dim, entities
         self.store = store.ChunkStore(spark, str(self.root / "index"))
         self.journal = Journal(self.root / "logs" / "events.jsonl")
 
@@ -300,23 +333,27 @@ class Domain:
 
         return self._each(sources, work)
 
-    def search(self, question: str, limit: int = 10, sources: list[str] | None = None, mode: str = "hybrid", chunk_types: list[str] | None = None) -> DataFrame:
-        """Best chunks of the current versions: ``hybrid``, ``vector`` or ``keyword``. Keyword statistics are over all chunks; filters come after."""
+    def search(self, question: str, limit: int = 10, sources: list[str] | None = None, mode: str = "hybrid", chunk_types: list[str] | None = None, query_mode: str = RAW) -> DataFrame:
+        """Best chunks of the current versions: ``hybrid``, ``vector`` or ``keyword``. Keyword statistics are over all chunks; filters come after.
+
+        query_mode: ``raw``; ``instruct`` puts an instruction before what is embedded;
+        ``rewrite`` adds the entities that the provider finds to what is embedded and to
+        what keywords are taken from. Only a rewritten question reaches the keyword side.
+        """
+        said, asked = queries(question, mode, query_mode, self.entities)
         wanted = [s for s in (sources or self.sources()) if self.context_path(s).exists()]
         self.index(wanted)
         allowed = self.spark.createDataFrame([(s, self.version(s)) for s in wanted], "datasource_id string, hash string")
-        chunks = self.store.chunks
-        visible = store.current(chunks, allowed)
+        visible = store.current(self.store.chunks, allowed)
         if chunk_types:
             visible = visible.where(F.col("chunk_type").isin(chunk_types))
         ids, n = visible.select("chunk_id"), search.candidate_limit(limit)
         found = {}
         if mode in ("hybrid", "keyword"):
-            scores = search.bm25_scores(chunks, question, "chunk_id", "keyword_index_text").join(ids, "chunk_id", "left_semi")
-            found["keyword"] = scores.orderBy(F.desc("bm25_score"), "chunk_id").limit(n if mode == "hybrid" else limit)
+            found["keyword"] = self.store.keyword_search(said, n if mode == "hybrid" else limit, ids)
         if mode in ("hybrid", "vector"):
             vectors = self.store.vectors("own", "hashing").join(ids, "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
-            found["vector"] = search.vector_search(vectors, self.embed([question])[0], "chunk_id", "vec", n if mode == "hybrid" else limit)
+            found["vector"] = search.vector_search(vectors, self.embed([asked])[0], "chunk_id", "vec", n if mode == "hybrid" else limit)
         if not found:
             raise ValueError(f"unknown search mode {mode!r}")
         best = search.fuse(found["vector"], found["keyword"], "chunk_id", limit) if mode == "hybrid" else found[mode]

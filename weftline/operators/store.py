@@ -16,6 +16,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.postings import Postings
+
 HASHES = "datasource_id string, hash_algorithm string, hash string, hashed_at timestamp, version string"
 CHUNKS = "chunk_id bigint, datasource_id string, full_type string, chunk_type string, embeddable_text string, display_text string, keyword_index_text string, hash string, version string"
 VECTORS = "chunk_id bigint, datasource_id string, hash string, version string, vec array<float>"
@@ -40,7 +42,7 @@ def current(rows: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 class ChunkStore:
-    """Tables under one folder: ``hashes``, ``chunks`` and a vector table for each model."""
+    """Tables under one folder: ``hashes``, ``chunks``, the keyword index and a vector table for each model."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -63,6 +65,16 @@ class ChunkStore:
     def _visible(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.hashes.select("version"), "version", "left_semi").drop("version")
 
+    @property
+    def postings(self) -> Postings:
+        """The keyword index; its versions are those of the chunks."""
+        return Postings(self.spark, self.root)
+
+    def keyword_search(self, question: str, limit: int, allowed: DataFrame | None = None) -> DataFrame:
+        """(chunk_id, bm25_score) from the stored postings of all visible versions; allowed: (chunk_id) of what may be found."""
+        ids = None if allowed is None else allowed.select(F.col("chunk_id").alias("id"))
+        return self.postings.search(question, limit, self.hashes.select("version"), ids).withColumnRenamed("id", "chunk_id")
+
     @property
     def chunks(self) -> DataFrame:
         """Chunks of visible versions."""
@@ -77,13 +89,14 @@ class ChunkStore:
         return not held.isEmpty()
 
     def persist(self, chunks: DataFrame, datasource_id: str, algorithm: str, digest: str, vectors: DataFrame | None = None, embedder: str = "", model: str = "", dim: int | None = None, override: bool = False) -> None:
-        """Write chunks, then vectors, then the hash row. A version that is visible raises, or is replaced by ``override``; one that broke off may be written again."""
+        """Write chunks, their postings, then vectors, then the hash row. A version that is visible raises, or is replaced by ``override``; one that broke off may be written again."""
         if not override and self.is_indexed(datasource_id, algorithm, digest):
             raise ValueError(f"{datasource_id} is already indexed under {digest}")
         version = uuid.uuid4().hex
         named = {"datasource_id": F.lit(datasource_id), "hash": F.lit(digest), "version": F.lit(version)}
         columns = [c.split()[0] for c in CHUNKS.split(", ")]
         chunks.withColumns(named).select(*columns).write.mode("append").partitionBy("version").parquet(f"{self.root}/chunks")
+        self.postings.append(chunks, "chunk_id", "keyword_index_text", version)
         if vectors is not None:
             if dim is not None and not vectors.where(F.size("vec") != dim).isEmpty():
                 raise ValueError(f"vectors must have {dim} components")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import chunking, search, store
+from weftline.operators import chunking, postings, search, store
 from weftline.plans.book import Book, table
+from weftline.session import shared_base
 
 BOOK = Book()
 TEXT = "thing enau ntnt"
@@ -34,10 +35,15 @@ def probe(spark: SparkSession, sf_dir: str) -> list[float]:
     return row.embedding
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> postings.Postings:
+    return postings.built_from(spark, shared_base(spark), table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @BOOK.add(f"with {BM25} select doc_id, round(bm25_score, 6) as bm25_score from bm25 order by bm25_score desc, doc_id limit 30")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.keyword_search(table(spark, sf_dir, "documents"), TEXT, "doc_id", "text", 30)
-    return found.withColumn("bm25_score", F.round("bm25_score", 6))
+    """From the stored index of the documents; a change to their files makes a new one."""
+    found = indexed(spark, sf_dir).search(TEXT, 30)
+    return found.select(F.col("id").alias("doc_id"), F.round("bm25_score", 6).alias("bm25_score"))
 
 
 @BOOK.add(f"with {VECTORS} select doc_id as vec_id, round(vector_distance, 6) as vector_distance from d where vector_distance < 0.75 order by d.vector_distance, doc_id limit 10")
@@ -46,6 +52,24 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("vector_distance", F.round("vector_distance", 6))
 
 
+@BOOK.add(f"with {BM25} select doc_id, round(bm25_score, 6) as bm25_score from bm25 order by bm25_score desc, doc_id limit 30")
+def bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without an index: every text is read."""
+    found = search.keyword_search(table(spark, sf_dir, "documents"), TEXT, "doc_id", "text", 30)
+    return found.withColumn("bm25_score", F.round("bm25_score", 6))
+
+
+@BOOK.add("""
+select term, count(*) as df, cast(sum(n) as bigint) as occurrences, max(n) as max_tf
+from (select doc_id, term, count(*) as n from (select doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> '')) as term from documents) group by all) group by term
+""")
+def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequency, occurrences and largest frequency of every term, from the stored index."""
+    held = indexed(spark, sf_dir).postings
+    times = F.aggregate("docs", F.lit(0).cast("bigint"), lambda s, d: s + d["tf"])
+    return held.groupBy("term").agg(F.sum("n").alias("df"), F.sum(times).alias("occurrences"), F.max("max_tf").alias("max_tf"))
+
+
 @BOOK.add(f"""
 with {BM25}, {VECTORS},
 v as (select doc_id, vector_distance, row_number() over (order by vector_distance, doc_id) as vr from d where vector_distance < 0.75 qualify vr <= 30),
@@ -58,7 +82,9 @@ order by coalesce(1.0::double / (60 + vr), 0) + coalesce(1.0::double / (60 + kr)
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: keyword and vector candidates of the documents, fused."""
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    found = search.hybrid_search(table(spark, sf_dir, "documents"), vectors, TEXT, probe(spark, sf_dir), "doc_id", "text", "embedding", 10)
+    n = search.candidate_limit(10)
+    keyword = indexed(spark, sf_dir).search(TEXT, n).withColumnRenamed("id", "doc_id")
+    found = search.fuse(search.vector_search(vectors, probe(spark, sf_dir), "doc_id", "embedding", n), keyword, "doc_id", 10)
     return found.select("doc_id", F.round("vector_distance", 6).alias("vector_distance"), F.round("bm25_score", 6).alias("bm25_score"), F.round("rrf_score", 8).alias("rrf_score"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.operators import perf
 from weftline.plans.book import Book, table
 from weftline.session import shared_folder
-from weftline.streaming import windows
+from weftline.streaming import sink, windows
 
 BOOK = Book()
 SPANS = """spans as (
@@ -21,8 +21,12 @@ SPANS = """spans as (
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_columns(table(spark, sf_dir, "events"))
+
+
+def span_columns(events: DataFrame) -> DataFrame:
     u, e = F.col("user_id"), F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("run"), (u % 50).cast("string")).alias("run_id"),
         F.concat(F.lit("s"), e.cast("string")).alias("span_id"),
         F.when(e % 7 > 0, F.concat(F.lit("s"), (e - e % 7).cast("string"))).alias("parent_span_id"),
@@ -126,9 +130,9 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.event_stream(spark, f"{sf_dir}/events.parque[t]", schema)
 
 
-def finished(spark: SparkSession, frame: DataFrame, mode: str = "complete") -> DataFrame:
-    name = f"weftline_{uuid.uuid4().hex}"
-    return windows.run_available(frame, name, mode, shared_folder(spark))
+def windowed(spark: SparkSession, sf_dir: str, window) -> DataFrame:
+    """All windows of the events, out of the table that a stream with a watermark has appended them to."""
+    return sink.finished(spark, shared_folder(spark), lambda closing: window(closing.of(stream(spark, sf_dir), "ts")))
 
 
 @BOOK.add("""
@@ -136,8 +140,7 @@ select cast(s as timestamp) as window_start, cast(s + interval '1 hour' as times
 from (select date_trunc('hour', ts) as s, event_type, value from events) group by all
 """)
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = finished(spark, windows.tumbling(stream(spark, sf_dir), "1 hour", ["event_type"]))
-    return shown(out)
+    return shown(windowed(spark, sf_dir, lambda e: windows.tumbling(e, "1 hour", ["event_type"])))
 
 
 @BOOK.add("""
@@ -145,7 +148,7 @@ select s as window_start, s + interval '2 hours' as window_end, event_type, coun
 from (select unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval '1 hour']) as s, event_type, value from events) group by all
 """)
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(finished(spark, windows.sliding(stream(spark, sf_dir), "2 hours", "1 hour", ["event_type"])))
+    return shown(windowed(spark, sf_dir, lambda e: windows.sliding(e, "2 hours", "1 hour", ["event_type"])))
 
 
 @BOOK.add("""
@@ -154,7 +157,39 @@ g as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as
 select min(ts) as window_start, max(ts) + interval '30 minutes' as window_end, user_id, count(*) as n, round(sum(value), 4) as total from g group by user_id, g
 """)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(finished(spark, windows.sessions(stream(spark, sf_dir), "30 minutes", ["user_id"])))
+    return shown(windowed(spark, sf_dir, lambda e: windows.sessions(e, "30 minutes", ["user_id"])))
+
+
+@BOOK.add("""
+with s as (select cast(o_orderkey as varchar) as run_id, o_orderdate as start_dt, o_orderpriority as operation from orders where o_orderkey % 3 <> 0),
+e as (select cast(o_orderkey as varchar) as run_id, o_orderdate + to_minutes(cast(o_custkey % 150 as integer)) as end_dt, case when o_orderstatus = 'F' then 'error' else 'ok' end as status, o_totalprice as run_ms from orders where o_orderkey % 5 <> 0)
+select coalesce(s.run_id, e.run_id) as run_id, start_dt, end_dt, coalesce(operation, 'unknown') as operation, coalesce(status, 'unknown') as status, run_ms,
+       case when e.run_id is null then 'timeout' when s.run_id is null then 'no start' else 'end' end as closed_by
+from s full join e on s.run_id = e.run_id and end_dt >= start_dt and end_dt <= start_dt + interval '2 hours'
+""")
+def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs whose start and end come in two streams; some ends come too late or never."""
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+
+    def plan(closing):
+        rows = lambda: spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parque[t]").withColumn("at", F.col("o_orderdate").cast("timestamp"))
+        run = F.col("o_orderkey").cast("string").alias("run_id")
+        starts = rows().where("o_orderkey % 3 <> 0").select(run, F.col("at").alias("start_dt"), F.col("o_orderpriority").alias("operation"))
+        end = (F.col("at") + F.make_dt_interval(mins=(F.col("o_custkey") % 150).cast("int"))).alias("end_dt")
+        ends = rows().where("o_orderkey % 5 <> 0").select(run, end, F.when(F.col("o_orderstatus") == "F", "error").otherwise("ok").alias("status"), F.col("o_totalprice").alias("run_ms"))
+        return windows.run_states(closing.of(starts, "start_dt"), closing.of(ends, "end_dt"))
+
+    out = sink.finished(spark, shared_folder(spark), plan)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_dt", "end_dt")})
+
+
+@BOOK.add(f"with {SPANS} select run_id, datasource_id, name, round(sum(duration_ms), 4) as total_ms, count(*) as span_count, min(t_start_ms) as first_start_ms from spans group by all")
+def stream_step_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the spans as they arrive: the latest row of each step, run and source counts."""
+    keys = ["run_id", "datasource_id", "name"]
+    arriving = span_columns(stream(spark, sf_dir))
+    out = windows.run_available(windows.step_totals_of(arriving), f"totals_{uuid.uuid4().hex}", "update", keys=keys)
+    return out.withColumn("total_ms", F.round("total_ms", 4))
 
 
 def shown(out: DataFrame) -> DataFrame:

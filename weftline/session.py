@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -21,22 +22,41 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; a temporary one only where that is unset in a local session."""
+_own: dict[str, str] = {}
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one of this process only where that is unset in a local session."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="weftline-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        base = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="weftline-")
+        _own[spark.sparkContext.applicationId] = base
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder within the shared one."""
+    return f"{shared_base(spark)}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so that loops don't work out their earlier rounds again."""
-    path = shared_folder(df.sparkSession)
+    """Write ``df`` once to the shared folder and read it back, so that loops don't work out their earlier rounds again. The folder goes when the driver's Python ends."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # the session may have ended first; then the folder is left to the cluster's cleaner
+        pass
 
 
 def local_session(name: str = "weftline", cores: int = 8, partitions: int = 8) -> SparkSession:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.operators.perf import RECORD
+from weftline.session import shared_folder
+from weftline.streaming.sink import END, TableSink
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, time_col: str = "ts") -> DataFrame:
@@ -37,15 +39,35 @@ def _windowed(events: DataFrame, window, keys: list[str], value_col: str) -> Dat
 def step_totals_stream(spark: SparkSession, path: str) -> DataFrame:
     """Running totals of performance spans as log files arrive."""
     lines = spark.readStream.text(path).select(F.from_json("value", RECORD).alias("r")).where("r.type = 'span'").select("r.*")
-    return lines.groupBy("run_id", "datasource_id", "name").agg(F.sum("duration_ms").alias("total_ms"), F.count("span_id").alias("span_count"), F.min("t_start_ms").alias("first_start_ms"))
+    return step_totals_of(lines)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over all that is there now and return the result table."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def step_totals_of(spans: DataFrame) -> DataFrame:
+    """Time, number and first start of each step by run and source."""
+    return spans.groupBy("run_id", "datasource_id", "name").agg(F.sum("duration_ms").alias("total_ms"), F.count("span_id").alias("span_count"), F.min("t_start_ms").alias("first_start_ms"))
+
+
+def run_states(starts: DataFrame, ends: DataFrame, timeout: str = "2 hours", late: str = "1 hour") -> DataFrame:
+    """A row a run as soon as its end comes, or when none has come within ``timeout``; an end without a start too.
+
+    starts: (run_id, start_dt, operation), ends: (run_id, end_dt, status, run_ms). Both
+    sides wait in state until the watermark says that no match can come any more.
+    """
+    s = starts.withWatermark("start_dt", late)
+    e = ends.withColumnRenamed("run_id", "_run").withWatermark("end_dt", late)
+    within = F.expr(f"run_id = _run and end_dt >= start_dt and end_dt <= start_dt + interval {timeout}")
+    closed = F.when(F.col("_run").isNull(), "timeout").when(F.col("run_id").isNull(), "no start").otherwise("end")
+    unknown = lambda c: F.coalesce(c, F.lit("unknown")).alias(c)
+    real = F.coalesce("start_dt", "end_dt") < F.lit(END)  # rows without a key come out at once, the end of the stream among them
+    return s.join(e, within, "full_outer").where(real).select(F.coalesce("run_id", "_run").alias("run_id"), "start_dt", "end_dt", unknown("operation"), unknown("status"), "run_ms", closed.alias("closed_by"))
+
+
+def run_available(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is there now into a table of its own in the folder ``checkpoint`` (one in the shared folder by default), and return it."""
+    spark = stream.sparkSession
+    out = TableSink(spark, f"{checkpoint or shared_folder(spark)}/{name}", mode, keys).run(stream)
+    out.createOrReplaceTempView(name)
+    return out
 
 
 def index_new(stream: DataFrame, index_batch, checkpoint: str):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import sample_value
-from weftline.operators import catalog, chunking, profiling, search, store
+from weftline.operators import catalog, chunking, profiling, search, sketches, store
 from weftline.operators.sql import run_sql
 from weftline.sources import databases, introspection
 
@@ -147,6 +147,8 @@ class Journal:
 class Domain:
     """Build, index and search a folder of sources.
 
+    ``profiling: true`` profiles columns exactly, ``profiling: sampled`` by sketches of a sample at the rate for the table's size.
+
     A source is a YAML file with ``type: parquet`` (``path`` of a folder with tables),
     ``type: spark`` (``database``), ``type: sqlite`` (``path``), the type of a database that
     JDBC reaches (``host``, ``port``, ``database``, ``options``), or a .txt or .md file.
@@ -263,7 +265,13 @@ class Domain:
         if config.get("samples", True):
             shown = [sample_value(F.col(f"`{f.name}`"), f.dataType.simpleString()).alias(f.name.lower()) for f in df.schema.fields]
             out["samples"] = [r.asDict() for r in df.limit(5).select(*shown).collect()]
-        if config.get("profiling"):
+        if config.get("profiling") == "sampled":
+            try:
+                found = sketches.estimated(sketches.adaptive(df, name)).drop("version").collect()  # a row a column
+                out["stats"] = [r.asDict() for r in found]
+            except Exception as e:  # a table that can't be profiled leaves the others
+                out["stats_error"] = str(e).splitlines()[0]
+        elif config.get("profiling"):
             keep = ("column_name", "null_count", "non_null_count", "exact_distinct", "cardinality_bucket", "min_text", "max_text", "min_number", "max_number")
             out["stats"] = [{k: r[k] for k in keep} for r in profiling.profile(df, name).collect()]
         return out

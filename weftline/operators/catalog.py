@@ -96,21 +96,23 @@ def assembled_keys(rows: DataFrame) -> DataFrame:
 
 
 def assembled_foreign_keys(rows: DataFrame) -> DataFrame:
-    """Foreign keys with their column mapping in order; referenced_table is schema.table, empty where either is missing."""
+    """Foreign keys with their column mapping in order; referenced_table is schema.table, empty where either is missing; enforced and validated unless said otherwise."""
     target = F.when(F.col("ref_schema").isNotNull() & F.col("ref_table").isNotNull(), F.concat_ws(".", "ref_schema", "ref_table")).otherwise("")
     keyed = rows.withColumn("target", target)
     mapping = in_position("from_column", "to_column")
     first = lambda c: F.min_by(c, F.coalesce("position", F.lit(2147483647)))
     return keyed.groupBy("schema_name", "table_name", "constraint_name").agg(
-        mapping.alias("mapping"), first("target").alias("referenced_table"), first("on_update").alias("on_update"), first("on_delete").alias("on_delete")
-    )
+        mapping.alias("mapping"), first("target").alias("referenced_table"), first("on_update").alias("on_update"), first("on_delete").alias("on_delete"),
+        *(F.coalesce(first(c) if c in rows.columns else F.lit(None).cast("boolean"), F.lit(True)).alias(c) for c in ("enforced", "validated")),
+    )
 
 
 def assembled_indexes(rows: DataFrame) -> DataFrame:
     """Indexes with their expressions in order; unique unless said is false."""
     return rows.groupBy("schema_name", "table_name", "index_name").agg(
-        in_position("expr").alias("columns"), F.coalesce(F.first(coerced_bool(F.col("is_unique")), ignorenulls=True), F.lit(False)).alias("unique"), F.first("method", ignorenulls=True).alias("method")
-    )
+        in_position("expr").alias("columns"), F.coalesce(F.first(coerced_bool(F.col("is_unique")), ignorenulls=True), F.lit(False)).alias("unique"), F.first("method", ignorenulls=True).alias("method"),
+        (F.first("predicate", ignorenulls=True) if "predicate" in rows.columns else F.lit(None).cast("string")).alias("predicate"),
+    )
 
 
 def assembled_columns(rows: DataFrame) -> DataFrame:
@@ -124,14 +126,26 @@ def assembled_columns(rows: DataFrame) -> DataFrame:
         F.coalesce(coerced_bool(F.col("is_nullable")), F.lit(True)).alias("nullable"),
         F.col("generated").alias("generated"),
         F.col("description").alias("description"),
+        (F.col("default_expression") if "default_expression" in rows.columns else F.lit(None).cast("string")).alias("default_expression"),
+    )
+    return shaped.groupBy("schema_name", "table_name").agg(in_position("name", "type", "nullable", "generated", "description", "default_expression").alias("columns"))
+
+
+def assembled_partitions(rows: DataFrame) -> DataFrame:
+    """(schema_name, table_name, partition_info): how a table is partitioned, by which columns, into which tables by name."""
+    parts = rows.groupBy("schema_name", "table_name").agg(
+        F.first("partitioning_strategy", ignorenulls=True).alias("strategy"),
+        F.array_sort(F.collect_set(F.when(F.col("column_name").isNotNull(), F.struct(F.coalesce("position", F.lit(2147483647)).alias("position"), "column_name")))).alias("by"),
+        F.array_sort(F.collect_set("partition_table")).alias("partition_tables"),
     )
-    return shaped.groupBy("schema_name", "table_name").agg(in_position("name", "type", "nullable", "generated", "description").alias("columns"))
+    return parts.select("schema_name", "table_name", F.struct("strategy", F.transform("by", lambda x: x["column_name"]).alias("columns"), "partition_tables").alias("partition_info"))
 
 
 def assembled_tables(
-    relations: DataFrame, columns: DataFrame, primary_keys: DataFrame, foreign_keys: DataFrame, unique_keys: DataFrame | None = None, checks: DataFrame | None = None, indexes: DataFrame | None = None
-) -> DataFrame:
-    """The model: a row a table, also for one that only a component knows; rows without a schema are dropped."""
+    relations: DataFrame, columns: DataFrame, primary_keys: DataFrame, foreign_keys: DataFrame, unique_keys: DataFrame | None = None, checks: DataFrame | None = None, indexes: DataFrame | None = None,
+    partitions: DataFrame | None = None,
+) -> DataFrame:
+    """The model: a row a table, also for one that only a component knows; rows without a schema are dropped, and so are partitions, which their parent names."""
     key = ["schema_name", "table_name"]
     keys = assembled_keys(primary_keys).groupBy(*key).agg(F.min_by("columns", "constraint_name").alias("primary_key"))
     foreign = assembled_foreign_keys(foreign_keys).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("constraint_name", "mapping", "referenced_table"))).alias("foreign_keys"))
@@ -142,9 +156,14 @@ def assembled_tables(
     if checks is not None:
         parts.append(checks.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("constraint_name", "expression"))).alias("checks")))
     if indexes is not None:
-        parts.append(assembled_indexes(indexes).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("index_name", "columns", "unique", "method"))).alias("indexes")))
+        parts.append(assembled_indexes(indexes).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("index_name", "columns", "unique", "method", "predicate"))).alias("indexes")))
+    if partitions is not None:
+        parts.append(assembled_partitions(partitions))
     whole = reduce(lambda a, b: a.join(b, key, "full_outer"), parts)
     filled = whole.withColumns({"kind": F.coalesce("kind", F.lit("table")), "columns": F.coalesce("columns", F.array())})
+    if partitions is not None:
+        children = partitions.where("partition_table is not null").select("schema_name", F.col("partition_table").alias("table_name")).distinct()
+        filled = filled.join(children, key, "left_anti")
     return filled.where(F.coalesce("schema_name", F.lit("")) != "").withColumnRenamed("table_name", "name")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ordering import numbered
 from weftline.operators.profiling import percentiles
 from weftline.session import written
 
@@ -25,12 +26,8 @@ def runs(starts: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def numbered_runs(found: DataFrame) -> DataFrame:
-    """Runs with run_index from 0, by start, those without one last: places within a day plus the runs of the days before."""
-    dated = found.withColumn("_day", F.coalesce(F.to_date("start_dt"), F.lit("9999-12-31").cast("date")))
-    place = F.row_number().over(Window.partitionBy("_day").orderBy(F.asc_nulls_last("start_dt"), "run_id")) - 1
-    days = dated.groupBy(F.col("_day").alias("_of")).agg(F.count("*").alias("n"))
-    before = days.select("_of", (F.sum("n").over(Window.orderBy("_of")) - F.col("n")).alias("_before"))  # one row a day
-    return dated.withColumn("_place", place).join(before, F.col("_day") == F.col("_of")).withColumn("run_index", F.col("_before") + F.col("_place")).drop("_day", "_of", "_place", "_before")
+    """Runs with run_index from 0, by start, those without one last, ties by id; ranges of this order are numbered, never the whole in one task."""
+    return numbered(found, [F.col("start_dt").isNull().asc(), F.asc_nulls_last("start_dt"), F.asc("run_id")], "run_index")
 
 
 def with_runs(spans: DataFrame, found: DataFrame) -> DataFrame:
@@ -83,9 +80,10 @@ def span_depths(spans: DataFrame) -> DataFrame:
 
     Every span holds the path up to some ancestor and each round joins that ancestor's
     own path, so a tree of depth d takes about log2(d) rounds, each written. Spans that
-    are their own ancestors hang on no root and are left out.
+    are their own ancestors hang on no root and are left out. A span that was logged more
+    than once counts once; if its parents differ, the smallest named one counts.
     """
-    s = spans.select("run_id", "span_id", "parent_span_id")
+    s = spans.groupBy("run_id", "span_id").agg(F.min("parent_span_id").alias("parent_span_id"))
     known = s.select("run_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("has_parent")).distinct()
     linked = s.join(known, ["run_id", "parent_span_id"], "left")
     above = F.when(F.col("has_parent"), F.col("parent_span_id"))

@@ -117,7 +117,7 @@ class ChunkStore:
             self._say(rows)
 
     def vacuum(self) -> int:
-        """Remove the files of versions that aren't visible; how many folders went. No write may run meanwhile, for what it has written isn't visible yet."""
+        """Remove the files of versions that aren't visible; how many versions went. No write may run meanwhile, for what it has written isn't visible yet."""
         kept = {r.version for r in self.hashes.select("version").collect()}  # one a source and digest
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         root = path(self.root)
@@ -126,4 +126,4 @@ class ChunkStore:
         gone = [f.getPath() for f in found if f.getPath().getName().removeprefix("version=") not in kept]
         for folder in gone:
             files.delete(folder, True)
-        return len(gone)
+        return len({folder.getName() for folder in gone})

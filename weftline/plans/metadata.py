@@ -141,6 +141,15 @@ def introspected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("table_name", (F.col("ordinal_position") + 1).alias("ordinal_position"), "column_name")
 
 
+RANGED = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()
+
+
+@BOOK.add(" union all ".join(f"select '{c}' as column_name, count(*) as num_values, cast(count(*) - count({c}) as bigint) as null_count, cast(min({c}) as double) as least, cast(max({c}) as double) as most from lineitem" for c in RANGED))
+def parquet_footer_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values, nulls and true extremes of numeric columns out of the files' footers."""
+    return parquet_footer.ranges(parquet_footer.row_groups(spark, f"{sf_dir}/lineitem.parquet").where(F.col("column_name").isin(RANGED)))
+
+
 @BOOK.add()
 def parquet_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet_footer.columns(parquet_footer.row_groups(spark, f"{sf_dir}/orders.parquet"))

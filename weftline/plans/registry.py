@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import introspected, metadata, passthrough, retrieval, statistics, telemetry
+from weftline.plans import analytics, introspected, metadata, passthrough, retrieval, statistics, telemetry
 
 FLAGSHIP = "hybrid_search"
-MODULES = (retrieval, statistics, metadata, introspected, telemetry, passthrough)
+MODULES = (retrieval, statistics, metadata, introspected, telemetry, passthrough, analytics)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:

@@ -1,7 +1,7 @@
 """Catalog introspection: what a database says about its own tables, as component rows.
 
 A dialect is a set of named catalog queries, one a component (relations, columns,
-primary_keys, unique_keys, checks, foreign_keys, indexes). ``components`` runs each of
+primary_keys, unique_keys, checks, foreign_keys, indexes, partitions). ``components`` runs each of
 them through a reader and gives DataFrames with one row contract for all dialects, which
 ``weftline.operators.catalog.assembled_tables`` assembles. Catalogs are small next to the tables
 they describe: a row a column.
@@ -26,8 +26,9 @@ CONTRACT = {
     "primary_keys": "constraint_name string, position int, column_name string, validated boolean",
     "unique_keys": "constraint_name string, position int, column_name string, validated boolean",
     "checks": "constraint_name string, expression string, validated boolean",
-    "foreign_keys": "constraint_name string, position int, from_column string, ref_schema string, ref_table string, to_column string, on_update string, on_delete string",
-    "indexes": "index_name string, position int, expr string, is_unique string, method string",
+    "foreign_keys": "constraint_name string, position int, from_column string, ref_schema string, ref_table string, to_column string, on_update string, on_delete string, enforced boolean, validated boolean",
+    "indexes": "index_name string, position int, expr string, is_unique string, method string, predicate string",
+    "partitions": "partitioning_strategy string, position int, column_name string, partition_table string",
 }
 
 KEY_COLUMNS = """
@@ -107,6 +108,12 @@ from (select *, list_transform(string_split(trim(expressions, '[]'), ','), lambd
 """,
 }
 
+POSTGRESQL_KEYS = """
+select n.nspname as schema_name, c.relname as table_name, k.conname as constraint_name, u.position, a.attname as column_name, k.convalidated as validated
+from pg_constraint k join pg_class c on c.oid = k.conrelid join pg_namespace n on n.oid = c.relnamespace
+cross join lateral unnest(k.conkey) with ordinality as u(own, position) join pg_attribute a on a.attrelid = k.conrelid and a.attnum = u.own
+where k.contype = '{kind}' and not c.relispartition
+"""
 POSTGRESQL = STANDARD | {
     "relations": """
 select n.nspname as schema_name, c.relname as table_name, obj_description(c.oid, 'pg_class') as description,
@@ -120,25 +127,38 @@ select n.nspname as schema_name, c.relname as table_name, a.attnum as ordinal_po
 from pg_attribute a join pg_class c on c.oid = a.attrelid join pg_namespace n on n.oid = c.relnamespace left join pg_attrdef d on d.adrelid = a.attrelid and d.adnum = a.attnum
 where a.attnum > 0 and not a.attisdropped and c.relkind in ('r', 'p', 'v', 'm', 'f') and not c.relispartition
 """,
+    # constraint names are unique within a table only, so the standard's views, which know them by schema, would mix tables up
+    "primary_keys": POSTGRESQL_KEYS.format(kind="p"),
+    "unique_keys": POSTGRESQL_KEYS.format(kind="u"),
     "checks": """
 select n.nspname as schema_name, c.relname as table_name, k.conname as constraint_name, pg_get_expr(k.conbin, k.conrelid) as expression, k.convalidated as validated
-from pg_constraint k join pg_class c on c.oid = k.conrelid join pg_namespace n on n.oid = c.relnamespace where k.contype = 'c'
+from pg_constraint k join pg_class c on c.oid = k.conrelid join pg_namespace n on n.oid = c.relnamespace where k.contype = 'c' and not c.relispartition
 """,
-    # constraint names are unique within a table only, so the standard's views, which know them by schema, would mix tables up
     "foreign_keys": """
 select n.nspname as schema_name, c.relname as table_name, k.conname as constraint_name, u.position, a.attname as from_column, rn.nspname as ref_schema, r.relname as ref_table, b.attname as to_column,
        case k.confupdtype when 'c' then 'cascade' when 'n' then 'set null' when 'd' then 'set default' when 'r' then 'restrict' else 'no action' end as on_update,
-       case k.confdeltype when 'c' then 'cascade' when 'n' then 'set null' when 'd' then 'set default' when 'r' then 'restrict' else 'no action' end as on_delete
+       case k.confdeltype when 'c' then 'cascade' when 'n' then 'set null' when 'd' then 'set default' when 'r' then 'restrict' else 'no action' end as on_delete,
+       k.convalidated as validated
 from pg_constraint k join pg_class c on c.oid = k.conrelid join pg_namespace n on n.oid = c.relnamespace join pg_class r on r.oid = k.confrelid join pg_namespace rn on rn.oid = r.relnamespace
 cross join lateral unnest(k.conkey, k.confkey) with ordinality as u(own, other, position)
 join pg_attribute a on a.attrelid = k.conrelid and a.attnum = u.own join pg_attribute b on b.attrelid = k.confrelid and b.attnum = u.other
-where k.contype = 'f'
+where k.contype = 'f' and not c.relispartition and not r.relispartition
 """,
+    # an index that stands behind a key is that key
     "indexes": """
 select n.nspname as schema_name, t.relname as table_name, i.relname as index_name, p.position, pg_get_indexdef(x.indexrelid, p.position, true) as expr,
-       case when x.indisunique then 'yes' else 'no' end as is_unique, m.amname as method
+       case when x.indisunique then 'yes' else 'no' end as is_unique, m.amname as method, pg_get_expr(x.indpred, x.indrelid) as predicate
 from pg_index x join pg_class t on t.oid = x.indrelid join pg_class i on i.oid = x.indexrelid join pg_namespace n on n.oid = t.relnamespace join pg_am m on m.oid = i.relam
-cross join lateral generate_series(1, x.indnkeyatts) as p(position) where not x.indisprimary
+cross join lateral generate_series(1, x.indnkeyatts) as p(position)
+where not t.relispartition and not exists (select 1 from pg_constraint k where k.conindid = x.indexrelid and k.contype in ('p', 'u', 'x'))
+""",
+    "partitions": """
+select n.nspname as schema_name, c.relname as table_name, case q.partstrat when 'h' then 'hash partitioned' when 'l' then 'list partitioned' when 'r' then 'range partitioned' end as partitioning_strategy,
+       u.position, a.attname as column_name, child.relname as partition_table
+from pg_partitioned_table q join pg_class c on c.oid = q.partrelid join pg_namespace n on n.oid = c.relnamespace
+cross join lateral unnest(q.partattrs::int2[]) with ordinality as u(own, position)
+left join pg_attribute a on a.attrelid = q.partrelid and a.attnum = u.own
+left join pg_inherits h on h.inhparent = q.partrelid left join pg_class child on child.oid = h.inhrelid
 """,
 }
 
@@ -146,7 +166,7 @@ MYSQL = STANDARD | {
     "relations": "select table_schema as schema_name, table_name as table_name, case table_type when 'VIEW' then 'view' else 'table' end as kind, nullif(table_comment, '') as description from information_schema.tables",
     "columns": """
 select table_schema as schema_name, table_name as table_name, ordinal_position as ordinal_position, column_name as column_name, column_type as data_type, is_nullable as is_nullable,
-       column_default as default_expression, case when extra like '%auto_increment%' then 'identity' when extra like '%GENERATED%' then 'computed' end as generated, nullif(column_comment, '') as description
+       column_default as default_expression, case when extra like '%auto_increment%' then 'identity' when extra like '%VIRTUAL GENERATED%' or extra like '%STORED GENERATED%' then 'computed' end as `generated`, nullif(column_comment, '') as description
 from information_schema.columns
 """,
     "foreign_keys": """
@@ -156,16 +176,41 @@ from information_schema.key_column_usage k join information_schema.referential_c
 where k.referenced_table_name is not null
 """,
     "indexes": """
-select table_schema as schema_name, table_name as table_name, index_name as index_name, seq_in_index as position, column_name as expr,
+select table_schema as schema_name, table_name as table_name, index_name as index_name, seq_in_index as position, coalesce(expression, column_name) as expr,
        case when non_unique = 0 then 'yes' else 'no' end as is_unique, lower(index_type) as method
 from information_schema.statistics where index_name <> 'PRIMARY'
 """,
 }
 
 MSSQL = STANDARD | {
+    "relations": """
+select schema_name(o.schema_id) as schema_name, o.name as table_name, case o.type when 'V' then 'view' else 'table' end as kind, cast(p.value as nvarchar(4000)) as description
+from sys.objects o left join sys.extended_properties p on p.class = 1 and p.major_id = o.object_id and p.minor_id = 0 and p.name = 'MS_Description'
+where o.type in ('U', 'V') and o.is_ms_shipped = 0
+""",
+    "columns": """
+select schema_name(o.schema_id) as schema_name, o.name as table_name, c.column_id as ordinal_position, c.name as column_name, type_name(c.user_type_id) as data_type,
+       case when c.is_nullable = 1 then 'yes' else 'no' end as is_nullable, coalesce(k.definition, d.definition) as default_expression,
+       case when c.is_identity = 1 then 'identity' when c.is_computed = 1 then 'computed' end as generated, cast(p.value as nvarchar(4000)) as description
+from sys.columns c join sys.objects o on o.object_id = c.object_id
+left join sys.default_constraints d on d.object_id = c.default_object_id
+left join sys.computed_columns k on k.object_id = c.object_id and k.column_id = c.column_id
+left join sys.extended_properties p on p.class = 1 and p.major_id = c.object_id and p.minor_id = c.column_id and p.name = 'MS_Description'
+where o.type in ('U', 'V') and o.is_ms_shipped = 0
+""",
+    # a foreign key may point to a unique index, which the standard's views don't know
+    "foreign_keys": """
+select schema_name(t.schema_id) as schema_name, t.name as table_name, f.name as constraint_name, c.constraint_column_id as position, col_name(c.parent_object_id, c.parent_column_id) as from_column,
+       schema_name(r.schema_id) as ref_schema, r.name as ref_table, col_name(c.referenced_object_id, c.referenced_column_id) as to_column,
+       lower(replace(f.update_referential_action_desc, '_', ' ')) as on_update, lower(replace(f.delete_referential_action_desc, '_', ' ')) as on_delete,
+       case when f.is_disabled = 0 then 'true' else 'false' end as enforced, case when f.is_not_trusted = 0 then 'true' else 'false' end as validated
+from sys.foreign_keys f join sys.tables t on t.object_id = f.parent_object_id join sys.tables r on r.object_id = f.referenced_object_id
+join sys.foreign_key_columns c on c.constraint_object_id = f.object_id
+""",
     "indexes": """
-select schema_name(t.schema_id) as schema_name, t.name as table_name, i.name as index_name, c.key_ordinal as position, col_name(c.object_id, c.column_id) as expr,
-       case when i.is_unique = 1 then 'yes' else 'no' end as is_unique, lower(i.type_desc) as method
+select schema_name(t.schema_id) as schema_name, t.name as table_name, i.name as index_name, c.key_ordinal as position,
+       col_name(c.object_id, c.column_id) + case when c.is_descending_key = 1 then ' DESC' else '' end as expr,
+       case when i.is_unique = 1 then 'yes' else 'no' end as is_unique, lower(i.type_desc) as method, i.filter_definition as predicate
 from sys.indexes i join sys.tables t on t.object_id = i.object_id join sys.index_columns c on c.object_id = i.object_id and c.index_id = i.index_id
 where i.is_primary_key = 0 and i.is_unique_constraint = 0 and c.key_ordinal > 0
 """,
@@ -195,7 +240,10 @@ DIALECTS = {
 SYSTEM_SCHEMAS = {
     "postgresql": ("information_schema", "pg_catalog", "pg_toast"),
     "mysql": ("information_schema", "mysql", "performance_schema", "sys"),
-    "mssql": ("information_schema", "sys"),
+    "mssql": (
+        "information_schema", "sys", "guest", "db_owner", "db_accessadmin", "db_securityadmin", "db_ddladmin", "db_backupoperator",
+        "db_datareader", "db_datawriter", "db_denydatareader", "db_denydatawriter",
+    ),
     "clickhouse": ("information_schema", "system"),
     "duckdb": ("information_schema", "pg_catalog"),
     "athena": ("information_schema",),

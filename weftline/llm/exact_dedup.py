@@ -202,8 +202,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns; of rows that repeat the kept id and text, one."""
-    # plain columns on both sides, so that the join's partitioning also serves the last step
-    keys = lambda i: {"_id": F.coalesce(i, F.lit(0).cast("bigint")), "_no_id": i.isNull()}
-    keep = groups(docs, id_col, text_col).withColumnRenamed("key", "_key").withColumns(keys(F.col("keep_id"))).select("_key", "_id", "_no_id")
-    marked = docs.withColumns({"_key": content_key(F.coalesce(F.col(text_col), F.lit("")))} | keys(F.col(id_col).cast("bigint")))
-    return marked.join(keep, ["_key", "_id", "_no_id"], "left_semi").dropDuplicates(["_key", "_id", "_no_id"]).select(*docs.columns)
+    # plain columns beside the whole row on both sides, so that the join's partitioning also serves the last step and no input column is touched
+    keys = lambda i: [F.coalesce(i, F.lit(0).cast("bigint")).alias("id"), i.isNull().alias("no_id")]
+    keep = groups(docs, id_col, text_col).select("key", *keys(F.col("keep_id")))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    marked = docs.select(whole, content_key(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), *keys(F.col(id_col).cast("bigint")))
+    return marked.join(keep, ["key", "id", "no_id"], "left_semi").dropDuplicates(["key", "id", "no_id"]).select("row.*")

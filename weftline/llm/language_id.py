@@ -80,13 +80,13 @@ def normal_tag(tag: F.Column) -> F.Column:
 
 
 def train(rows: DataFrame, limit: int = LABELLED) -> TextModel:
-    """Text model from rows (id, text, declared tags as of ``normal_tag``): at most about ``limit`` texts of each declared language, by hash."""
+    """Text model from rows (id, text, declared tags as of ``normal_tag``): at most about ``limit`` texts of each declared language, by a hash of id and text, so rows without an id or with one that repeats are sampled like all others."""
     counts = cut(rows.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n")))
     order = [r.declared for r in counts.orderBy("declared").collect()]  # language codes
     n_cells = cells_for(len(order))
     if not order:
         return TextModel([], np.zeros((n_cells, 0)))
-    chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.join(F.broadcast(counts), "declared").where(chance < F.lit(limit) / F.col("n")).select("declared", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

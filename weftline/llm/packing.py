@@ -207,7 +207,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
 def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """The unbounded knapsack's best pattern for ascending sizes: dynamic program over the room."""
     best, took = np.zeros(room + 1), np.full(room + 1, -1, np.int64)
-    fit = np.searchsorted(sizes, np.arange(room + 1), side="right")
+    fit = np.searchsorted(sizes, np.arange(room + 1), side="right").tolist()
     for r in range(int(sizes[0]), room + 1):
         gain = values[: fit[r]] + best[r - sizes[: fit[r]]]
         i = gain.argmax()
@@ -305,8 +305,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if sequences:
         plan.append((0, 0, sequences, 1, 0, 0))
     demand, short = np.array([histogram[int(k)] for k in sizes], np.int64), sizes <= SHORT
-    # short pieces fill sequences by exact lengths without a linear program: less than one piece is left open
-    used = [(sizes[short], *u) for u in column_generation(sizes[short], demand[short], capacity, rounds=0)]
+    # short pieces by exact lengths, longer ones by classes; either by the linear program
+    used = [(sizes[short], *u) for u in column_generation(sizes[short], demand[short], capacity)]
     used += [(sizes[~short], *u) for u in column_generation(sizes[~short] // UNIT, demand[~short], capacity // UNIT)]
     for of, pattern, n in used:
         first = 0

@@ -24,6 +24,14 @@ def bucket_count(records: int, size: int, bucket_rows: int = BUCKET_ROWS, bucket
     return max(1, -(-records // bucket_rows), -(-size // bucket_bytes))
 
 
+def in_order(rows: F.Column, record: F.Column, records: DataFrame) -> F.Column:
+    """A list of records in an order of their content; maps, which have none, go by their text."""
+    if "map<" not in records.select(record.alias("r")).schema.simpleString():
+        return F.array_sort(rows)
+    text = lambda x: F.to_json(F.struct(x.alias("r")))
+    return F.array_sort(rows, lambda a, b: F.when(text(a) < text(b), -1).when(text(a) > text(b), 1).otherwise(0))
+
+
 def shuffled(records: DataFrame, id_col: str, n_buckets: int, seed: int) -> DataFrame:
     """(bucket, place, record): every record with its place in its shuffled bucket.
 
@@ -32,13 +40,13 @@ def shuffled(records: DataFrame, id_col: str, n_buckets: int, seed: int) -> Data
     so that a task which runs again gives the same order.
     """
     columns = [c for c in records.columns if c != id_col]
-    record = F.struct(F.col(id_col), *[F.col(c) for c in columns])
+    record = F.struct(F.col(id_col), *[F.col(f"`{c}`") for c in columns])
     # spread by the record's position too: one id may stand in very many rows
     copy = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), copy), F.lit(n_buckets)).cast("int")
     # a bucket is a partition: whole texts of several would meet in one task if the bucket were hashed again
     scattered = records.select(bucket.alias("bucket"), record.alias("record")).repartitionById(n_buckets, F.col("bucket"))
-    gathered = scattered.groupBy("bucket").agg(F.array_sort(F.collect_list("record")).alias("records"))
+    gathered = scattered.groupBy("bucket").agg(in_order(F.collect_list("record"), record, records).alias("records"))
     ordered = gathered.sortWithinPartitions("bucket").select("bucket", F.shuffle("records", F.lit(seed)).alias("records"))
     return ordered.select("bucket", F.posexplode("records").alias("place", "record"))
 

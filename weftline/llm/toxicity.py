@@ -47,18 +47,26 @@ def severest(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def label_weights(labels: DataFrame, limit: int) -> dict[bool, float]:
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic), written: the labels of documents that are there; others count nowhere. Ids alone move."""
+    return cut(severest(labels).join(docs.select(F.col("doc_id").alias("_there")), F.col("doc_id") == F.col("_there"), "left_semi"))
+
+
+def label_weights(known: DataFrame, limit: int) -> dict[bool, float]:
     """What a sampled document that is toxic, or isn't, stands for: how many there are over how many are in the sample."""
-    kinds = severest(labels).groupBy((F.col("toxic") != 0).alias("bad")).agg(F.count("*").alias("n"))
+    kinds = known.groupBy((F.col("toxic") != 0).alias("bad")).agg(F.count("*").alias("n"))
     return {r.bad: r.n / min(limit, r.n) for r in kinds.collect()}
 
 
-def sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` labelled texts of either kind, those of the smallest hash of the id; (id, text, toxic)."""
-    known = severest(labels)
+def sample(docs: DataFrame, known: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` labelled documents of either kind, those of the smallest hash of the id, one text each; (id, text, toxic).
+
+    Of several texts of an id that of the smallest hash counts, so an id that repeats gives one row.
+    """
     picked = [known.where(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for kind in ("toxic = 0", "toxic <> 0")]
     # 2 * limit ids and marks at most
-    return docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic")
 
 
 def telling_features(texts: DataFrame, least: int = LEAST, limit: int = FEATURES) -> list[str]:
@@ -167,11 +175,12 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Toxicity
     grades, three at most. Where labels only say toxic or not, toxic documents are graded
     by how much telling vocabulary they hold (the sum of its log counts): its thirds are
     grades 1 to 3. Labels of unknown documents and null labels are left out; where a
-    document has several labels the severest counts; repeated rows of a labelled document
-    count as often; without toxic labels every text is clean.
+    document has several labels the severest counts; a labelled document counts once, however
+    many rows repeat it; without toxic labels every text is clean.
     """
     # the texts of a bounded sample, read several times
-    texts = cut(sample(docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")), labels, limit))
+    known = labelled(docs, labels)
+    texts = cut(sample(docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")), known, limit))
     features = telling_features(texts)
     if not features:
         return ToxicityModel([], None)
@@ -198,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Toxicity
     else:
         evidence = np.bincount(of, weights=x, minlength=len(rows))
         grades = np.where(toxic, 1 + np.searchsorted(np.quantile(evidence[toxic], [1 / 3, 2 / 3]), evidence, side="right"), 0)
-    stands_for = label_weights(labels, limit)
+    stands_for = label_weights(known, limit)
     weights = np.array([stands_for[bool(t)] for t in toxic])
     return ToxicityModel(features, CumulativeLink.fit(of, at, x, grades, len(features), ToxicityModel.LEVELS, weights=weights))
 

@@ -23,8 +23,8 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     The ids are written first, so Spark knows their size when it plans the join: within
     its broadcast threshold the documents aren't shuffled, beyond it they are.
     """
-    gone = cut(ids.select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = cut(ids.select(F.col("doc_id").alias("gone")).distinct()).alias("other")
+    return docs.alias("own").join(gone, F.col("own.doc_id") == F.col("other.gone"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import tokens
-from weftline.functions.vectors import cosine_distance, norm
+from weftline.functions.vectors import cosine_distance
 from weftline.session import written
 
 K1, B = 1.2, 0.75
 RRF = 60
 MAX_DISTANCE = 0.75
 LIMIT = 10
+BLOCK, QUERIES = 8192, 512  # vectors and queries that a task of a batch search compares
 
 
 def candidate_limit(limit: int) -> int:
@@ -73,16 +74,43 @@ def vector_search(vectors: DataFrame, query: list[float], id_col: str, vector_co
 def batch_vector_search(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, limit: int) -> DataFrame:
     """(query_id, rank, id, vector_distance) for a stated query set against all vectors.
 
-    queries: (query_id, query). Spark broadcasts the query set if it is within its own
-    threshold; norms are computed once a row; the ranking keeps only the best of each task.
+    queries: (query_id, query). Both sides are dealt into blocks, and a task compares one
+    block with one other by a matrix product and gives out each query's best of it, so
+    neither side is broadcast and no pair is a row. Null vectors and those of length 0 or
+    of another width than the query have no distance and aren't found; ties go to the smaller id.
     """
-    v = vectors.select(F.col(id_col), F.col(vector_col).alias("v")).withColumn("v_norm", norm(F.col("v")))
-    q = queries.select("query_id", F.col("query").alias("q")).withColumn("q_norm", norm(F.col("q")))
-    products = F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = v.crossJoin(q).withColumn("vector_distance", 1 - F.try_divide(products, F.col("v_norm") * F.col("q_norm")))
-    best = Window.partitionBy("query_id").orderBy("vector_distance", id_col)
-    ranked = pairs.where("vector_distance is not null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
-    return ranked.select("query_id", F.col("rank"), id_col, "vector_distance")
+    kind = dict(vectors.dtypes)[id_col]
+    asked = dict(queries.dtypes)["query_id"]
+    n_left, n_right = (-(-max(1, df.count()) // size) for df, size in ((vectors, BLOCK), (queries, QUERIES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), deal(id_col, n_left).alias("i"), every(n_right).alias("j"))
+    q = queries.select("query_id", F.col("query").cast("array<double>").alias("q"), deal("query_id", n_right).alias("j")).select("*", every(n_left).alias("i"))
+
+    def nearest(left, right):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        for width in {len(x) for x in right["q"] if x is not None}:
+            rows, ask = (f[[x is not None and len(x) == width for x in f[c]]] for f, c in ((left, "v"), (right, "q")))
+            if not width or not len(rows) or not len(ask):
+                continue
+            a, b = np.array(rows["v"].tolist(), float), np.array(ask["q"].tolist(), float)
+            with np.errstate(all="ignore"):
+                far = 1 - (b @ a.T) / np.outer(np.sqrt((b * b).sum(axis=1)), np.sqrt((a * a).sum(axis=1)))
+            ids = rows["id"].to_numpy()
+            for name, row in zip(ask["query_id"], far, strict=True):
+                at = np.flatnonzero(~np.isnan(row))
+                if len(at) > limit:  # all that tie with the last of the best stay
+                    at = at[row[at] <= np.partition(row[at], limit - 1)[limit - 1] + 1e-12]
+                out += [(name, ids[k], row[k]) for k in at]
+        return pd.DataFrame(out, columns=["query_id", "id", "vector_distance"])
+
+    found = v.groupBy("i", "j").cogroup(q.groupBy("i", "j")).applyInPandas(nearest, f"query_id {asked}, id {kind}, vector_distance double")
+    best = Window.partitionBy("query_id").orderBy("vector_distance", "id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    return ranked.select("query_id", F.col("rank"), F.col("id").alias(id_col), "vector_distance")
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, id_col: str, limit: int = LIMIT) -> DataFrame:

@@ -68,7 +68,7 @@ class ChunkStore:
     @property
     def postings(self) -> Postings:
         """The keyword index; its versions are those of the chunks."""
-        return Postings(self.spark, self.root)
+        return Postings(self.spark, f"{self.root}/keywords")
 
     def keyword_search(self, question: str, limit: int, allowed: DataFrame | None = None) -> DataFrame:
         """(chunk_id, bm25_score) from the stored postings of all visible versions; allowed: (chunk_id) of what may be found."""
@@ -117,13 +117,13 @@ class ChunkStore:
             self._say(rows)
 
     def vacuum(self) -> int:
-        """Remove the files of versions that aren't visible; how many versions went. No write may run meanwhile, for what it has written isn't visible yet."""
+        """Remove the files of versions that aren't visible; how many folders of chunks and vectors went; their postings go with them. No write may run meanwhile, for what it has written isn't visible yet."""
         kept = {r.version for r in self.hashes.select("version").collect()}  # one a source and digest
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         root = path(self.root)
         files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = files.globStatus(path(root, "*/version=*")) or []
-        gone = [f.getPath() for f in found if f.getPath().getName().removeprefix("version=") not in kept]
+        own, index = ([f.getPath() for f in files.globStatus(path(root, where)) or []] for where in ("*/version=*", "keywords/*/version=*"))
+        gone = [f for f in [*own, *index] if f.getName().removeprefix("version=") not in kept]
         for folder in gone:
             files.delete(folder, True)
-        return len({folder.getName() for folder in gone})
+        return sum(f in own for f in gone)

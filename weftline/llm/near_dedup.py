@@ -328,12 +328,15 @@ def star(members: DataFrame, turn: int) -> DataFrame:
     return away.select(F.col("top.cid").alias("a"), F.col("cid").alias("b")).distinct()
 
 
-def spanning(cid: np.ndarray, root: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, percent: int, thresholds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def spanning(
+    cid: np.ndarray, root: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, percent: int, thresholds: list[tuple[int, int]], elsewhere: list[frozenset] | None = None
+) -> list[tuple[int, int]]:
     """Confirmed links that join all components of the members which any link between them joins; fewer than members.
 
-    side: compare only members of unlike sides. Pairs that known roots or a link found
-    before have joined aren't compared; all others are, first by signature batches, then
-    on full sets.
+    side: compare only members of unlike sides. elsewhere: the buckets of each member that
+    come before this one; a pair that shares one of them meets there and isn't compared
+    here. Pairs that known roots or a link found before have joined aren't compared either;
+    all others are, first by signature batches, then on full sets.
     """
     label = np.unique(root, return_inverse=True)[1]
     sizes, found = np.array([len(s) for s in sets]), []
@@ -346,7 +349,7 @@ def spanning(cid: np.ndarray, root: np.ndarray, sig: np.ndarray, sets: list[np.n
         if len(others):
             others = others[surviving(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others], thresholds)]
         for j in others.tolist():
-            if label[j] != label[i] and enough(shared(sets[i], sets[j]), sizes[i], sizes[j], percent):
+            if label[j] != label[i] and (elsewhere is None or elsewhere[i].isdisjoint(elsewhere[j])) and enough(shared(sets[i], sets[j]), sizes[i], sizes[j], percent):
                 found.append((int(cid[i]), int(cid[j])))
                 label[label == label[j]] = label[i]
     return found
@@ -359,8 +362,10 @@ def across(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     have, the largest component is dealt to blocks of its own, and so are the others; a
     task takes one block of each kind, or two of the others. So the work follows members
     times strays, not members squared, and a task gives out fewer links than it has members.
+    Full sets of a pair that shares several buckets are compared in the first of them only.
     """
     members = cut(members)
+    buckets = members.groupBy("cid").agg(F.collect_list("bucket").alias("buckets"))  # one a band at most
     weighed = members.join(needed(classes.select("cid", "n_shingles"), "cid", members.select(F.col("cid").alias("id")).distinct()), "cid")
     own = weighed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum(F.col("n_shingles") * 8).alias("bytes"))
     shape = own.groupBy("bucket").agg(F.max(F.struct("n", "bytes", "root")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
@@ -374,7 +379,7 @@ def across(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     )
     rows = cut(members.join(shape, "bucket"))
     wanted = cut(needed(classes.select("cid", "least", "h", "sig"), "cid", rows.select(F.col("cid").alias("id")).distinct()))
-    marks = cut(wanted.select("cid", "sig").join(built(docs, wanted, width), "cid"))
+    marks = cut(wanted.select("cid", "sig").join(built(docs, wanted, width), "cid").join(buckets, "cid"))
     is_main = (F.col("root") == F.col("main")) & (F.col("main_blocks") > 0)
     block = F.pmod(F.xxhash64("cid"), F.when(is_main, F.col("main_blocks")).otherwise(F.col("stray_blocks")))
     all_main, all_stray = (F.transform(F.sequence(F.lit(1), F.col(c)), lambda x: (x - 1).cast("bigint")) for c in ("main_blocks", "stray_blocks"))
@@ -384,7 +389,7 @@ def across(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     with_others = F.transform(all_stray, lambda s: F.struct((-1 - F.least(s, F.col("block"))).alias("m"), F.greatest(s, F.col("block")).alias("s")))
     dealt = rows.withColumn("is_main", is_main).withColumn("block", block)
     dealt = dealt.withColumn("groups", F.when(F.col("is_main"), to_main).otherwise(F.concat(with_main, with_others)))
-    dealt = dealt.select("bucket", "cid", "root", "is_main", F.explode("groups").alias("g")).join(marks, "cid")
+    dealt = dealt.select("bucket", "cid", "root", "is_main", "block", F.explode("groups").alias("g")).join(marks, "cid")
     thresholds = least_matches(percent, n_hashes, miss)
 
     def compare(key, frame):
@@ -392,11 +397,14 @@ def across(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
         sig = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(len(frame), n_hashes)
         sets = [np.frombuffer(x, np.uint64) for x in frame["held"]]
-        side = frame["is_main"].to_numpy() if int(key[1]) >= 0 else None
-        found = spanning(frame["cid"].to_numpy(), frame["root"].to_numpy(), sig, sets, side, percent, thresholds)
+        bucket, m, s = map(int, key)
+        # two unlike blocks of the others meet across only: within a block they meet where it is alone
+        side = frame["is_main"].to_numpy() if m >= 0 else None if -1 - m == s else (frame["block"] == s).to_numpy()
+        before = [frozenset(b[b < bucket].tolist()) for b in map(np.asarray, frame["buckets"])]
+        found = spanning(frame["cid"].to_numpy(), frame["root"].to_numpy(), sig, sets, side, percent, thresholds, before)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    columns = ("cid", "root", "is_main", "sig", "held")
+    columns = ("cid", "root", "is_main", "block", "sig", "held", "buckets")
     return dealt.select("bucket", F.col("g.m").alias("m"), F.col("g.s").alias("s"), *columns).groupBy("bucket", "m", "s").applyInPandas(compare, "a bigint, b bigint")
 
 

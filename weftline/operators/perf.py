@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.ordering import numbered
@@ -30,6 +30,48 @@ def numbered_runs(found: DataFrame) -> DataFrame:
     return numbered(found, [F.col("start_dt").isNull().asc(), F.asc_nulls_last("start_dt"), F.asc("run_id")], "run_index")
 
 
+def selected(found: DataFrame, spans: DataFrame, operations: list[str] | None = None, statuses: list[str] | None = None, sources: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs of the operations and statuses, their spans, those of them of the sources); an empty choice of a kind means all that have one.
+
+    A run without an operation or status is never chosen; spans keep a null source unless sources are named.
+    """
+    for name, wanted in (("operation", operations), ("status", statuses)):
+        found = found.where(F.col(name).isin(wanted) if wanted else F.col(name).isNotNull())
+    of_runs = spans.join(found.select("run_id").where("run_id is not null"), "run_id", "left_semi")
+    return found, of_runs, of_runs.where(F.col("datasource_id").isin(sources)) if sources else of_runs
+
+
+def outcomes(results: DataFrame, name: str = "operation", status: str = "status") -> DataFrame:
+    """How many results of each operation went well, were skipped and failed; other outcomes count in the total only."""
+    kinds = {"ok": ["ok"], "skipped": ["skipped"], "failed": ["failed", "error"]}
+    counts = [F.count_if(F.coalesce(F.lower(status).isin(said), F.lit(False))).alias(k) for k, said in kinds.items()]
+    return results.groupBy(name).agg(F.count("*").alias("total"), *counts)
+
+
+def attribute_names(spans: DataFrame, column: str = "attrs") -> DataFrame:
+    """The names of the JSON attributes, a row a name."""
+    return spans.select(F.explode(F.json_object_keys(column)).alias("name")).distinct()
+
+
+def flat_attributes(spans: DataFrame, names: list[str], column: str = "attrs") -> DataFrame:
+    """JSON attributes as columns attr.name; dots in a name lead into nested objects. What isn't an object has no attributes."""
+    is_object = F.json_object_keys(column).isNotNull()
+    value = lambda n: F.when(is_object, F.get_json_object(column, "$" + "".join(f"['{p}']" for p in n.split("."))))
+    return spans.select("*", *[value(n).alias(f"attr.{n}") for n in names]).drop(column)
+
+
+def with_ends(spans: DataFrame) -> DataFrame:
+    """Start and duration as whole milliseconds, null where they are none, and t_end_ms."""
+    whole = lambda c: F.col(c).try_cast("double").try_cast("bigint")
+    rows = spans.withColumns({c: whole(c) for c in ("t_start_ms", "duration_ms")})
+    return rows.withColumn("t_end_ms", F.col("t_start_ms") + F.col("duration_ms"))
+
+
+def short_time(ts: Column) -> Column:
+    """A time's text to the second."""
+    return F.substring(ts.cast("string"), 1, 19)
+
+
 def with_runs(spans: DataFrame, found: DataFrame) -> DataFrame:
     return spans.drop("operation", "status").withColumn("span_status", spans["status"]).join(found.select("run_id", "operation", F.col("status").alias("run_status")), "run_id", "left")
 
@@ -75,6 +117,12 @@ def pivoted(rows: DataFrame, row: str, column: str, value: str, columns: list[st
     return rows.groupBy(row).pivot(column, columns).agg(F.avg(value))
 
 
+def by_largest(table: DataFrame, row: str, columns: list[str]) -> DataFrame:
+    """A pivoted table with its rows' largest value, largest first, ties by name; rows without any value last."""
+    top = F.greatest(*columns) if len(columns) > 1 else F.col(columns[0])
+    return table.withColumn("largest", top).orderBy(F.desc_nulls_last("largest"), row)
+
+
 def span_depths(spans: DataFrame) -> DataFrame:
     """(run_id, span_id, depth, path): depth from the roots down; a span whose parent isn't there is a root.
 

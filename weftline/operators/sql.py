@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 READ_ONLY, WRITE, UNKNOWN = "READ_ONLY", "WRITE", "UNKNOWN"
 # How a read-only statement may begin, and words that make one a write anywhere outside strings and comments.
@@ -28,6 +30,15 @@ def classify(sql: str) -> str:
     return READ_ONLY
 
 
+def classified(statement: Column) -> Column:
+    """The kind of each statement of a column, such as a query log's; null counts as empty."""
+    @F.pandas_udf("string")
+    def kinds(said: pd.Series) -> pd.Series:
+        return said.map(lambda s: classify(s or ""))
+
+    return kinds(statement)
+
+
 def is_command(spark: SparkSession, sql: str) -> bool:
     """Whether Spark's parser sees a statement that changes something (a second gate)."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)

@@ -1,4 +1,4 @@
-"""Queries over databases' own catalogs: small stated schemas, introspected by their dialect."""
+"""Queries over databases' own catalogs: the given tables' schemas as a database, introspected by its dialect."""
 
 from __future__ import annotations
 
@@ -10,30 +10,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import catalog
-from weftline.plans.book import Book
-from weftline.plans.metadata import values
+from weftline.plans.book import Book, table
+from weftline.plans.metadata import TABLES, values
 from weftline.sources import introspection
 
 BOOK = Book()
 
-SHOP_DDL = """
-create table users (user_id integer primary key, name varchar not null, email varchar not null unique, is_active integer not null default 1);
-create table products (product_id integer primary key, sku varchar not null unique, price decimal(10, 2));
-create table orders (order_id integer primary key, user_id integer not null references users (user_id), order_number varchar not null, status varchar default 'PENDING', placed_at timestamp, amount integer, unique (user_id, order_number));
-create table order_items (order_id integer not null references orders (order_id), product_id integer not null references products (product_id), quantity integer, primary key (order_id, product_id));
-create index orders_user_placed on orders (user_id, placed_at);
-create index items_product on order_items (product_id);
-create view paid_orders as select order_id, user_id from orders where status = 'PAID';
-"""
-# What the catalog must say: table, kind, columns, primary key, unique keys, foreign keys, indexes.
-SHOP = [
-    ("users", "table", "user_id,name,email,is_active", "user_id", "email", "", ""),
-    ("products", "table", "product_id,sku,price", "product_id", "sku", "", ""),
-    ("orders", "table", "order_id,user_id,order_number,status,placed_at,amount", "order_id", "user_id+order_number", "user_id>main.users.user_id", "user_id+placed_at"),
-    ("order_items", "table", "order_id,product_id,quantity", "order_id,product_id", "", "order_id>main.orders.order_id,product_id>main.products.product_id", "product_id"),
-    ("paid_orders", "view", "order_id,user_id", "", "", "", ""),
+# Keys of the given tables: table, primary key, foreign keys (column, table, its column), an indexed column.
+KEYS = [
+    ("region", "r_regionkey", [], ""),
+    ("nation", "n_nationkey", [("n_regionkey", "region", "r_regionkey")], ""),
+    ("customer", "c_custkey", [("c_nationkey", "nation", "n_nationkey")], "c_mktsegment"),
+    ("supplier", "s_suppkey", [("s_nationkey", "nation", "n_nationkey")], ""),
+    ("part", "p_partkey", [], "p_brand"),
+    ("orders", "o_orderkey", [("o_custkey", "customer", "c_custkey")], "o_orderdate"),
+    ("lineitem", "", [("l_orderkey", "orders", "o_orderkey"), ("l_partkey", "part", "p_partkey"), ("l_suppkey", "supplier", "s_suppkey")], "l_shipdate"),
 ]
-SQL = f"select t as table_name, k as kind, c as columns, p as primary_key, u as unique_keys, f as foreign_keys, i as indexes from {values(SHOP)} v(t, k, c, p, u, f, i)"
+TYPES = {"bigint": "bigint", "int": "integer", "double": "double", "timestamp": "timestamp", "timestamp_ntz": "timestamp"}
+
+
+def statements(spark: SparkSession, sf_dir: str) -> str:
+    """Statements that make the given tables' schemas, with their keys, indexes and a view of each keyed table."""
+    known = {t: (key, foreign, index) for t, key, foreign, index in KEYS}
+    out = []
+    for t in [*known, *(t for t in TABLES if t not in known)]:
+        key, foreign, index = known.get(t, ("", [], ""))
+        lines = [f"{f.name} {TYPES.get(f.dataType.simpleString(), 'varchar')}" for f in table(spark, sf_dir, t).schema.fields]
+        lines += [f"primary key ({key})"] if key else []
+        lines += [f"foreign key ({c}) references {to} ({own})" for c, to, own in foreign]
+        out.append(f"create table {t} ({', '.join(lines)})")
+        out += [f"create index {t}_by_{index} on {t} ({index})"] if index else []
+        out += [f"create view {t}_keys as select {key} from {t}"] if key else []
+    return ";\n".join(out) + ";"
+
+
+SHOWN = [(t, key, ",".join(sorted(f"{c}>main.{to}.{own}" for c, to, own in foreign)), index) for t, key, foreign, index in KEYS]
+SQL = f"""
+with known as (select * from {values(SHOWN)} v(t, p, f, i)), columns as (
+  select table_name, string_agg(column_name, ',' order by ordinal_position) as columns from information_schema.columns
+  where table_schema = 'main' and table_name in ({", ".join(f"'{t}'" for t in TABLES)}) group by 1)
+select table_name, 'table' as kind, columns, coalesce(p, '') as primary_key, '' as unique_keys, coalesce(f, '') as foreign_keys, coalesce(i, '') as indexes from columns left join known on t = table_name
+union all select t || '_keys', 'view', p, '', '', '', '' from known where p <> ''
+"""
 
 
 def shown(tables: DataFrame) -> DataFrame:
@@ -56,9 +74,9 @@ def sqlite_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     import sqlite3
 
     with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "shop.db")
+        path = os.path.join(folder, "given.db")
         with closing(sqlite3.connect(path)) as c:
-            c.executescript(SHOP_DDL)
+            c.executescript(statements(spark, sf_dir))
         return shown(catalog.assembled_tables(**introspection.components(spark, "sqlite", introspection.sqlite_reader(spark, path))))
 
 
@@ -68,7 +86,7 @@ def duckdb_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     import duckdb
 
     with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "shop.duckdb")
+        path = os.path.join(folder, "given.duckdb")
         with duckdb.connect(path) as c:
-            c.execute(SHOP_DDL)
+            c.execute(statements(spark, sf_dir))
         return shown(catalog.assembled_tables(**introspection.components(spark, "duckdb", introspection.duckdb_reader(spark, path))))

@@ -1,4 +1,4 @@
-"""Queries of the catalog operators, over the tables' own schemas and small stated metadata."""
+"""Queries of the catalog operators, over the tables' own schemas and component rows that Spark derives from them."""
 
 from __future__ import annotations
 
@@ -10,80 +10,72 @@ from pyspark.sql import functions as F
 from weftline.functions import text
 from weftline.operators import catalog, chunking
 from weftline.operators.catalog import Rule, Scope
-from weftline.operators.sql import classify
+from weftline.operators.sql import classified
 from weftline.plans.book import Book, table
 from weftline.sources import parquet_footer
 
 BOOK = Book()
 
-# A small shop schema: columns (table, ordinal, name, type, nullable), keys (table, constraint, position, column), foreign keys.
-SHOP_COLUMNS = [
-    ("users", 2, "name", "VARCHAR", "no"),
-    ("users", 1, "user_id", "INTEGER", "no"),
-    ("users", 3, "email", "VARCHAR", "yes"),
-    ("orders", 1, "order_id", "INTEGER", "no"),
-    ("orders", 2, "user_id", "INTEGER", "no"),
-    ("orders", 3, "placed_at", "TIMESTAMP", "yes"),
-    ("order_items", 1, "order_id", "INTEGER", "no"),
-    ("order_items", 2, "product_id", "INTEGER", "no"),
-    ("order_items", 3, "quantity", "INTEGER", "yes"),
-]
-SHOP_KEYS = [("users", "users_pk", 1, "user_id"), ("orders", "orders_pk", 1, "order_id"), ("order_items", "items_pk", 2, "product_id"), ("order_items", "items_pk", 1, "order_id")]
-SHOP_FOREIGN = [
-    ("orders", "orders_user", 1, "user_id", "users", "user_id"),
-    ("order_items", "items_order", 1, "order_id", "orders", "order_id"),
-    ("order_items", "items_product", 2, "product_id", "products", "product_id"),
-    ("order_items", "items_product", 1, "order_id", "products", "order_id"),
-]
-
-
 def values(rows: list[tuple]) -> str:
     show = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
     return "(values " + ", ".join("(" + ", ".join(show(v) for v in r) + ")" for r in rows) + ")"
 
 
-def shop(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    columns = spark.createDataFrame([("shop", *r, None, None) for r in SHOP_COLUMNS], "schema_name string, table_name string, ordinal_position int, column_name string, data_type string, is_nullable string, generated string, description string")
-    keys = spark.createDataFrame([("shop", *r, True) for r in SHOP_KEYS], "schema_name string, table_name string, constraint_name string, position int, column_name string, validated boolean")
-    foreign = spark.createDataFrame(
-        [("shop", t, c, p, f, "shop", r, to, "no action", "no action") for t, c, p, f, r, to in SHOP_FOREIGN],
-        "schema_name string, table_name string, constraint_name string, position int, from_column string, ref_schema string, ref_table string, to_column string, on_update string, on_delete string",
-    )
-    relations = spark.createDataFrame([("shop", t, "table", None) for t in ("users", "orders", "order_items")], "schema_name string, table_name string, kind string, description string")
+#: Component rows out of given tables: a customer is a table, its orders are the columns; every fifth is in the primary key, every third in one of two foreign keys.
+MODEL = """
+c as (select 't' || o_custkey as t, o_orderkey as p, 'c' || o_orderkey as c, o_orderpriority as ty, coalesce(o_orderstatus <> 'F', true) as nullable from orders where o_custkey is not null),
+pk as (select t, list(c order by p) as k, arg_min(ty, p) as ty from c where p % 5 = 0 group by t),
+fk as (select t, p % 2 as f, 'shop.u' || (p % 2) as r, list(c order by p) as froms, list('k' || p order by p) as tos from c where p % 3 = 0 group by t, p % 2)"""
+
+
+def model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Relations, columns, keys and foreign keys as a catalog would give them."""
+    p, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    name = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    rows = table(spark, sf_dir, "orders").where("o_custkey is not null")
+    rows = rows.withColumns({"schema_name": F.lit("shop"), "table_name": name("t", F.col("o_custkey")), "position": p, "column_name": name("c", p)})
+    relations = rows.select("schema_name", "table_name").distinct().withColumns({"kind": F.lit("TABLE"), "description": none})
+    nullable = F.when(F.col("o_orderstatus") == "F", "NO").otherwise("YES")
+    columns = rows.withColumns({"ordinal_position": p, "data_type": F.col("o_orderpriority"), "is_nullable": nullable, "generated": none, "description": none})
+    keys = rows.where(p % 5 == 0).withColumns({"constraint_name": F.lit("pk"), "validated": F.lit(True)})
+    ends = {"from_column": F.col("column_name"), "ref_schema": F.lit("shop"), "ref_table": name("u", p % 2), "to_column": name("k", p)}
+    foreign = rows.where(p % 3 == 0).withColumns({"constraint_name": name("f", p % 2), **ends, "on_update": none, "on_delete": none})
     return relations, columns, keys, foreign
 
 
-@BOOK.add(f"select t as table_name, k as constraint_name, array_to_string(list(c order by p), ',') as columns from {values(SHOP_KEYS)} v(t, k, p, c) group by all")
+@BOOK.add(f"with {MODEL} select t as table_name, 'pk' as constraint_name, array_to_string(k, ',') as columns from pk")
 def constraint_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.assembled_keys(shop(spark)[2]).select("table_name", "constraint_name", F.array_join("columns", ",").alias("columns"))
+    return catalog.assembled_keys(model(spark, sf_dir)[2]).select("table_name", "constraint_name", F.array_join("columns", ",").alias("columns"))
 
 
-@BOOK.add(f"select t as table_name, k as constraint_name, 'shop.' || min(r) as referenced_table, array_to_string(list(f || '>' || c order by p), ',') as mapping from {values(SHOP_FOREIGN)} v(t, k, p, f, r, c) group by t, k")
+@BOOK.add(f"with {MODEL} select t as table_name, 'f' || f as constraint_name, r as referenced_table, array_to_string(list_transform(list_zip(froms, tos), lambda x: x[1] || '>' || x[2]), ',') as mapping from fk")
 def foreign_key_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = F.array_join(F.transform("mapping", lambda m: F.concat(m["from_column"], F.lit(">"), m["to_column"])), ",")
-    return catalog.assembled_foreign_keys(shop(spark)[3]).select("table_name", "constraint_name", "referenced_table", mapping.alias("mapping"))
-
-
-# What the shop's chunks must say.
-SHOP_CHUNKS = [
-    ("users", -1, "users is a database table with 3 columns. Its primary key is the column user_id of type INTEGER. Here is the full list of columns for the table: user_id, name, email"),
-    ("users", 0, "user_id is a column with type INTEGER in the table users. It can not contain null values. It is the primary key of the table"),
-    ("users", 1, "name is a column with type VARCHAR in the table users. It can not contain null values"),
-    ("users", 2, "email is a column with type VARCHAR in the table users. It can contain null values"),
-    ("orders", -1, "orders is a database table with 3 columns. Its primary key is the column order_id of type INTEGER. The column has a foreign key to shop.users. Here is the full list of columns for the table: order_id, user_id, placed_at"),
-    ("orders", 0, "order_id is a column with type INTEGER in the table orders. It can not contain null values. It is the primary key of the table"),
-    ("orders", 1, "user_id is a column with type INTEGER in the table orders. It can not contain null values. This column is a foreign key to shop.users.user_id"),
-    ("orders", 2, "placed_at is a column with type TIMESTAMP in the table orders. It can contain null values"),
-    ("order_items", -1, "order_items is a database table with 3 columns. Its primary key is composed of the columns (order_id, product_id). The table has foreign keys to shop.orders and shop.products. Here is the full list of columns for the table: order_id, product_id, quantity"),
-    ("order_items", 0, "order_id is a column with type INTEGER in the table order_items. It can not contain null values. It is part of the primary key of the table. This column is a foreign key to shop.orders.order_id. This column is part of a foreign key to shop.products"),
-    ("order_items", 1, "product_id is a column with type INTEGER in the table order_items. It can not contain null values. It is part of the primary key of the table. This column is part of a foreign key to shop.products"),
-    ("order_items", 2, "quantity is a column with type INTEGER in the table order_items. It can contain null values"),
-]
-
-
-@BOOK.add(f"select t as table_name, cast(p as integer) as position, x as embeddable_text from {values(SHOP_CHUNKS)} v(t, p, x)")
+    return catalog.assembled_foreign_keys(model(spark, sf_dir)[3]).select("table_name", "constraint_name", "referenced_table", mapping.alias("mapping"))
+
+
+@BOOK.add(f"""
+with {MODEL},
+cols as (select t, list(c order by p) as names, count(*) as n from c group by t),
+targets as (select t, list(r order by f) as r from fk group by t),
+own as (
+  select cols.t as table_name, -1 as position, concat_ws('. ',
+    cols.t || ' is a database table with ' || n || ' columns',
+    case when len(k) = 1 then 'Its primary key is the column ' || k[1] || ' of type ' || pk.ty when len(k) > 1 then 'Its primary key is composed of the columns (' || array_to_string(k, ', ') || ')' end,
+    case when len(r) = 1 then 'The column has a foreign key to ' || r[1] when len(r) = 2 then 'The table has foreign keys to ' || r[1] || ' and ' || r[2] end,
+    case when n > 50 then 'Here are the first 50 columns for the table: ' || array_to_string(names[1:50], ', ') else 'Here is the full list of columns for the table: ' || array_to_string(names, ', ') end) as embeddable_text
+  from cols left join pk on pk.t = cols.t left join targets on targets.t = cols.t),
+each as (
+  select c.t as table_name, cast(row_number() over (partition by c.t order by p) - 1 as integer) as position, concat_ws('. ',
+    c.c || ' is a column with type ' || c.ty || ' in the table ' || c.t,
+    case when nullable then 'It can contain null values' else 'It can not contain null values' end,
+    case when p % 5 = 0 and len(k) = 1 then 'It is the primary key of the table' when p % 5 = 0 then 'It is part of the primary key of the table' end,
+    case when p % 3 = 0 and len(froms) = 1 then 'This column is a foreign key to ' || r || '.k' || p when p % 3 = 0 then 'This column is part of a foreign key to ' || r end) as embeddable_text
+  from c left join pk on pk.t = c.t left join fk on fk.t = c.t and fk.f = p % 2)
+select * from own union all select * from each
+""")
 def database_chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    relations, columns, keys, foreign = shop(spark)
+    relations, columns, keys, foreign = model(spark, sf_dir)
     return chunking.table_chunks(catalog.assembled_tables(relations, columns, keys, foreign)).select("table_name", "position", "embeddable_text")
 
 
@@ -190,24 +182,32 @@ STATEMENTS = [
 ]
 
 
-@BOOK.add(f"select s as statement, k as kind from {values(STATEMENTS)} v(s, k)")
+@BOOK.add(f"select event_id, k as kind from events join (select s, k, row_number() over () - 1 as i from {values(STATEMENTS)} v(s, k)) on event_id % {len(STATEMENTS)} = i")
 def statement_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s, classify(s)) for s, _ in STATEMENTS], "statement string, kind string")
-
+    """What each logged statement is: an event's type stands in a comment before one of the statements, its properties in one behind it."""
+    said = F.element_at(F.array(*[F.lit(s) for s, _ in STATEMENTS]), (F.col("event_id") % len(STATEMENTS) + 1).cast("int"))
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    logged = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("/* "), part("event_type"), F.lit(" */ "), said, F.lit(" -- "), part("props")).alias("statement"))
+    return logged.select("event_id", classified(F.col("statement")).alias("kind"))
 
-# Indexes (table, index, position, expression, unique).
-SHOP_INDEXES = [("users", "users_name", 1, "name", "no"), ("orders", "orders_user_placed", 2, "placed_at", "yes"), ("orders", "orders_user_placed", 1, "user_id", "yes"), ("order_items", "items_product", 1, "product_id", None)]
 
-
-@BOOK.add(f"select t as table_name, i as index_name, array_to_string(list(e order by p), ',') as columns, coalesce(bool_or(u = 'yes'), false) as is_unique from {values(SHOP_INDEXES)} v(t, i, p, e, u) group by t, i")
+@BOOK.add("""
+select 't' || l_orderkey as table_name, 'i' || l_returnflag as index_name, array_to_string(list('p' || l_partkey order by l_linenumber, 'p' || l_partkey), ',') as columns, l_returnflag = 'R' as is_unique
+from lineitem group by l_orderkey, l_returnflag
+""")
 def index_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("shop", *r, "btree") for r in SHOP_INDEXES], "schema_name string, table_name string, index_name string, position int, expr string, is_unique string, method string")
+    """An order is a table, its lines with one flag are an index; one flag means unique, one not, one says nothing."""
+    flag = F.col("l_returnflag")
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    unique = F.when(flag == "R", "YES").when(flag == "A", "0")
+    own = [F.lit("shop").alias("schema_name"), name("t", "l_orderkey").alias("table_name"), name("i", "l_returnflag").alias("index_name")]
+    rows = table(spark, sf_dir, "lineitem").select(*own, F.col("l_linenumber").alias("position"), name("p", "l_partkey").alias("expr"), unique.alias("is_unique"), F.lit("btree").alias("method"))
     return catalog.assembled_indexes(rows).select("table_name", "index_name", F.array_join("columns", ",").alias("columns"), F.col("unique").alias("is_unique"))
 
 
-@BOOK.add(f"select t as table_name, array_to_string(list(c order by p), ',') as columns, count(*) filter (n = 'no') as required from {values(SHOP_COLUMNS)} v(t, p, c, k, n) group by t")
+@BOOK.add(f"with {MODEL} select t as table_name, array_to_string(list(c order by p), ',') as columns, count(*) filter (not nullable) as required from c group by t")
 def column_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = catalog.assembled_columns(shop(spark)[1])
+    found = catalog.assembled_columns(model(spark, sf_dir)[1])
     names = F.array_join(F.transform("columns", lambda c: c["name"]), ",")
     required = F.size(F.filter("columns", lambda c: ~c["nullable"])).cast("bigint")
     return found.select("table_name", names.alias("columns"), required.alias("required"))
@@ -228,24 +228,25 @@ def names_with_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("r_name", text.joined_with_last(F.col("n"), " and ").alias("joined"))
 
 
-# Texts and what is parsed from them: ref target, items of an array literal, data set kind.
-PARSED = [
-    ("ref('orders')", "orders", 1, "table"),
-    ('ref("a.b_c")', "a.b_c", 1, "table"),
-    ("ref('x') ", None, 1, "table"),
-    ("{a,b,c}", None, 3, "table"),
-    ("{}", None, 0, "table"),
-    ("VIEW", None, 1, "view"),
-    ("materialized_view", None, 1, "materialized_view"),
-    ("something", None, 1, "table"),
-]
+PARSED = """
+case p_partkey % 4 when 0 then 'ref(''model.' || p_partkey || ''')' when 1 then 'ref("' || p_name || '")' when 2 then '{' || p_type || ',' || p_size || ',' || p_brand || '}'
+     else case when p_size > 25 then 'VIEW' else '{}' end end"""
 
 
-@BOOK.add(f"select s, r, cast(n as integer) as n, k from {values(PARSED)} v(s, r, n, k)")
+@BOOK.add(f"""
+select p_partkey, s, nullif(regexp_extract(s, '^ref\\([''"]([A-Za-z0-9_.]+)[''"]\\)$', 1), '') as r, case when s = '{{}}' then 0 else cast(len(string_split(s, ',')) as integer) end as n, case s when 'VIEW' then 'view' else 'table' end as k
+from (select p_partkey, {PARSED} as s from part)
+""")
 def small_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References, array literals and kinds of data sets read out of texts."""
+    key, said = F.col("p_partkey"), lambda c: F.col(c).cast("string")
+    reference = F.concat(F.lit("ref('model."), said("p_partkey"), F.lit("')"))
+    literal = F.concat(F.lit("{"), "p_type", F.lit(","), said("p_size"), F.lit(","), "p_brand", F.lit("}"))
+    quoted, other = F.concat(F.lit('ref("'), "p_name", F.lit('")')), F.when(F.col("p_size") > 25, "VIEW").otherwise("{}")
+    s = F.when(key % 4 == 0, reference).when(key % 4 == 1, quoted).when(key % 4 == 2, literal).otherwise(other)
+    rows = table(spark, sf_dir, "part").select("p_partkey", s.alias("s"))
     s = F.col("s")
-    rows = spark.createDataFrame([(p[0],) for p in PARSED], "s string")
-    return rows.select("s", text.ref_target(s).alias("r"), F.size(text.array_literal(s)).alias("n"), catalog.dataset_kind(s).alias("k"))
+    return rows.select("p_partkey", "s", text.ref_target(s).alias("r"), F.size(text.array_literal(s)).alias("n"), catalog.dataset_kind(s).alias("k"))
 
 
 @BOOK.add("select 'Model ' || p_name || ' in database shop and schema ' || p_brand || ', with unique id model.' || p_partkey as model, 'Column ' || p_type || ' in model model.' || p_partkey as model_column, 'Metric ' || p_name || ' with id m' || p_partkey || case when p_size > 20 then ', depending on semantic model s' || p_size else '' end as metric from part")

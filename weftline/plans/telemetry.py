@@ -64,6 +64,38 @@ def perf_null_safe_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("operation", "run_id", "datasource_id", "name", "span_count", "chunk_count", "context_size", F.round("ms_per_chunk", 4).alias("ms_per_chunk"))
 
 
+@BOOK.add(f"""
+with {SPANS}, runs as (select run_id, operation, max(status) as status from spans group by all having operation = 'build')
+select run_id, datasource_id, count(*) as spans, round(sum(duration_ms), 4) as total_ms from spans semi join runs using (run_id) where operation is not null and datasource_id in ('src1', 'src2') group by all
+""")
+def perf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of two sources within the runs of one operation; any status."""
+    s = spans(spark, sf_dir)
+    found = s.groupBy("run_id", "operation").agg(F.max("status").alias("status"))
+    chosen = perf.selected(found, s, operations=["build"], sources=["src1", "src2"])[2]
+    return chosen.groupBy("run_id", "datasource_id").agg(F.count("*").alias("spans"), F.round(F.sum("duration_ms"), 4).alias("total_ms"))
+
+
+@BOOK.add("""
+select case when user_id % 2 = 0 then 'build' else 'index' end as operation, count(*) as total, count(*) filter (event_type not in ('error', 'signup')) as ok,
+       count(*) filter (event_type = 'signup') as skipped, count(*) filter (event_type = 'error') as failed
+from events group by 1
+""")
+def perf_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of each operation by outcome."""
+    return perf.outcomes(spans(spark, sf_dir).withColumn("status", F.when(F.col("name") == "error", "FAILED").when(F.col("name") == "signup", "SKIPPED").when(F.col("name").isNotNull(), "OK")))
+
+
+@BOOK.add("""
+select event_id, json_extract_string(props, '$.k') as k, cast(event_id as bigint) as t_start_ms, cast(event_id as bigint) + cast(trunc(value) as bigint) as t_end_ms, strftime(ts, '%Y-%m-%d %H:%M:%S') as short_ts from events
+""")
+def perf_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON attributes as columns, whole milliseconds and short times."""
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.col("props").alias("attrs"), F.col("event_id").alias("t_start_ms"), F.col("value").alias("duration_ms"))
+    out = perf.with_ends(perf.flat_attributes(rows, ["k"]))
+    return out.select("event_id", F.col("`attr.k`").alias("k"), "t_start_ms", "t_end_ms", perf.short_time(F.col("ts")).alias("short_ts"))
+
+
 @BOOK.add("""
 select event_type as name, count(value) as count, cast(round_even(avg(value), 0) as bigint) as mean, cast(round_even(quantile_cont(value, 0.5), 0) as bigint) as median,
        cast(round_even(quantile_cont(value, 0.9), 0) as bigint) as p90, cast(round_even(quantile_cont(value, 0.99), 0) as bigint) as p99, cast(round_even(max(value), 0) as bigint) as max

@@ -27,6 +27,7 @@ from weftline.functions.text import sample_value
 from weftline.operators import catalog, chunking, profiling, search, sketches, store
 from weftline.operators.sql import run_sql
 from weftline.sources import databases, introspection
+from weftline.sources.registry import Registry, built_in
 
 DIM = 64
 ALGORITHM = "SHA-256"
@@ -151,10 +152,12 @@ class Domain:
 
     A source is a YAML file with ``type: parquet`` (``path`` of a folder with tables),
     ``type: spark`` (``database``), ``type: sqlite`` (``path``), the type of a database that
-    JDBC reaches (``host``, ``port``, ``database``, ``options``), or a .txt or .md file.
+    JDBC reaches (``host``, ``port``, ``database``, ``options``), or a .txt or .md file. ``kinds``
+    holds these and what the caller adds.
     """
 
-    def __init__(self, spark: SparkSession, root: str, embed: Embedder = hashing_embedder, dim: int = DIM, entities: Callable[[str], str | None] | None = None):
+    def __init__(self, spark: SparkSession, root: str, embed: Embedder = hashing_embedder, dim: int = DIM, entities: Callable[[str], str | None] | None = None, kinds: Registry | None = None):
+        self.kinds = built_in(introspection.DIALECTS) if kinds is None else kinds
         self.spark, self.root, self.embed, self.dim, self.entities = spark, Path(root), embed, dim, entities
         self.store = store.ChunkStore(spark, str(self.root / "index"))
         self.journal = Journal(self.root / "logs" / "events.jsonl")
@@ -200,6 +203,11 @@ class Domain:
         return source.endswith((".yaml", ".yml"))
 
     def tables(self, config: dict) -> dict[str, DataFrame]:
+        """A source's tables by name; settings that its kind doesn't know, or of another type, raise."""
+        kind = self.kinds[config.get("type")]
+        settings = kind.typed(config)
+        if kind.tables is not None:
+            return kind.tables(self.spark, settings)
         if config.get("type") == "parquet":
             paths = sorted(Path(config["path"]).glob("*.parquet"))
             return {p.stem: self.spark.read.parquet(str(p)) for p in paths}
@@ -336,6 +344,7 @@ class Domain:
             if self.store.is_indexed(source, ALGORITHM, digest) and not override:
                 return Result(source, SKIPPED, "already indexed")
             chunks = self.chunks(source)
+            self.store.models.ensure("own", "hashing", self.dim)
             self.store.persist(chunks, source, ALGORITHM, digest, embedded(chunks, self.embed, self.dim), "own", "hashing", self.dim, override)
             return Result(source, OK)
 
@@ -377,12 +386,20 @@ class Domain:
             df.createOrReplaceTempView(name)
         return run_sql(self.spark, sql, params, read_only)
 
+    def typed_context(self, source: str) -> dict:
+        """The context of a source that has tables; a file's raises."""
+        context = self.context(source)
+        if context.get("datasource_type") == "file" or "tables" not in context:
+            raise ValueError(f"{source} holds no tables")
+        self.kinds[context["datasource_type"]]
+        return context
+
     def browse(self, source: str) -> dict[str, str | None]:
         """Tables of a source with their descriptions."""
-        return {t["name"]: t.get("description") for t in self.context(source).get("tables", [])}
+        return {t["name"]: t.get("description") for t in self.typed_context(source)["tables"]}
 
     def table_details(self, source: str, name: str) -> dict:
-        tables = {t["name"]: t for t in self.context(source).get("tables", [])}
+        tables = {t["name"]: t for t in self.typed_context(source)["tables"]}
         if name not in tables:
             raise ValueError(f"no table {name}; there are {', '.join(sorted(tables))}")
         return tables[name]

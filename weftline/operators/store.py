@@ -13,7 +13,7 @@ import re
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.postings import Postings
@@ -21,6 +21,7 @@ from weftline.operators.postings import Postings
 HASHES = "datasource_id string, hash_algorithm string, hash string, hashed_at timestamp, version string"
 CHUNKS = "chunk_id bigint, datasource_id string, full_type string, chunk_type string, embeddable_text string, display_text string, keyword_index_text string, hash string, version string"
 VECTORS = "chunk_id bigint, datasource_id string, hash string, version string, vec array<float>"
+MODELS = "embedder string, model_id string, dim int, table_name string, said_at timestamp, version string"
 SHARD_NAME = re.compile(r"embedding_[a-z0-9_]+")
 
 
@@ -41,6 +42,60 @@ def current(rows: DataFrame, allowed: DataFrame) -> DataFrame:
     return rows.join(allowed.select("datasource_id", "hash").distinct(), ["datasource_id", "hash"], "left_semi")
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
+
+
+class ModelRegistry:
+    """Embedding models by embedder and id, with their dimension and vector table; every change is a row, the latest counts."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @property
+    def models(self) -> DataFrame:
+        """(embedder, model_id, dim, table_name) of the models that are there."""
+        rows = read_or_empty(self.spark, self.path, MODELS)
+        last = rows.groupBy("embedder", "model_id").agg(F.max(F.struct("said_at", "version", "dim", "table_name")).alias("last"))
+        return last.where("last.dim is not null").select("embedder", "model_id", "last.dim", "last.table_name")
+
+    def get(self, embedder: str, model_id: str) -> Row | None:
+        return self.models.where((F.col("embedder") == embedder) & (F.col("model_id") == model_id)).first()
+
+    def create(self, embedder: str, model_id: str, dim: int, table_name: str | None = None) -> Row:
+        """Register a model; one that is there already, or a name that no vector table may have, raises."""
+        name = shard_name(embedder, model_id) if table_name is None else table_name
+        if not SHARD_NAME.fullmatch(name):
+            raise ValueError(f"no name of a vector table: {name!r}")
+        if self.get(embedder, model_id) is not None:
+            raise ValueError(f"{embedder} {model_id} is registered already")
+        self._say(embedder, model_id, dim, name)
+        return Row(embedder=embedder, model_id=model_id, dim=dim, table_name=name)
+
+    def ensure(self, embedder: str, model_id: str, dim: int) -> Row:
+        """The model as registered, now or before; another dimension raises."""
+        found = self.get(embedder, model_id) or self.create(embedder, model_id, dim)
+        if found.dim != dim:
+            raise ValueError(f"{embedder} {model_id} has {found.dim} components, not {dim}")
+        return found
+
+    def delete(self, embedder: str, model_id: str) -> int:
+        """Take a model out; how many were there."""
+        if self.get(embedder, model_id) is None:
+            return 0
+        self._say(embedder, model_id, None, None)
+        return 1
+
+    def _say(self, embedder: str, model_id: str, dim: int | None, name: str | None) -> None:
+        row = (embedder, model_id, dim, name, datetime.now(timezone.utc), uuid.uuid4().hex)
+        self.spark.createDataFrame([row], MODELS).coalesce(1).write.mode("append").parquet(self.path)
+
+
 class ChunkStore:
     """Tables under one folder: ``hashes``, ``chunks``, the keyword index and a vector table for each model."""
 
@@ -48,12 +103,11 @@ class ChunkStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], schema)
-            raise
+        return read_or_empty(self.spark, f"{self.root}/{name}", schema)
+
+    @property
+    def models(self) -> ModelRegistry:
+        return ModelRegistry(self.spark, f"{self.root}/models")
 
     @property
     def hashes(self) -> DataFrame:

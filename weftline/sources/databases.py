@@ -14,6 +14,7 @@ URLS = {
     "mssql": ("jdbc:sqlserver://{host}:{port};databaseName={database}", 1433),
     "clickhouse": ("jdbc:clickhouse://{host}:{port}/{database}", 8123),
     "snowflake": ("jdbc:snowflake://{host}:{port}/?db={database}", 443),
+    "bigquery": ("jdbc:bigquery://{host}:{port};ProjectId={database}", 443),
     "athena": ("jdbc:athena://{host}:{port};Catalog={database}", 443),
     "duckdb": ("jdbc:duckdb:{database}", 0),
     "sqlite": ("jdbc:sqlite:{database}", 0),

@@ -9,8 +9,10 @@ they describe: a row a column.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from contextlib import closing
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -189,7 +191,11 @@ from sys.objects o left join sys.extended_properties p on p.class = 1 and p.majo
 where o.type in ('U', 'V') and o.is_ms_shipped = 0
 """,
     "columns": """
-select schema_name(o.schema_id) as schema_name, o.name as table_name, c.column_id as ordinal_position, c.name as column_name, type_name(c.user_type_id) as data_type,
+select schema_name(o.schema_id) as schema_name, o.name as table_name, c.column_id as ordinal_position, c.name as column_name,
+       type_name(c.user_type_id) + case
+         when type_name(c.system_type_id) in ('varchar', 'char', 'varbinary', 'binary') then '(' + case c.max_length when -1 then 'max' else cast(c.max_length as varchar(10)) end + ')'
+         when type_name(c.system_type_id) in ('nvarchar', 'nchar') then '(' + case c.max_length when -1 then 'max' else cast(c.max_length / 2 as varchar(10)) end + ')'
+         when type_name(c.system_type_id) in ('decimal', 'numeric') then '(' + cast(c.precision as varchar(10)) + ',' + cast(c.scale as varchar(10)) + ')' else '' end as data_type,
        case when c.is_nullable = 1 then 'yes' else 'no' end as is_nullable, coalesce(k.definition, d.definition) as default_expression,
        case when c.is_identity = 1 then 'identity' when c.is_computed = 1 then 'computed' end as generated, cast(p.value as nvarchar(4000)) as description
 from sys.columns c join sys.objects o on o.object_id = c.object_id
@@ -226,6 +232,53 @@ from system.columns
     "indexes": "select database as schema_name, table as table_name, name as index_name, 1 as position, expr, 'no' as is_unique, type as method from system.data_skipping_indices",
 }
 
+SNOWFLAKE = {
+    "relations": """
+select table_schema as schema_name, table_name, comment as description,
+       case table_type when 'VIEW' then 'view' when 'MATERIALIZED VIEW' then 'materialized_view' when 'EXTERNAL TABLE' then 'external_table' else 'table' end as kind
+from {part}.information_schema.tables
+""",
+    "columns": """
+select table_schema as schema_name, table_name, ordinal_position, column_name, data_type, is_nullable, column_default as default_expression,
+       case is_identity when 'YES' then 'identity' end as "generated", comment as description
+from {part}.information_schema.columns
+""",
+}
+
+BIGQUERY_KEYS = """
+select k.table_schema as schema_name, k.table_name, k.constraint_name, k.ordinal_position as position, k.column_name
+from {part}.INFORMATION_SCHEMA.TABLE_CONSTRAINTS c
+join {part}.INFORMATION_SCHEMA.KEY_COLUMN_USAGE k on k.constraint_schema = c.constraint_schema and k.constraint_name = c.constraint_name
+where c.constraint_type = 'PRIMARY KEY'
+"""
+BIGQUERY = {
+    "relations": """
+select table_schema as schema_name, table_name,
+       case table_type when 'VIEW' then 'view' when 'MATERIALIZED VIEW' then 'materialized_view' when 'EXTERNAL' then 'external_table' when 'SNAPSHOT' then 'snapshot' when 'CLONE' then 'clone' else 'table' end as kind
+from {part}.INFORMATION_SCHEMA.TABLES
+""",
+    "columns": """
+select c.table_schema as schema_name, c.table_name, c.ordinal_position, c.column_name, c.data_type, c.is_nullable, nullif(c.column_default, 'NULL') as default_expression,
+       case c.is_generated when 'ALWAYS' then 'computed' end as generated, f.description
+from {part}.INFORMATION_SCHEMA.COLUMNS c
+left join {part}.INFORMATION_SCHEMA.COLUMN_FIELD_PATHS f on f.table_name = c.table_name and f.field_path = c.column_name
+""",
+    "primary_keys": BIGQUERY_KEYS,
+    # a foreign key names the table it points to; which of its columns, its position in that table's primary key says
+    "foreign_keys": f"""
+with pk as ({BIGQUERY_KEYS}),
+target as (select distinct constraint_name, table_schema, table_name from {{part}}.INFORMATION_SCHEMA.CONSTRAINT_COLUMN_USAGE)
+select k.table_schema as schema_name, k.table_name, k.constraint_name, k.ordinal_position as position, k.column_name as from_column,
+       t.table_schema as ref_schema, t.table_name as ref_table, pk.column_name as to_column, case c.enforced when 'YES' then 'true' else 'false' end as enforced
+from {{part}}.INFORMATION_SCHEMA.TABLE_CONSTRAINTS c
+join {{part}}.INFORMATION_SCHEMA.KEY_COLUMN_USAGE k on k.constraint_schema = c.constraint_schema and k.constraint_name = c.constraint_name
+join target t on t.constraint_name = c.constraint_name
+left join pk on pk.schema_name = t.table_schema and pk.table_name = t.table_name and pk.position = k.position_in_unique_constraint
+where c.constraint_type = 'FOREIGN KEY'
+""",
+    "partitions": "select table_schema as schema_name, table_name, 'column' as partitioning_strategy, 1 as position, column_name from {part}.INFORMATION_SCHEMA.COLUMNS where is_partitioning_column = 'YES'",
+}
+
 DIALECTS = {
     "sqlite": SQLITE,
     "duckdb": DUCKDB,
@@ -234,6 +287,13 @@ DIALECTS = {
     "mssql": MSSQL,
     "clickhouse": CLICKHOUSE,
     "athena": {k: STANDARD[k] for k in ("relations", "columns")},
+    "snowflake": SNOWFLAKE,
+    "bigquery": BIGQUERY,
+}
+#: Dialects whose catalog is one a database or data set: how these are listed; queries stand for each of them with its name for {part}.
+PARTS = {
+    "snowflake": "select database_name as part from information_schema.databases",
+    "bigquery": "select schema_name as part from INFORMATION_SCHEMA.SCHEMATA",
 }
 
 # Schemas that hold a database's own catalog.
@@ -247,26 +307,38 @@ SYSTEM_SCHEMAS = {
     "clickhouse": ("information_schema", "system"),
     "duckdb": ("information_schema", "pg_catalog"),
     "athena": ("information_schema",),
+    "snowflake": ("information_schema",),
+    "bigquery": ("information_schema",),
 }
 
 
-def components(spark: SparkSession, dialect: str, read: Reader) -> dict[str, DataFrame]:
+def per_part(read: Reader, query: str, parts: list[str]) -> DataFrame:
+    """One catalog query for each database or data set, all rows together; names that are no plain identifiers raise, since they go into the query."""
+    if bad := [p for p in parts if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_$-]*", p)]:
+        raise ValueError(f"names that can't be put into a query: {', '.join(bad)}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read(query.replace("{part}", p)) for p in parts])
+
+
+def components(spark: SparkSession, dialect: str, read: Reader, parts: list[str] | None = None) -> dict[str, DataFrame]:
     """The rows of every component in the contract's columns and types.
 
     A component that the dialect's catalog doesn't have is empty, and a column that its
-    query doesn't give is null. Rows of the database's own schemas are left out.
+    query doesn't give is null. Rows of the database's own schemas are left out. parts: the
+    databases or data sets of a dialect that has a catalog for each; all that are listed if left out.
     """
     if dialect not in DIALECTS:
         raise ValueError(f"no catalog queries for {dialect}; there are {', '.join(sorted(DIALECTS))}")
     hidden = SYSTEM_SCHEMAS.get(dialect, ())
+    if dialect in PARTS and parts is None:
+        parts = [r[0] for r in read(PARTS[dialect]).collect() if r[0].lower() not in hidden]  # a row a database or data set
     out = {}
     for name, columns in CONTRACT.items():
         schema = f"schema_name string, table_name string, {columns}"
         query = DIALECTS[dialect].get(name)
-        if query is None:
+        if query is None or dialect in PARTS and not parts:
             out[name] = spark.createDataFrame([], schema)
             continue
-        found = read(query)
+        found = per_part(read, query, parts) if dialect in PARTS else read(query)
         known = {c.lower(): c for c in found.columns}
         wanted = [f.strip().split(" ") for f in schema.split(",")]
         rows = found.select(*[(F.col(f"`{known[c]}`") if c in known else F.lit(None)).cast(t).alias(c) for c, t in wanted])

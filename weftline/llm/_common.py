@@ -7,6 +7,8 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,20 +31,46 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_made: ContextVar[list[str] | None] = ContextVar("weftline_made", default=None)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later stages start from the files, so a lost executor never makes an expensive
-    step run again. The folder goes when the driver's Python ends.
+    step run again. The folder goes when the driver's Python ends, or with ``drop``.
     """
+    return cut_at(df)[0]
+
+
+def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``cut``, with the folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(drop, spark, path)
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def cut_alone(work: Callable[[], DataFrame]) -> DataFrame:
+    """``cut`` of what ``work`` gives; the tables that it has cut on its way go then, for only the result reads them."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        out, own = cut_at(work())
+    finally:
+        _made.reset(token)
+    for path in made:
+        if path != own:
+            drop(out.sparkSession, path)
+    if (outer := _made.get()) is not None:
+        outer.append(own)
+    return out
+
+
+def drop(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

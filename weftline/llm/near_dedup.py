@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import blocks, cut
+from weftline.llm._common import blocks, cut, cut_alone, cut_at, drop
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 40, 5  # at similarity 0.8 a pair shares no band with probability 1.3e-7
@@ -419,28 +419,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     picked = picked.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    held = cut(features(picked, width, bands, rows))
-    live = held.where("doc_id is not null and key is not null")
+    wide, at = cut_at(features(picked, width, bands, rows))
+    held = cut(wide.select("doc_id", "n_shingles", "key"))
+    live = wide.where("doc_id is not null and key is not null")
     # equal sets have equal signatures, so any row's will do; the written numbers stay as they are
     first = [F.first(c).alias(c) for c in ("n_shingles", "bands", "sig")]
     classes = live.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("row"), *first).select("key", F.col("row.doc_id").alias("least"), "row.h", "n_shingles", "bands", "sig")
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    drop(docs.sparkSession, at)  # the classes have what is read from here on
+    live = held.where("doc_id is not null and key is not null")
     n = bands * rows
 
-    edges, labels = cut(one_document(live, classes)), None
+    edges, labels = cut_alone(lambda: one_document(live, classes)), None
     banded = classes.select("cid", F.explode("bands").alias("bucket"))
     met = banded.groupBy("bucket").agg(F.min("cid").alias("centre"), F.count("*").alias("n")).where("n > 1")
     buckets = cut(banded.join(met.select("bucket", "centre"), "bucket"))
     stars = buckets.where("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
     for turn in range(STARS):
-        found = cut(confirmed(similar(stars, classes, percent, n, miss), classes, picked, width, percent))
+        found = cut_alone(lambda: confirmed(similar(stars, classes, percent, n, miss), classes, picked, width, percent))  # noqa: B023
         edges, labels = edges.unionByName(found), within_two(found, labels)
-        buckets = cut(unsettled(buckets, labels))
+        buckets = cut_alone(lambda: unsettled(buckets, labels))  # noqa: B023
         if buckets.isEmpty():
             break
         stars = star(buckets, turn)
     else:
-        edges = edges.unionByName(across(buckets, classes, picked, width, percent, n, miss, group))
+        edges = edges.unionByName(cut_alone(lambda: across(buckets, classes, picked, width, percent, n, miss, group)))
     labels = components(edges, labels)
 
     ends = labelled(classes.select("key", "cid", "least"), labels)

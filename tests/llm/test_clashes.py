@@ -1,16 +1,19 @@
 """Odd columns, foreign and repeated labels, short texts: what a round's verdict found."""
 
+import hashlib
 import sys
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 
-from weftline.llm import exact_dedup, language_id, packing, sharding, toxicity  # noqa: E402
+from weftline.llm import byte_bpe, exact_dedup, language_id, near_dedup, packing, sharding, toxicity  # noqa: E402
 
 ODD = "doc_id bigint, text string, _id string, _key string, _no_id string, _gone bigint, key int, id int, row int, `a.b` int, m map<string,int>, tags array<int>"
 
@@ -27,10 +30,37 @@ def test_dedup_leaves_other_columns_alone(spark):
 
 def test_without_takes_any_column_name(spark):
     docs = odd(spark, [(1, "a"), (2, "b"), (None, "c")])
-    left = corpus_pipeline.without(docs, docs.where("doc_id = 2").select("doc_id"))
+    left = corpus_pipeline.without(docs, docs.where("doc_id = 2").select(corpus_pipeline.row_key("text").alias("key")), "text")
     assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == ["a", "c"]
 
 
+def test_rows_that_share_an_id_or_have_none_go_by_themselves(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text), (1, "another text about something else that stays"), (None, text + " more"), (None, "a text of its own without any id here"), (3, "one two three four five six " + text)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id bigint, text string, lang string, source string")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(0, rows[3][1]), (1, rows[1][1]), (1, text)])
+    mixed = docs.unionByName(spark.createDataFrame([(1, "12345 67 89", "en", "s"), (None, "... !!!", "en", "s")], docs.schema))
+    left = corpus_pipeline.drop_unidentified(spark, mixed, "")
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted((i or 0, t) for i, t in rows)
+
+
+def test_texts_that_are_not_utf8(spark):
+    raw = [b"some bad \xff\xfe bytes \xc3 here and more words that follow", b"\xff", b"null id \xf0\x9f words", b"plain words only", "caf\u00e9 caf\u00e9".encode()]
+    docs = spark.createDataFrame([(k if k != 2 else None, bytearray(t), "en", "s", k % 2) for k, t in enumerate(raw)], "doc_id bigint, b binary, lang string, source string, toxic int")
+    docs = docs.selectExpr("doc_id", "cast(b as string) as text", "lang", "source", "toxic")
+    assert sorted(r.n_shingles for r in near_dedup.near_duplicates(docs, width=2).collect()) == sorted([len(set(zip(t.split(), t.split()[1:]))) or 1 for t in raw])
+    assert language_id.identify(language_id.of_documents(docs)).count() == len(raw)
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    assert toxicity.score(docs, model).count() == len(raw) and 0 < toxicity.keep_clean(docs, model).count() <= len(raw)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted(r.doc_tokens for r in packed) == sorted(len(library.encode(t.decode(errors="replace"), add_special_tokens=False).ids) + 1 for t in raw)
+    found = byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert sorted(r.decoded_sha256 for r in found) == sorted(hashlib.sha256(t.decode(errors="replace").encode()).hexdigest() for t in raw)
+
+
 def test_sharding_of_maps(spark):
     docs = odd(spark, [(i, "x" * (i % 7)) for i in range(90)])
     found = [sorted((r.shard, r.slot, r.doc_id, r.m["y"]) for r in sharding.shard(sharding.sized(docs), 4).collect()) for _ in range(2)]

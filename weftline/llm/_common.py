@@ -100,6 +100,16 @@ def release() -> None:
         pass
 
 
+def utf8(texts):
+    """An Arrow array of strings or bytes as valid strings: bytes that aren't UTF-8 are replaced by U+FFFD, all else stays as it is."""
+    import pyarrow as pa
+
+    try:
+        return texts.cast(pa.binary()).cast(pa.string())  # checks the bytes
+    except pa.ArrowInvalid:
+        return pa.array([None if t is None else t.decode(errors="replace") for t in texts.cast(pa.binary()).to_pylist()], pa.string())
+
+
 def blocks(batch, column: str, limit: int):
     """Slices of an Arrow batch of at most about ``limit`` bytes of a binary or string column; one row at least."""
     import pyarrow.compute as pc

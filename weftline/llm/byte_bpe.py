@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import blocks
+from weftline.llm._common import blocks, utf8
 from weftline.llm.bpe import MergeTable, replay_bytes
 
 # The characters with Unicode's White_Space property.
@@ -84,13 +84,15 @@ class ByteBPE:
 
         The chunks of the block are looked up as a dictionary, so Python sees each
         distinct chunk once; those that stand twice or more are kept for later blocks.
+        Bytes that aren't UTF-8 are replaced by U+FFFD.
         """
         if len(self.chunks) > CACHED_CHUNKS:
             self.chunks.clear()
-        raw = texts.to_pylist()
+        texts = utf8(texts)
+        raw = texts.cast(pa.binary()).to_pylist()
         whole = np.array([self.plain(t) for t in raw], bool)
         # texts that need the pattern throughout count as one chunk: the head, which has no leading blank
-        parted = pc.split_pattern(pc.if_else(pa.array(whole), texts.cast(pa.string()), ""), " ")
+        parted = pc.split_pattern(pc.if_else(pa.array(whole), texts, ""), " ")
         flat = parted.flatten().dictionary_encode()
         codes, firsts = flat.indices.to_numpy().copy(), parted.offsets.to_numpy()[:-1] - parted.offsets[0].as_py()
         common = np.bincount(codes, minlength=len(flat.dictionary)) > 1

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import blocks, cut
+from weftline.llm._common import blocks, cut, utf8
 
 LABELLED = 1_500  # texts of each declared language that training takes at most
 CELLS = 1 << 16  # trigram cells at most; a language code has two or three letters, so there are at most 18,252 languages,
@@ -93,7 +93,7 @@ def train(rows: DataFrame, limit: int = LABELLED) -> TextModel:
         for batch in batches:
             for part in blocks(batch, "text", BLOCK_BYTES):
                 sums: dict[str, np.ndarray] = {}
-                for tag, text in zip(part.column("declared").to_pylist(), part.column("text").to_pylist()):
+                for tag, text in zip(part.column("declared").to_pylist(), utf8(part.column("text")).to_pylist()):
                     raw = cleaned(text or "")
                     if len(raw) > 2:
                         found = np.bincount(trigram_cells(np.frombuffer(raw, np.uint8), n_cells), minlength=n_cells)
@@ -151,7 +151,8 @@ def identify(rows: DataFrame, least: float = LEAST, strength: float = STRENGTH,
     the two levels of the prior; each may be null and then says nothing. language is
     ``und`` without letters or without any declared language to learn from; of equally
     likely languages the first in alphabetical order is given. kept says that a language
-    was found with a posterior of at least ``least``. Repeated rows each give a row;
+    was found with a posterior of at least ``least``. An id may have any type that can be
+    hashed, such as a struct; bytes that aren't UTF-8 count as no letters. Repeated rows each give a row;
     other columns are ignored; an empty table gives an empty result.
     """
     spark = rows.sparkSession
@@ -165,13 +166,14 @@ def identify(rows: DataFrame, least: float = LEAST, strength: float = STRENGTH,
         held = shared.value
         for batch in batches:
             for part in blocks(batch, "text", BLOCK_BYTES):
-                scores = held.scores(part.column("text").to_pylist())
+                scores = held.scores(utf8(part.column("text")).to_pylist())
                 some = (scores != 0).any(axis=1)
                 best = pa.array(scores.argmax(axis=1) if n else np.zeros(len(scores), np.int64), pa.int32(), mask=~some)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1) * n, pa.int32()), pa.array(scores.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("id", "declared", "suffix", "host", "site")] + [flat, best], names=["id", "declared", "suffix", "host", "site", "scores", "guess"])
 
-    schema = "id bigint, declared string, suffix string, host string, site string, scores array<double>, guess int"
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, declared string, suffix string, host string, site string, scores array<double>, guess int"
     scored = cut(rows.select("id", "declared", "suffix", "host", "site", "text").mapInArrow(read_text, schema))
     if not n:
         return scored.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), "declared", F.lit(False).alias("kept"))
@@ -200,7 +202,7 @@ def identify(rows: DataFrame, least: float = LEAST, strength: float = STRENGTH,
             yield pa.RecordBatch.from_arrays([batch.column("id"), language, pa.array(posterior), batch.column("declared"), pa.array(known & (posterior >= least))], names=["id", "language", "posterior", "declared", "kept"])
 
     needed = joined.select("id", "declared", "guess", "scores", "of_declared", "of_suffix", "of_site", "of_host")
-    return needed.mapInArrow(fuse, "id bigint, language string, posterior double, declared string, kept boolean")
+    return needed.mapInArrow(fuse, f"id {kind}, language string, posterior double, declared string, kept boolean")
 
 
 def host_levels(host: F.Column) -> dict[str, F.Column]:
@@ -209,10 +211,10 @@ def host_levels(host: F.Column) -> dict[str, F.Column]:
     return {"suffix": F.when(dotted, F.substring_index(host, ".", -1)), "host": host, "site": F.when(dotted, F.substring_index(host, ".", -2))}
 
 
-def of_documents(docs: DataFrame) -> DataFrame:
-    """Documents as rows to identify: the lang column is what is declared, the source is the host; a source without dots has no suffix and no site."""
+def of_documents(docs: DataFrame, key: F.Column | None = None) -> DataFrame:
+    """Documents as rows to identify, by doc_id or another key: the lang column is what is declared, the source is the host; a source without dots has no suffix and no site."""
     host = F.nullif(F.lower(F.trim("source")), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text", F.col("lang").alias("declared"), *(c.alias(k) for k, c in host_levels(host).items()))
+    return docs.select((F.col("doc_id").cast("bigint") if key is None else key).alias("id"), "text", F.col("lang").alias("declared"), *(c.alias(k) for k, c in host_levels(host).items()))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:

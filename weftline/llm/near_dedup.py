@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weftline.llm._common import blocks, cut, cut_alone, cut_at, drop
 
@@ -53,8 +54,9 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 
     A-Z are lower-cased; words are runs of anything but blank and \\t to \\r. With fewer
     words than the width the whole sequence is one shingle; without words there is none.
+    Texts are bytes, valid UTF-8 or not.
     """
-    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.binary()).view(pa.string())))
     parted = pc.ascii_split_whitespace(trimmed)
     flat = parted.flatten().dictionary_encode()
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, flat.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(flat.dictionary))
@@ -102,7 +104,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-FEATURES = "doc_id bigint, h bigint, n_shingles bigint, key binary, bands array<bigint>, sig binary"
+FEATURES = "h bigint, n_shingles bigint, key binary, bands array<bigint>, sig binary"
 
 
 def features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -127,7 +129,7 @@ def features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     names=["doc_id", "h", "n_shingles", "key", "bands", "sig"],
                 )
 
-    return docs.mapInArrow(run, FEATURES)
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FEATURES}")
 
 
 def least_matches(percent: int, n: int, miss: float = MISS) -> list[tuple[int, int]]:
@@ -414,10 +416,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable over links; the document of that id is
     kept. Null and empty texts have no shingles and no links. A row with a null id takes
     no part: its component_id is null and it is kept. Rows that repeat an id are one
-    document: what is linked with any of their texts is linked with all. Other columns
+    document: what is linked with any of their texts is linked with all. An id may be a
+    struct, such as a row's key. Texts are compared as bytes, valid UTF-8 or not. Other columns
     are ignored; very long texts are compared whole; an empty table gives an empty result.
     """
-    picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    own = F.col(id_col) if isinstance(docs.schema[id_col].dataType, StructType) else F.col(id_col).cast("bigint")
+    picked = docs.select(own.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     picked = picked.select("doc_id", F.xxhash64("text").alias("h"), "text")
     wide, at = cut_at(features(picked, width, bands, rows))
     held = cut(wide.select("doc_id", "n_shingles", "key"))

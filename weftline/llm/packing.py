@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._common import blocks, cut, release
+from weftline.llm._common import blocks, cut, release, utf8
 from weftline.llm.bpe import MergeTable, replay_bytes
 from weftline.llm.byte_bpe import gather
 
@@ -107,11 +107,11 @@ class WordBPE:
         return out
 
     def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and their number for each text."""
+        """Ids of all texts one after another, and their number for each text; bytes that aren't UTF-8 are replaced by U+FFFD."""
         if len(self.chunks) > CACHED_CHUNKS:
             self.chunks.clear()
         plain, odd = [], {}
-        for i, raw in enumerate(texts.to_pylist()):
+        for i, raw in enumerate(utf8(texts).cast(pa.binary()).to_pylist()):
             if b"<|" in raw and self.special.search(raw.decode()) or not raw.isascii() and re.search("[Σİ]", raw.decode()):
                 odd[i] = raw.decode()
                 plain.append(b"")

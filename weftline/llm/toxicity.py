@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import blocks, cut
+from weftline.llm._common import blocks, cut, utf8
 
 LABELLED = 8_000  # labelled documents of each label that training takes at most
 FEATURES = 4_096
@@ -30,8 +30,8 @@ APART = r"[^\pL]+"
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(distinct words, the place there of each word of the texts one after another, number of words of each text); words are runs of letters, lower-cased."""
-    clear = pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.string())), APART, " ")
+    """(distinct words, the place there of each word of the texts one after another, number of words of each text); words are runs of letters, lower-cased; bytes that aren't UTF-8 part words."""
+    clear = pc.replace_substring_regex(pc.utf8_lower(utf8(texts)), APART, " ")
     parted = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(clear))
     flat = parted.flatten().dictionary_encode()
     return flat.dictionary.to_pylist(), flat.indices.to_numpy(), np.diff(parted.offsets.to_numpy())

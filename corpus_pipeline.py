@@ -3,7 +3,8 @@
 Five stages, each over all that the one before has kept: toxic documents go, documents
 without an identifiable language go, of equal texts one stays, of near-duplicates one
 stays, and what is left is packed. Every stage but the last returns the columns of its
-input; a repeated row of a null or repeated doc_id is treated as its operator says.
+input, and decides row by row: a row without a doc_id, or with one that others have too,
+goes or stays by itself.
 """
 
 from __future__ import annotations
@@ -17,14 +18,22 @@ from weftline.llm._common import cut, read
 from weftline.session import reachable
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't among ``ids``; null ids stay.
+def row_key(*columns: str) -> F.Column:
+    """What tells a row from others, and orders rows by doc_id with null ids last; ``columns`` are what its stage decides by."""
+    own = F.col("doc_id").cast("bigint")
+    return F.struct(own.isNull().alias("none"), own.alias("doc_id"), F.xxhash64(*columns).alias("h"))
 
-    The ids are written first, so Spark knows their size when it plans the join: within
+
+def without(docs: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``docs`` whose ``row_key`` of ``columns`` isn't among the column key of ``keys``.
+
+    The keys are written first, so Spark knows their size when it plans the join: within
     its broadcast threshold the documents aren't shuffled, beyond it they are.
     """
-    gone = cut(ids.select(F.col("doc_id").alias("gone")).distinct()).alias("other")
-    return docs.alias("own").join(gone, F.col("own.doc_id") == F.col("other.gone"), "left_anti")
+    gone = cut(keys.select(F.col("key.doc_id").alias("gone"), F.col("key.h").alias("h")).distinct()).alias("other")
+    own = F.col("own.doc_id").cast("bigint")
+    same = (F.xxhash64(*(F.col(f"own.{c}") for c in columns)) == F.col("other.h")) & own.eqNullSafe(F.col("other.gone"))
+    return docs.alias("own").join(gone, same, "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +43,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found with enough certainty stay."""
-    found = language_id.identify(language_id.of_documents(docs))
-    return without(docs, found.where("not kept").withColumnRenamed("id", "doc_id"))
+    by = ("text", "lang", "source")
+    found = language_id.identify(language_id.of_documents(docs, row_key(*by)))
+    return without(docs, found.where("not kept").withColumnRenamed("id", "key"), *by)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +55,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at a similarity of 0.8 on five-word shingles the one with the smallest doc_id stays."""
-    return without(docs, near_dedup.near_duplicates(docs).where("not kept"))
+    found = near_dedup.near_duplicates(docs.select(row_key("text").alias("key"), "text"), "key")
+    return without(docs, found.where("not kept"), "text")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

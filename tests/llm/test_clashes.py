@@ -101,3 +101,18 @@ def test_short_pieces_go_through_the_linear_program():
     used = packing.column_generation(sizes, demand, 2048)
     assert (sum(p * n for p, n in used) == demand).all() and all((p * sizes).sum() <= 2048 for p, _ in used)
     assert sum(n for _, n in used) <= -(-int((sizes * demand).sum()) // 2048) + len(sizes)
+
+
+def test_batches_to_python_are_bounded(spark):
+    from weftline.llm._common import BATCH_BYTES, BATCH_LIMIT, small_batches
+
+    set_before = spark.conf.get(BATCH_LIMIT, "1").rstrip("b")
+    spark.conf.set(BATCH_LIMIT, "1m")
+    small_batches(spark.range(1))
+    assert spark.conf.get(BATCH_LIMIT) == "1m"
+    spark.conf.unset(BATCH_LIMIT)
+    rows = small_batches(spark.range(3000, numPartitions=1).selectExpr("repeat('x', 8192) as text"))
+    sizes = rows.mapInArrow(lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches), "n bigint").collect()
+    assert len(sizes) > 2 and max(r.n for r in sizes) < 2 * BATCH_BYTES
+    if set_before != "1":
+        spark.conf.set(BATCH_LIMIT, set_before)

@@ -13,6 +13,9 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can read: the session's ``spark.checkpoint.dir``.
@@ -110,6 +113,18 @@ def utf8(texts):
         return pa.array([None if t is None else t.decode(errors="replace") for t in texts.cast(pa.binary()).to_pylist()], pa.string())
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose rows reach Python in Arrow batches of about BATCH_BYTES, where the session names no limit of its own.
+
+    A batch is held by the JVM and by the worker at once, so this bounds a task's memory
+    on both sides; the limit is a setting of the session.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_LIMIT, "1").rstrip("b") == "1":  # what stands for unset must be a valid limit
+        conf.set(BATCH_LIMIT, BATCH_BYTES)
+    return df
+
+
 def blocks(batch, column: str, limit: int):
     """Slices of an Arrow batch of at most about ``limit`` bytes of a binary or string column; one row at least."""
     import pyarrow.compute as pc

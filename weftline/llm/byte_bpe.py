@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import blocks, utf8
+from weftline.llm._common import blocks, small_batches, utf8
 from weftline.llm.bpe import MergeTable, replay_bytes
 
 # The characters with Unicode's White_Space property.
@@ -201,4 +201,4 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    return small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))

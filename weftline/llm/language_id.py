@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import blocks, cut, utf8
+from weftline.llm._common import blocks, cut, small_batches, utf8
 
 LABELLED = 1_500  # texts of each declared language that training takes at most
 CELLS = 1 << 16  # trigram cells at most; a language code has two or three letters, so there are at most 18,252 languages,
@@ -156,7 +156,7 @@ def identify(rows: DataFrame, least: float = LEAST, strength: float = STRENGTH,
     other columns are ignored; an empty table gives an empty result.
     """
     spark = rows.sparkSession
-    rows = rows.withColumn("declared", normal_tag(F.col("declared")))
+    rows = small_batches(rows).withColumn("declared", normal_tag(F.col("declared")))
     model = train(rows, limit)
     shared = spark.sparkContext.broadcast(model)
     languages = model.languages

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weftline.llm._common import blocks, cut, cut_alone, cut_at, drop
+from weftline.llm._common import blocks, cut, cut_alone, cut_at, drop, small_batches
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 40, 5  # at similarity 0.8 a pair shares no band with probability 1.3e-7
@@ -129,7 +129,7 @@ def features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     names=["doc_id", "h", "n_shingles", "key", "bands", "sig"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FEATURES}")
+    return small_batches(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FEATURES}")
 
 
 def least_matches(percent: int, n: int, miss: float = MISS) -> list[tuple[int, int]]:

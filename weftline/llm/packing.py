@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._common import blocks, cut, release, utf8
+from weftline.llm._common import blocks, cut, release, small_batches, utf8
 from weftline.llm.bpe import MergeTable, replay_bytes
 from weftline.llm.byte_bpe import gather
 
@@ -201,7 +201,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
         release()  # the worker waits for its next task with little memory
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return picked.mapInArrow(run, PIECES)
+    return small_batches(picked).mapInArrow(run, PIECES)
 
 
 def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import blocks, cut, utf8
+from weftline.llm._common import blocks, cut, small_batches, utf8
 
 LABELLED = 8_000  # labelled documents of each label that training takes at most
 FEATURES = 4_096
@@ -243,7 +243,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     schema = T.StructType.fromDDL("id bigint, severity double, grade int, p_toxic double, rejected boolean")
     picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return picked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return small_batches(picked).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, least: float = REJECTED) -> DataFrame:
@@ -256,4 +256,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, least: float = REJECTED) -
                 p, some = graded(shared.value, pc.fill_null(part.column("text"), ""))
                 yield part.filter(pa.array(~some | (1 - p[:, 0] < least), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -279,3 +279,17 @@ def test_sums_of_fractions_do_not_depend_on_the_order_of_rows(spark):
     assert (none.s, none.a, some.s) == (None, None, float("inf"))
     lines = spark.createDataFrame([(0.07,)] * 20 + [(0.02,)] * 30, "v double")
     assert len({measures.compiled(lines.repartition(n), declared, []).first().s for n in (1, 3, 7)}) == 1
+
+
+def test_percentiles_count_little_beyond_their_ranks_and_distinct_values_apart(spark, monkeypatch):
+    rows = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.pmod(F.xxhash64("id"), F.lit(100_000)).cast("double").alias("v"), (F.col("id") % 7).alias("k"))
+    declared = [{"name": "n", "agg": "count", "expr": "v"}, {"name": "kinds", "agg": "count_distinct", "expr": "k"}, {"name": "mid", "agg": "median", "expr": "v"}, {"name": "p9", "agg": "percentile", "expr": "v", "agg_params": {"percentile": 0.9, "use_discrete_percentile": True}}]
+    counted, running = [], measures.running
+    monkeypatch.setattr(measures, "running", lambda counts, keys, value: counted.append(counts.count()) or running(counts, keys, value))
+    same = lambda: sorted(tuple(r) for r in measures.compiled(rows, declared, ["g"]).collect())
+    found = same()
+    values = {g: sorted(r.v for r in rows.where(F.col("g") == g).collect()) for g in (0, 1)}
+    assert found == [(g, 10_000, 7, (v[4999] + v[5000]) / 2, v[8999]) for g, v in values.items()]
+    assert len(counted) == 2 and max(counted) < 400  # of 20,000 values
+    monkeypatch.setattr(measures.F, "percentile_approx", lambda c, points, accuracy: F.array(F.max(c), F.max(c)))  # a sketch that is far off
+    assert same() == found

@@ -79,13 +79,17 @@ def approximate_top_values(df: DataFrame, column: str, k: int = 5) -> DataFrame:
 
 
 def running_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value, frequency, before, total): counts of each non-null value, of the smaller ones and of all of its keys.
+    """(keys, value, frequency, before, total): counts of each non-null value, of the smaller ones and of all of its keys."""
+    return running(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("frequency")), keys, value)
+
+
+def running(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``running_counts`` of (keys, value, frequency); a null value comes first.
 
     The counts are dealt by ranges and written, so that each range keeps its number; a
     running count is that within the range plus the counts of the ranges before, of
     which there are as many as shuffle partitions for each key.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("frequency"))
     ranged = written(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy(*keys, "_range").agg(F.sum("frequency").alias("_size"))
     earlier = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_size")
@@ -98,16 +102,18 @@ def running_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """(keys, names): exact percentiles by linear interpolation; groups without a value aren't there.
+    """(keys, names): exact percentiles by linear interpolation; groups without a value aren't there."""
+    return interpolated(running_counts(df, keys, value), keys, value, points)
 
-    Each percentile lies between two ranks, whose values are picked by their running counts.
-    """
+
+def interpolated(counts: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """``percentiles`` from running counts: each lies between two ranks, whose values are picked."""
     at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("frequency")), F.col(value).cast("double")))
     picked = []
     for name, p in points.items():
         place = F.lit(float(p)) * (F.col("total") - 1)
         picked += [F.max(place).alias(f"_place_{name}"), at(F.floor(place)).alias(f"_low_{name}"), at(F.ceil(place)).alias(f"_high_{name}")]
-    found = running_counts(df, keys, value).groupBy(*keys).agg(*picked)
+    found = counts.groupBy(*keys).agg(*picked)
     between = []
     for name in points:
         place, low, high = F.col(f"_place_{name}"), F.col(f"_low_{name}"), F.col(f"_high_{name}")

@@ -117,3 +117,12 @@ def test_stemmed_search(spark):
 
     chunks = spark.createDataFrame([(1, "The hopping customers"), (2, "of the"), (3, None)], "id int, t string").withColumn("t", index_text(F.col("t")))
     assert [r.id for r in keyword_search(chunks, query_text("a customer hops"), "id", "t").collect()] == [1]
+
+
+def test_word_chunks_split_a_text_once(spark):
+    from weftline.operators.chunking import word_chunks
+
+    chunks = word_chunks(spark.createDataFrame([(1, " ".join(map(str, range(130)))), (2, ""), (3, None)], "id int, text string"), "id", "text", 60, 10)
+    assert chunks._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1  # not once for each window
+    found = [(r.id, r.chunk_index, len(r.chunk_content.split())) for r in chunks.orderBy("id", "chunk_index").collect()]
+    assert found == [(1, 0, 60), (1, 50, 60), (1, 100, 30), (2, 0, 0)]

@@ -12,7 +12,9 @@ SHOWN_COLUMNS = 50
 
 def word_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """(id, chunk_index, chunk_content): windows of words, the index is the window's first word's offset. Null texts give nothing."""
-    parts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.explode(windows(words(F.col(text_col)), size, overlap)).alias("w"))
+    # the words are a column first: within the windows they would be split again for each one
+    split = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), words(F.col(text_col)).alias("_words"))
+    parts = split.select(id_col, F.explode(windows(F.col("_words"), size, overlap)).alias("w"))
     return parts.select(id_col, F.col("w.start").alias("chunk_index"), F.array_join("w.window", " ").alias("chunk_content"))
 
 

@@ -114,3 +114,22 @@ def test_query_modes(spark, tmp_path):
     domain.search("boats", query_mode="rewrite").collect()
     domain.search("boats", query_mode="instruct").collect()
     assert asked[0] == "boats\nharbour" and asked[1].startswith("Instruct: ")
+
+
+def test_a_build_makes_no_row_of_a_word(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + k % 26)} the" for k in range(400))) for i in range(200)], "id bigint, t string")
+    index = postings.Postings(spark, str(tmp_path / "i"))
+    with monkeypatch.context() as m:
+        m.setattr(postings.F, "explode", None)  # words are counted within their slot
+        index.append(docs, "id", "t", "one")
+    assert index.postings.where("term = 'the'").agg(F.sum("n"), F.max("max_tf")).first()[:] == (200, 400)
+
+
+def test_terms_are_runs_of_letters_in_any_bytes(spark, tmp_path):
+    texts = ["", None, "Ab1ab", "ÀabÀ K", "x" * 3000, "12 34", "ab", "end", "z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    index = postings.Postings(spark, str(tmp_path / "i"))
+    index.append(docs, "id", "t", "one")
+    found = {(r.term, d.id): (d.tf, d.dl) for r in index.postings.collect() for d in r.docs}
+    assert found == {("ab", 2): (2, 2), ("ab", 3): (1, 2), ("k", 3): (1, 2), ("x" * 3000, 4): (1, 1), ("ab", 6): (1, 1), ("end", 7): (1, 1), ("z", 8): (1, 1)}
+    assert [(r.n, r.total) for r in index.sizes.collect()] == [(9, 8)]

@@ -1,6 +1,6 @@
 """A stored inverted index: keyword search that reads the postings of its terms and no text.
 
-Documents are dealt into slots of similar length; all of a document's postings lie in its
+Documents are dealt into slots of texts of similar size; all of a document's postings lie in its
 slot. A row of the index is one term in one slot: how many of the slot's documents hold it,
 the largest frequency, the shortest of them, and the documents themselves. The rows are
 kept in folders by version and by a hash of the term, so a version is appended without
@@ -17,14 +17,16 @@ from __future__ import annotations
 import zlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.text import tokens
 from weftline.operators.search import B, K1, LIMIT, _query_terms
 
 BUCKETS = 32  # folders of a version by term hash
-SLOT = 512  # documents of a slot, about
+SLOT, SLOT_BYTES = 512, 8 << 20  # documents and bytes of a slot, about
+TASK_BYTES = 32 << 20  # bytes of text for each task of a build, where that gives more tasks than the session has shuffle partitions
 FIRST = 16  # slots that are scored first
 NAMED = 1000  # slots that a filter names; beyond, they are joined
 SLACK = 1 - 1e-9  # sums of the same numbers in another order
@@ -45,6 +47,43 @@ def impact(idf: dict[str, float], tf: Column, dl: Column, mean: float) -> Column
     return rarity * weight(tf.cast("double"), dl, mean)
 
 
+def dealt(rows: DataFrame, tasks: int, *keys) -> DataFrame:
+    """Rows dealt by keys over the session's shuffle partitions, or over ``tasks`` where that is more."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys) if tasks > least else rows.repartition(*keys)
+
+
+def inverted(key: tuple, docs: pa.Table) -> pa.Table:
+    """A slot's rows of the index, from its documents' lower-cased texts; terms are runs of a-z."""
+    texts = docs["text"].combine_chunks().cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    letter = raw - np.uint8(97) < 26
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    starts = ends[:-1][ends[:-1] < len(raw)]
+    begins[starts] = letter[starts]
+    begins = np.flatnonzero(begins)
+    places = np.append(np.cumsum(letter, dtype=np.int32)[begins] - 1, np.count_nonzero(letter)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(begins), pa.py_buffer(places), pa.py_buffer(raw[letter])).dictionary_encode()
+    doc = ends.searchsorted(begins, side="right") - 1
+    lengths = np.bincount(doc, minlength=len(texts)).astype(np.int32)
+    pairs, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(texts) + doc, return_counts=True)
+    term, doc = pairs // len(texts), pairs % len(texts)
+    first = np.flatnonzero(np.diff(term, prepend=-1))
+    lists = pa.array(np.append(first, len(term)), pa.int32())
+    least = np.minimum.reduceat(lengths[doc], first) if len(first) else lengths[:0]
+    most = np.maximum.reduceat(tf, first) if len(first) else tf[:0]
+    columns = {
+        "term": words.dictionary.take(pa.array(term[first])), "slot": pa.array(np.full(len(first), key[0].as_py()), pa.int64()),
+        "n": pa.array(np.diff(np.append(first, len(term))), pa.int64()), "max_tf": pa.array(most, pa.int64()), "min_dl": pa.array(least, pa.int64()),
+        "id": pa.ListArray.from_arrays(lists, docs["id"].combine_chunks().take(pa.array(doc))),
+        "tf": pa.ListArray.from_arrays(lists, pa.array(tf, pa.int32())), "dl": pa.ListArray.from_arrays(lists, pa.array(lengths[doc], pa.int32())),
+    }
+    return pa.table(columns)
+
+
 class Postings:
     """The index under a folder: ``postings`` by version and bucket, ``sizes`` by version.
 
@@ -76,21 +115,30 @@ class Postings:
     def append(self, chunks: DataFrame, id_col: str, text_col: str, version: str) -> None:
         """Add a version's documents. Only its own folders are written.
 
-        A slot is a length class and a hash of the id; how many slots a class has follows
-        from its number of documents, so no slot is much larger than ``SLOT`` and no term,
-        however common, is gathered beyond a slot.
+        A slot is a class of texts of similar size and a hash of the id; how many slots a class
+        has follows from its number of documents and their bytes, so no slot is much larger than
+        ``SLOT`` or ``SLOT_BYTES`` and no term, however common, is gathered beyond a slot. Texts
+        are shuffled once, to their slots, and inverted there; what is shuffled then is the
+        slots' rows, not a row a word.
         """
-        held = chunks.select(F.col(id_col).cast(self.id_type).alias("id"), tokens(F.col(text_col)).alias("t")).withColumn("dl", F.size("t").cast("bigint"))
-        held = held.withColumn("class", F.floor(2 * F.log2(F.col("dl") + 1)).cast("int"))
-        classes = held.groupBy("class").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()  # two rows for each power of two
-        slots = reduce(lambda out, c: out.when(F.col("class") == c["class"], F.lit(-(-c.n // SLOT))), classes, F.when(F.lit(False), F.lit(1)))
-        placed = held.withColumn("slot", F.col("class").cast("bigint") * (1 << 32) + F.pmod(F.xxhash64("id"), slots.cast("bigint")))
-        counted = placed.select("id", "dl", "slot", F.explode("t").alias("term")).groupBy("term", "slot", "id", "dl").agg(F.count("*").alias("tf"))
-        rows = counted.groupBy("term", "slot").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("id", "tf", "dl")).alias("docs"))
-        named = rows.withColumns({"version": F.lit(version), "bucket": bucket(F.col("term"), self.buckets)})
-        dealt = named.repartition("bucket", (F.xxhash64("term", "slot") % 4)).sortWithinPartitions("bucket", "term", "slot")
-        dealt.write.mode("append").partitionBy("version", "bucket").parquet(f"{self.root}/postings")
-        size = (sum(c.n for c in classes), sum(c.total for c in classes), version)
+        size = F.octet_length(F.coalesce(F.col(text_col), F.lit("")))
+        named = F.floor(2 * F.log2(size + 1)).cast("int").alias("class")  # two for each power of two
+        classes = chunks.groupBy(named).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()
+        placed = chunks.select(F.col(id_col).cast(self.id_type).alias("id"), F.col(text_col).alias("_text"), named)
+        slots = reduce(lambda out, c: out.when(F.col("class") == c["class"], F.lit(max(-(-c.n // SLOT), -(-c.bytes // SLOT_BYTES)))), classes, F.when(F.lit(False), F.lit(1)))
+        slot = F.col("class").cast("bigint") * (1 << 32) + F.pmod(F.xxhash64("id"), slots.cast("bigint"))
+        held = placed.select("id", F.lower(F.coalesce("_text", F.lit(""))).cast("binary").alias("text"), slot.alias("slot"))
+        tasks = -(-sum(c.bytes for c in classes) // TASK_BYTES)
+        rows = dealt(held, tasks, "slot").groupBy("slot").applyInArrow(inverted, f"term string, slot bigint, n bigint, max_tf bigint, min_dl bigint, id array<{self.id_type}>, tf array<int>, dl array<int>")
+        folders = rows.withColumns({"version": F.lit(version), "bucket": bucket(F.col("term"), self.buckets)})
+        files = max(4, -(-tasks // self.buckets))  # of each bucket
+        ordered = dealt(folders, tasks, "bucket", F.pmod(F.xxhash64("term", "slot"), F.lit(files))).sortWithinPartitions("bucket", "term", "slot")
+        docs = F.arrays_zip("id", "tf", "dl").cast(f"array<struct<id:{self.id_type},tf:bigint,dl:bigint>>")
+        out = ordered.select("term", "slot", "n", "max_tf", "min_dl", docs.alias("docs"), "version", "bucket")
+        out.write.mode("append").partitionBy("version", "bucket").parquet(f"{self.root}/postings")
+        words = F.aggregate(F.col("docs.tf"), F.lit(0).cast("bigint"), lambda s, tf: s + tf)
+        total = self.postings.where(F.col("version") == version).agg(F.coalesce(F.sum(words), F.lit(0)).alias("total")).first().total
+        size = (sum(c.n for c in classes), total, version)
         self.spark.createDataFrame([size], "n bigint, total bigint, version string").coalesce(1).write.mode("append").partitionBy("version").parquet(f"{self.root}/sizes")
 
     def search(self, question: str, limit: int = LIMIT, versions: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:

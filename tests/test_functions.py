@@ -126,3 +126,26 @@ def test_word_chunks_split_a_text_once(spark):
     assert chunks._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1  # not once for each window
     found = [(r.id, r.chunk_index, len(r.chunk_content.split())) for r in chunks.orderBy("id", "chunk_index").collect()]
     assert found == [(1, 0, 60), (1, 50, 60), (1, 100, 30), (2, 0, 0)]
+
+
+def test_recursion_has_no_limit_of_rows(spark, monkeypatch):
+    from weftline.operators import sql
+    from weftline.operators.sql import run_recursive
+
+    monkeypatch.setattr(sql, "SENT", 100)
+
+    spark.range(1, 4096).createOrReplaceTempView("nodes")
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "1000")  # a million by default, which ended Spark's own statement
+    try:
+        rows = run_recursive(spark, "select id as k, 0 as d from nodes where id = 1", "select id, d + 1 from {level} join nodes on floor(id / 2) = k where id > 1")
+        assert rows.groupBy("d").count().orderBy("d").collect() == [(d, 2**d) for d in range(12)]
+        from weftline.plans.registry import QUERIES
+
+        assert QUERIES["sql_recursive_cte"](spark, "/root/testdata/sf0.1").count() == 15_000
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+    with pytest.raises(RecursionError):
+        run_recursive(spark, "select 1 as k", "select k from {level}", levels=3)
+    with pytest.raises(PermissionError):
+        run_recursive(spark, "select 1 as k", "drop table {level}")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import written
+
 READ_ONLY, WRITE, UNKNOWN = "READ_ONLY", "WRITE", "UNKNOWN"
 # How a read-only statement may begin, and words that make one a write anywhere outside strings and comments.
 STARTS = "SELECT WITH EXPLAIN SHOW DESCRIBE VALUES".split()
@@ -15,6 +19,7 @@ WRITES = (
     "INSERT UPDATE DELETE MERGE REPLACE UPSERT CREATE ALTER DROP TRUNCATE RENAME GRANT REVOKE BEGIN COMMIT ROLLBACK SAVEPOINT RELEASE SET USE COPY LOAD UNLOAD "
     "VACUUM ANALYZE OPTIMIZE REFRESH CALL EXEC EXECUTE INDEX SEQUENCE CONSTRAINT LOCK INTO"
 ).split()
+SENT = 500_000  # rows of a recursion's level that Spark may broadcast
 QUIET = re.compile(r"'(?:''|\\.|[^'])*'|\"(?:\"\"|[^\"])*\"|`(?:``|[^`])*`|--[^\n]*|/\*.*?\*/", re.S)
 
 
@@ -51,3 +56,26 @@ def run_sql(spark: SparkSession, sql: str, params: dict | list | None = None, re
     if read_only and (classify(sql) != READ_ONLY or is_command(spark, sql.rstrip().rstrip(";"))):
         raise PermissionError("only read-only statements are allowed")
     return spark.sql(sql.rstrip().rstrip(";"), args=params) if params else spark.sql(sql.rstrip().rstrip(";"))
+
+
+def run_recursive(spark: SparkSession, first: str, next_rows: str, levels: int = 100) -> DataFrame:
+    """The rows of a recursion by UNION ALL: those of ``first``, and of ``next_rows`` over each level, which it names ``{level}``.
+
+    Spark's own recursive statements end at a million rows and may broadcast a table anew
+    at every level. Here each level is written, and one of more than ``SENT`` rows is joined
+    by a shuffle, so what goes through the driver is bounded whatever the number of rows. More levels than ``levels`` raise, as there.
+    """
+    found = [written(run_sql(spark, first))]
+    schema = found[0].schema
+    while not found[-1].isEmpty():
+        if len(found) > levels:
+            raise RecursionError(f"no end after {levels} levels")
+        name = f"level_{uuid.uuid4().hex}"
+        level = found[-1] if found[-1].count() <= SENT else found[-1].hint("merge")
+        level.createTempView(name)
+        try:
+            rows = run_sql(spark, next_rows.format(level=name)).toDF(*schema.names)
+            found.append(written(rows.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in schema.fields))))
+        finally:
+            spark.catalog.dropTempView(name)
+    return reduce(DataFrame.union, found)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import joins
-from weftline.operators.sql import run_sql
+from weftline.operators.sql import run_recursive, run_sql
 from weftline.plans.book import Book, table
 
 BOOK = Book()
@@ -51,13 +51,21 @@ shared("sql_arrays", "select vec_id, slice(embedding, 1, 3) as head, array_max(e
 shared("sql_scalar_subquery", "select c_custkey from customer where c_acctbal > (select avg(c_acctbal) * 1.9 from customer)")
 shared("sql_correlated_subquery", "select p_partkey from part p where p_retailprice > (select 1.2 * avg(q.p_retailprice) from part q where q.p_brand = p.p_brand)")
 shared("sql_cte", "with t as (select o_custkey, sum(o_totalprice) as total from orders group by o_custkey) select c_mktsegment, count(*) as n from t join customer on c_custkey = o_custkey where total > 500000 group by c_mktsegment")
-shared("sql_recursive_cte", "with recursive t(k, d, total) as (select c_custkey, 0, c_acctbal from customer where c_custkey = 0 union all select c_custkey, d + 1, round(total + c_acctbal, 2) from t join customer on floor((c_custkey - 1) / 2) = k where c_custkey > 0) select k, d, round(total, 2) as total from t")
 shared("sql_offset", "select o_orderkey from orders order by o_totalprice desc, o_orderkey limit 20 offset 10")
 shared("sql_string_functions", "select c_custkey, upper(substr(c_name, 1, 4)) as a, concat(c_name, '-') as b, length(c_mktsegment) as c from customer where c_mktsegment like 'B%' or c_name like '%9'")
 shared("sql_pricing_summary", "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc, round(avg(l_discount), 6) as avg_disc, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02 00:00:00' group by l_returnflag, l_linestatus", "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc, round(avg(l_discount), 6) as avg_disc, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02 00:00:00' group by l_returnflag, l_linestatus")
 shared("sql_regional_revenue", "select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey and c_nationkey = s_nationkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by n_name")
 
 
+@BOOK.add("with recursive t(k, d, total) as (select c_custkey, 0, c_acctbal from customer where c_custkey = 0 union all select c_custkey, d + 1, round(total + c_acctbal, 2) from t join customer on floor((c_custkey - 1) / 2) = k where c_custkey > 0) select k, d, round(total, 2) as total from t")
+def sql_recursive_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement's two parts, level by level."""
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    first = "select c_custkey as k, 0 as d, c_acctbal as total from customer where c_custkey = 0"
+    each = "select c_custkey, d + 1, round(total + c_acctbal, 2) from {level} join customer on floor((c_custkey - 1) / 2) = k where c_custkey > 0"
+    return run_recursive(spark, first, each).select("k", "d", F.round("total", 2).alias("total"))
+
+
 @BOOK.add("select e.event_id, o.event_id as latest_purchase, o.value as latest_value from (select * from events where event_type = 'error') e asof left join (select user_id, ts, event_id, value from events where event_type = 'purchase') o on e.user_id = o.user_id and e.ts >= o.ts")
 def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")

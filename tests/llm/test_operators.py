@@ -735,3 +735,17 @@ def test_column_generation_covers_the_demand():
     used = packing.column_generation(sizes, demand, 16)
     assert (sum(p * n for p, n in used) == demand).all() and all((p * sizes).sum() <= 16 for p, _ in used)
     assert sum(n for _, n in used) <= np.ceil((sizes * demand).sum() / 16) + 4
+
+
+def test_stored_sequences_hold_the_same_ids_as_bytes(spark):
+    import pyarrow as pa
+
+    parts = packing.cut(packing.pieces(frame(spark, [(i, "word two " * (37 * i)) for i in range(60)]), WORDS))
+    lists = {r.sequence_id: (list(r.ids), r.pieces) for r in packing.pack(parts).collect()}
+    stored = packing.pack(parts, stored=True).collect()
+    assert len(stored) == len(lists)
+    for r in stored:
+        ids, pieces = lists[r.sequence_id]
+        assert np.frombuffer(pa.decompress(bytes(r.ids), 4 * len(ids), packing.CODEC, asbytes=True), "<i4").tolist() == ids and r.pieces == pieces
+    words = pa.array(["", "ab", "é", "", "xyz"])
+    assert packing.sliced(words) == [w.encode() for w in words.to_pylist()] and packing.sliced(words[2:4]) == ["é".encode(), b""] and packing.sliced(words[:0]) == []

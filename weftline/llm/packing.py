@@ -35,7 +35,7 @@ from weftline.llm.byte_bpe import gather
 CAPACITY = 2048
 SHORT = 64  # pieces up to this length have classes of their exact length and sequences of their own
 UNIT = 16  # width in tokens of the classes beyond
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 CACHED_CHUNKS = 200_000
 
 #: White space beyond ASCII, which the tokenizer also drops.
@@ -123,7 +123,7 @@ class WordBPE:
         flat = parted.flatten().dictionary_encode()
         codes = flat.indices.to_numpy()
         common = np.bincount(codes, minlength=len(flat.dictionary)) > 1
-        distinct = flat.dictionary.cast(pa.binary()).to_pylist()
+        distinct = sliced(flat.dictionary)
         ids = list(map(self.chunks.get, distinct))
         missing = [i for i, x in enumerate(ids) if x is None]
         for i, x in zip(missing, self.learn([distinct[i] for i in missing])):
@@ -142,6 +142,12 @@ class WordBPE:
         return out, counts
 
 
+def sliced(words: pa.StringArray) -> list[bytes]:
+    """The words as bytes; many times faster than one Arrow scalar a word."""
+    whole, ends = (words.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    return [whole[s:e] for s, e in zip(ends, ends[1:])]
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself where printable, else 256 and up."""
     own = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -160,6 +166,7 @@ BATCH_IDS = 1 << 20  # ids of a result batch, about
 BATCH_SEQUENCES = 500
 CODEC = "zstd"
 SPAN = ["offset", "doc_id", "start", "length", "doc_tokens"]
+STORED = f"sequence_id bigint, ids binary, pieces array<struct<{','.join(f'{n}:bigint' for n in SPAN)}>>"  # ids little-endian, 32 bits each, compressed
 SEQUENCES = f"sequence_id bigint, ids array<int>, pieces array<struct<{','.join(f'{n}:bigint' for n in SPAN)}>>"
 
 
@@ -283,8 +290,8 @@ def length_class(length: int, capacity: int) -> int:
     return 0 if length >= capacity else length if length <= SHORT else -(-length // UNIT) * UNIT
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The packed sequences: (sequence_id, ids, pieces), one row a sequence.
+def pack(parts: DataFrame, capacity: int = CAPACITY, stored: bool = False) -> DataFrame:
+    """The packed sequences: (sequence_id, ids, pieces), one row a sequence; ``stored`` gives ids as ``STORED`` has them.
 
     parts: rows of ``pieces``, written (they are read several times). Sequences are
     numbered from 0; ids are those of the pieces one after another; pieces says for each
@@ -339,28 +346,35 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 begins = lists.offsets.to_numpy() - lists.offsets[0].as_py()
                 ends = np.append(0, np.cumsum(lengths))[begins].astype(np.int32)
                 spans = pa.StructArray.from_arrays([flat.field(n) for n in SPAN], SPAN)
-                arrays = [batch.column("sequence_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, "<i4"))), pa.ListArray.from_arrays(pa.array(begins, pa.int32()), spans)]
+                if stored:
+                    held = pa.array([pa.compress(ids[4 * a : 4 * b], CODEC, asbytes=True) for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.binary())
+                else:
+                    held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, "<i4")))
+                arrays = [batch.column("sequence_id"), held, pa.ListArray.from_arrays(pa.array(begins, pa.int32()), spans)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["sequence_id", "ids", "pieces"])
 
-    return gathered.mapInArrow(assemble, SEQUENCES)
+    return gathered.mapInArrow(assemble, STORED if stored else SEQUENCES)
 
 
 DIGESTS = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 def digests(sequences: DataFrame) -> DataFrame:
-    """A row for each piece of each sequence; the checksum is that of the ids that stand in the sequence at its offset."""
+    """A row for each piece of each stored sequence; the checksum is that of the ids that stand in the sequence at its offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, rows = batch.column("ids"), []
-            flat, begins = lists.values.to_numpy().astype("<i4"), lists.offsets.to_numpy()
-            for sequence, begin, held in zip(batch.column("sequence_id").to_pylist(), begins.tolist(), batch.column("pieces").to_pylist()):
-                for p in held:
-                    at = begin + p["offset"]
-                    rows.append((p["doc_id"], p["start"], p["length"], zlib.crc32(flat[at : at + p["length"]]), p["doc_tokens"], sequence, p["offset"]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[c.split()[0] for c in DIGESTS.split(", ")])
+            lists = batch.column("pieces")
+            flat = lists.flatten()
+            at, sizes = (flat.field(n).to_numpy().tolist() for n in ("offset", "length"))
+            ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            checks = []
+            for packed, first, last in zip(batch.column("ids").to_pylist(), ends, ends[1:]):
+                ids = memoryview(pa.decompress(packed, 4 * sum(sizes[first:last]), CODEC, asbytes=True))
+                checks += [zlib.crc32(ids[4 * at[i] : 4 * (at[i] + sizes[i])]) for i in range(first, last)]
+            whole = {n: flat.field(n) for n in SPAN} | {"ids_crc32": pa.array(checks, pa.int64()), "sequence_id": batch.column("sequence_id").take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends))))}
+            names = [c.split()[0] for c in DIGESTS.split(", ")]
+            yield pa.RecordBatch.from_arrays([whole[n] for n in names], names=names)
 
     return sequences.mapInArrow(run, DIGESTS)
 
@@ -372,4 +386,4 @@ def pack_sequences(docs: DataFrame, path: str, end_id: int = 1, capacity: int =
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The digests of all packed sequences, which are written first."""
-    return digests(cut(pack_sequences(docs, path, end_id, capacity, id_col, text_col)))
+    return digests(cut(pack(cut(pieces(docs, path, end_id, capacity, id_col, text_col)), capacity, stored=True)))

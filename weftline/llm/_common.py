@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-_made: ContextVar[list[str] | None] = ContextVar("weftline_made", default=None)
+_made: ContextVar[list[tuple[str, DataFrame]] | None] = ContextVar("weftline_made", default=None)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -52,24 +52,28 @@ def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(drop, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
     if (made := _made.get()) is not None:
-        made.append(path)
-    return spark.read.schema(df.schema).parquet(path), path
+        made.append((path, out))
+    return out, path
 
 
 def cut_alone(work: Callable[[], DataFrame]) -> DataFrame:
-    """``cut`` of what ``work`` gives; the tables that it has cut on its way go then, for only the result reads them."""
-    made: list[str] = []
+    """``cut`` of what ``work`` gives, unless that is a cut already; the tables that it has cut on its way go then, for only the result reads them."""
+    made: list[tuple[str, DataFrame]] = []
     token = _made.set(made)
     try:
-        out, own = cut_at(work())
+        out = work()
+        own = next((path for path, df in made if df is out), None)
+        if own is None:
+            out, own = cut_at(out)
     finally:
         _made.reset(token)
-    for path in made:
+    for path, _ in made:
         if path != own:
             drop(out.sparkSession, path)
     if (outer := _made.get()) is not None:
-        outer.append(own)
+        outer.append((own, out))
     return out
 
 
